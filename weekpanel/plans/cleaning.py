@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,5 +87,3 @@ def county_match_counts(messages: DataFrame, user_county: DataFrame, year: int)
     """Rows of one year before and after the county join."""
     rows = calendar.in_year(clean.parse_created_at(clean.require_keys(messages)), year)
     return activity.funnel({"in_year": rows, "matched": clean.attach_county(rows, user_county)})
-
-
