@@ -1,5 +1,6 @@
-"""Operators: DataFrame in, DataFrame out, lazily, with explicit columns.
+"""Operators: DataFrame in, DataFrame out, with explicit columns.
 
-Three of them stage a table first because row positions must be fixed before they are used:
-``ranking.number_rows``, ``ranking.running_start`` and what builds on them.
+All are lazy but for those that stage a table: row numbers and running totals (``ranking``) and what builds on
+them, because row positions must be fixed before they are used, and counts that several branches read
+(``activity.staged_counts``), because the messages should be read once.
 """

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.fixed_values import ACTIVE_WEEK, QUIET_WEEK, SUPER_WEEK_FROM
+from weekpanel.session import stage
 
 KEY = "user_year_week"
 Edges = Mapping[str, tuple[int, "int | None"]]
@@ -50,54 +51,60 @@ def keep_band(messages: DataFrame, weeks: DataFrame, keys: Sequence[str] = (KEY,
     return messages.join(weeks.select(*keys), list(keys), "left_semi")
 
 
-def superusers(messages: DataFrame, from_count: int = SUPER_WEEK_FROM) -> DataFrame:
-    """Users with at least one user-week of ``from_count`` messages or more."""
-    return distinct_values(_user_weeks(messages).filter(F.col("week_total") >= from_count), ["user_id"])
-
-
 def drop_superusers(messages: DataFrame, users: DataFrame) -> DataFrame:
     """Anti-join on the user: one heavy week removes all weeks of its user."""
     return messages.join(users.select("user_id"), "user_id", "left_anti")
 
 
-def _user_weeks(messages: DataFrame, extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """One row per (user-week, user) with its own count and the total of the user-week.
+def staged_counts(
+    messages: DataFrame, keys: Sequence[str] = (KEY, "user_id"), extra: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Counts per user-week and further keys, staged: the messages are read once, however often the counts are.
 
-    A key normally names its user, but it is text from outside; with the user kept beside it the bands follow
-    the key and the heavy users follow the user, whatever the key says. The messages are aggregated once: every
-    branch below reads the same exchange.
+    Without staging each use of the counts would keep other columns and read the messages again for itself.
+    Messages without a key are left out, as no user-week join could find them.
     """
-    extra = extra or {}
-    pairs = (
-        messages.filter(F.col(KEY).isNotNull())
-        .groupBy(KEY, "user_id")
-        .agg(F.count("message_id").alias("message_count"), *[c.alias(name) for name, c in extra.items()])
-    )
-    totals = pairs.groupBy(KEY).agg(F.sum("message_count").alias("week_total"))
-    return pairs.join(totals, KEY)
+    counts = [F.count("message_id").alias("message_count"), *[c.alias(name) for name, c in (extra or {}).items()]]
+    return stage(messages.filter(F.col(KEY).isNotNull()).groupBy(*keys).agg(*counts), "counts")
+
+
+def with_week_totals(counts: DataFrame) -> DataFrame:
+    """Add ``week_total``, the messages of the whole user-week, to counts by user-week and further keys.
+
+    A key normally names its user, but it is text from outside. With the user kept beside it the bands follow
+    the key and the heavy users follow the user, whatever the key says. Summing and joining, rather than a
+    window, keeps a key that many users share out of a single task.
+    """
+    return counts.join(counts.groupBy(KEY).agg(F.sum("message_count").alias("week_total")), KEY)
+
+
+def heavy_users(weeks: DataFrame, from_count: int = SUPER_WEEK_FROM) -> DataFrame:
+    return distinct_values(weeks.filter(F.col("week_total") >= from_count), ["user_id"])
+
+
+def superusers(messages: DataFrame, from_count: int = SUPER_WEEK_FROM) -> DataFrame:
+    """Users with at least one user-week of ``from_count`` messages or more."""
+    return heavy_users(with_week_totals(staged_counts(messages)), from_count)
 
 
-def active_weeks(
-    messages: DataFrame,
-    active: tuple[int, int] = ACTIVE_WEEK,
-    super_from: int = SUPER_WEEK_FROM,
-    extra: Mapping[str, Column] | None = None,
+def active_counts(
+    counts: DataFrame, active: tuple[int, int] = ACTIVE_WEEK, super_from: int = SUPER_WEEK_FROM
 ) -> DataFrame:
-    """User-weeks in the active band whose user has no heavy week, from one aggregation over the messages.
+    """Rows of :func:`staged_counts` in the active band whose user has no heavy week.
 
     The band and the heavy users are settled on the counts, which are far smaller than the messages, so the
     messages themselves meet one semi-join instead of two semi-joins and an anti-join.
     """
-    weeks = _user_weeks(messages, extra)
-    heavy = weeks.filter(F.col("week_total") >= super_from).select("user_id").distinct()
-    return weeks.filter(in_band(F.col("week_total"), *active)).join(heavy, "user_id", "left_anti")
+    weeks = with_week_totals(counts)
+    kept = weeks.filter(in_band(F.col("week_total"), *active))
+    return kept.join(heavy_users(weeks, super_from), "user_id", "left_anti")
 
 
 def panel_stats(df: DataFrame) -> DataFrame:
     """Distinct messages, user-weeks, users and counties in one row; a null counts as one value.
 
     Messages are counted on their own narrow shuffle. The other three are counted on the distinct triples, so
-    the multi-distinct expansion never runs over the messages.
+    the multi-distinct expansion never runs over the messages. ``df`` is read twice, with few columns each time.
     """
     messages = df.groupBy("message_id").agg(F.lit(1).alias("one")).agg(F.count("one").alias("messages"))
     entities = _entity_counts(distinct_values(df, [KEY, "user_id", "fips"]))

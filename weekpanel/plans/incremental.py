@@ -33,7 +33,8 @@ def incremental_batches(
     earlier = prior.select("message_id").distinct().withColumn("_written", F.lit(True))
     marked = cleaned.join(earlier, "message_id", "left").withColumn("_new", F.col("_written").isNull())
     rows = stage(marked.select(*cleaned.columns, "_new"), "marked")
-    kept = activity.active_weeks(rows, active, super_from, {"_new_count": F.count_if("_new")})
+    counts = activity.staged_counts(rows, extra={"_new_count": F.count_if("_new")})
+    kept = activity.active_counts(counts, active, super_from)
     fresh = kept.filter(F.col("_new_count") > 0)
     start = batches.next_batch_number(prior).first()["next_batch"]
     assigned = batches.assign_batches(

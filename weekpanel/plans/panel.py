@@ -7,19 +7,26 @@ from pyspark.sql import functions as F
 
 from weekpanel.fixed_values import ACTIVE_WEEK, SUPER_WEEK_FROM
 from weekpanel.operators import activity
+from weekpanel.session import stage
 
 KEY = activity.KEY
 
 
 def activity_panel(
-    cleaned: DataFrame, active: tuple[int, int] = ACTIVE_WEEK, super_from: int = SUPER_WEEK_FROM
+    cleaned: DataFrame,
+    active: tuple[int, int] = ACTIVE_WEEK,
+    super_from: int = SUPER_WEEK_FROM,
+    staged: bool = False,
 ) -> DataFrame:
     """Messages of active user-weeks whose user has no heavy week.
 
-    ``cleaned`` is read by the count and by the selection: stage it first when it is expensive.
+    The cleaned rows are counted, then selected from. They are staged in between unless the caller says that
+    they lie in a table already (``staged=True``), so cleaning runs once. The selection is a semi-join on the
+    user-week, whose hot keys adaptive execution splits.
     """
-    kept = activity.active_weeks(cleaned, active, super_from)
-    return activity.keep_band(cleaned, kept, (KEY, "user_id"))
+    rows = cleaned if staged else stage(cleaned, "cleaned")
+    kept = activity.active_counts(activity.staged_counts(rows), active, super_from)
+    return activity.keep_band(rows, kept, (KEY, "user_id"))
 
 
 def activity_report(
@@ -30,26 +37,17 @@ def activity_report(
     ``cleaned`` must be unique by message id. Everything asked for is in the counts per user-week, user and
     county, so the messages are read and aggregated once and the panel itself is never built.
     """
-    counties = cleaned.groupBy(KEY, "user_id", "fips").agg(F.count("message_id").alias("message_count"))
-    totals = counties.groupBy(KEY).agg(F.sum("message_count").alias("week_total"))
-    low, high = active
-    weeks = counties.join(totals, KEY)
-    heavy = weeks.filter(F.col("week_total") >= super_from).select("user_id").distinct()
-    kept = weeks.filter(F.col("week_total").between(low, high)).join(heavy, "user_id", "left_anti")
-    return activity.panel_stats_from_weeks(kept)
+    counts = activity.staged_counts(cleaned, (KEY, "user_id", "fips"))
+    return activity.panel_stats_from_weeks(activity.active_counts(counts, active, super_from))
 
 
 def band_report(cleaned: DataFrame, edges: activity.Edges = activity.BANDS) -> DataFrame:
-    """User-weeks, messages, users and counties per band.
-
-    Users and counties are counted on the distinct (band, user, county) rows of the counts, not on messages.
-    """
-    counties = cleaned.groupBy(KEY, "user_id", "fips").agg(F.count("message_id").alias("n"))
-    totals = activity.band(counties.groupBy(KEY).agg(F.sum("n").alias("message_count")), edges)
-    weeks = counties.join(totals.filter(F.col("band").isNotNull()), KEY)
-    return weeks.groupBy("band").agg(
+    """User-weeks, messages, users and counties per band, from one aggregation over the messages."""
+    weeks = activity.with_week_totals(activity.staged_counts(cleaned, (KEY, "user_id", "fips")))
+    banded = activity.band(weeks, edges, "week_total").filter(F.col("band").isNotNull())
+    return banded.groupBy("band").agg(
         F.count_distinct(KEY).alias("user_weeks"),
-        F.sum("n").alias("messages"),
+        F.sum("message_count").alias("messages"),
         F.count_distinct("user_id").alias("users"),
         F.count_distinct("fips").alias("counties"),
     )
