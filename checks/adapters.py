@@ -6,9 +6,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weekpanel import session
 from weekpanel.operators.score import Model, collect_models
 from weekpanel.plans import cleaning
-from weekpanel.session import SETTINGS
 
 # Bands that fit the given events, whose user-weeks hold at most some 30 messages.
 ACTIVE = (5, 14)
@@ -150,8 +150,7 @@ class Inputs:
     """The adapters as DataFrames over one folder of tables."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-        spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
+        self.spark, self.folder = session.apply(spark), folder
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -14,8 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key in a join even if what follows could otherwise have reused the join's partitioning.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     # The planner broadcasts a side only when its measured size is below this; otherwise it shuffles.
     "spark.sql.autoBroadcastJoinThreshold": "64m",
@@ -36,7 +38,16 @@ def configure(builder: SparkSession.Builder, input_bytes: int | None = None) ->
     return builder
 
 
-def shuffle_partitions(shuffled_bytes: int, target_bytes: int = 256 * 2**20, least: int = 8) -> int:
+def apply(spark: SparkSession) -> SparkSession:
+    """Apply :data:`SETTINGS` to a running session, leaving alone what its own configuration names."""
+    given = spark.sparkContext.getConf()
+    for name, value in SETTINGS.items():
+        if not given.contains(name):
+            spark.conf.set(name, value)
+    return spark
+
+
+def shuffle_partitions(shuffled_bytes: int, target_bytes: int = 128 * 2**20, least: int = 8) -> int:
     """Number of reducers that keeps each near ``target_bytes`` (AQE merges the ones that end up small)."""
     return max(least, math.ceil(shuffled_bytes / target_bytes))
 
