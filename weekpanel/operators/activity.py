@@ -47,13 +47,16 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def keep_band(messages: DataFrame, weeks: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
-    """Messages of the given user-weeks."""
-    return messages.join(weeks.select(*keys), list(keys), "left_semi")
+    """Messages of the given user-weeks, which are staged so that a hot user-week can be split in the join."""
+    return messages.join(stage(weeks.select(*keys), "weeks"), list(keys), "left_semi")
 
 
 def drop_superusers(messages: DataFrame, users: DataFrame) -> DataFrame:
-    """Anti-join on the user: one heavy week removes all weeks of its user."""
-    return messages.join(users.select("user_id"), "user_id", "left_anti")
+    """Anti-join on the user: one heavy week removes all weeks of its user.
+
+    The users are staged so that a hot user can be split in the join.
+    """
+    return messages.join(stage(users.select("user_id"), "users"), "user_id", "left_anti")
 
 
 def staged_counts(
@@ -72,10 +75,11 @@ def with_week_totals(counts: DataFrame) -> DataFrame:
     """Add ``week_total``, the messages of the whole user-week, to counts by user-week and further keys.
 
     A key normally names its user, but it is text from outside. With the user kept beside it the bands follow
-    the key and the heavy users follow the user, whatever the key says. Summing and joining, rather than a
-    window, keeps a key that many users share out of a single task.
+    the key and the heavy users follow the user, whatever the key says. Totals that are summed, staged and
+    joined, rather than taken over a window, keep a key that many users share out of a single task.
     """
-    return counts.join(counts.groupBy(KEY).agg(F.sum("message_count").alias("week_total")), KEY)
+    totals = counts.groupBy(KEY).agg(F.sum("message_count").alias("week_total"))
+    return counts.join(stage(totals, "totals"), KEY)
 
 
 def heavy_users(weeks: DataFrame, from_count: int = SUPER_WEEK_FROM) -> DataFrame:
@@ -97,7 +101,7 @@ def active_counts(
     """
     weeks = with_week_totals(counts)
     kept = weeks.filter(in_band(F.col("week_total"), *active))
-    return kept.join(heavy_users(weeks, super_from), "user_id", "left_anti")
+    return drop_superusers(kept, heavy_users(weeks, super_from))
 
 
 def panel_stats(df: DataFrame) -> DataFrame:

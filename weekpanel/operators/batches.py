@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.fixed_values import BATCH_LIMIT
 from weekpanel.operators.ranking import number_rows
+from weekpanel.session import stage
 
 KEY = "user_year_week"
 BROADCAST_ROWS = 100_000
@@ -83,9 +84,9 @@ def assign_batches(
 def batch_members(messages: DataFrame, assigned: DataFrame) -> DataFrame:
     """Messages with the batch of their user-week; messages of other user-weeks drop out.
 
-    A shuffle on the user-week; adaptive execution splits a hot one because the join is an inner join.
+    The batches are staged, so they are given out once and a hot user-week can be split in the join.
     """
-    return messages.join(assigned.select(KEY, "batch"), KEY, "inner")
+    return messages.join(stage(assigned.select(KEY, "batch"), "assigned"), KEY, "inner")
 
 
 def next_batch_number(existing: DataFrame) -> DataFrame:

@@ -9,21 +9,26 @@ from pyspark.sql import functions as F
 
 from weekpanel.fixed_values import DEFAULT_USER_WEIGHT, SCORE_FEATURES
 from weekpanel.operators.ranking import sample_rows
+from weekpanel.session import stage
 
 GROUP = "year_week_county"
 
 
 def attach_weights(scores: DataFrame, weights: DataFrame, unique: bool = False) -> DataFrame:
-    """Left join on the user. Several weight rows of a user fan out; with ``unique`` they raise instead."""
+    """Left join on the user. Several weight rows of a user fan out; with ``unique`` they raise instead.
+
+    The checked weights are staged so that a hot user can be split in the join.
+    """
     if unique:
         rest = [c for c in weights.columns if c != "user_id"]
         repeated = F.raise_error(F.concat(F.lit("several weights for user "), F.col("user_id").cast("string")))
-        weights = (
-            weights.groupBy("user_id")
+        named = weights.filter(F.col("user_id").isNotNull())
+        checked = (
+            named.groupBy("user_id")
             .agg(F.count("*").alias("_rows"), F.min(F.struct(*rest)).alias("_row"))
             .withColumn("_row", F.when(F.col("_rows") == 1, F.col("_row")).otherwise(repeated))
-            .select("user_id", *[F.col("_row")[c].alias(c) for c in rest])
         )
+        weights = stage(checked.select("user_id", *[F.col("_row")[c].alias(c) for c in rest]), "weights")
     return scores.join(weights, "user_id", "left")
 
 
@@ -91,7 +96,7 @@ def _statistics(score: Column, weight: Column, null_weights: str) -> dict[str, C
         "wavg_score": mean,
         "avg_score": F.avg(score),
         "std_score": F.stddev_pop(score),
-        "std_score_wt": F.sqrt(F.greatest(spread, F.lit(0.0))),
+        "std_score_wt": F.sqrt(F.when(spread < 0, F.lit(0.0)).otherwise(spread)),
     }
 
 

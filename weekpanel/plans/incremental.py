@@ -40,7 +40,7 @@ def incremental_batches(
     assigned = batches.assign_batches(
         fresh.groupBy(KEY).agg(F.sum("_new_count").alias("message_count")), limit, start, max_batches, drop_tail
     )
-    places = fresh.select(KEY, "user_id").join(assigned.select(KEY, "batch"), KEY)
+    places = stage(fresh.select(KEY, "user_id").join(assigned.select(KEY, "batch"), KEY), "places")
     return rows.filter("_new").drop("_new").join(places, [KEY, "user_id"])
 
 

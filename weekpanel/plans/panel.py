@@ -21,8 +21,7 @@ def activity_panel(
     """Messages of active user-weeks whose user has no heavy week.
 
     The cleaned rows are counted, then selected from. They are staged in between unless the caller says that
-    they lie in a table already (``staged=True``), so cleaning runs once. The selection is a semi-join on the
-    user-week, whose hot keys adaptive execution splits.
+    they lie in a table already (``staged=True``), so cleaning runs once.
     """
     rows = cleaned if staged else stage(cleaned, "cleaned")
     kept = activity.active_counts(activity.staged_counts(rows), active, super_from)

@@ -78,8 +78,12 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and go on from the written table.
 
-    Used where several branches read the same expensive rows, and where row positions must not change between
-    two reads. Unlike a cache it survives the loss of executors, and unlike a checkpointed RDD its readers
+    Used where several branches read the same expensive rows, where row positions must not change between two
+    reads, and for the small side of a join on a key that may be hot. In the last case it is an aggregate by
+    that very key which must be staged: the join would otherwise reuse the aggregate's partitioning, and
+    adaptive execution splits a hot key only where both sides of the join come straight from a shuffle.
+
+    Unlike a cache a staged table survives the loss of executors, and unlike a checkpointed RDD its readers
     still prune columns. All tables of an application lie in one folder, so they can be expired together.
     """
     spark = df.sparkSession
