@@ -194,14 +194,14 @@ def _(t: Inputs) -> DataFrame:
 @query("write_superusers", "SELECT user_id FROM heavy")
 def _(t: Inputs) -> DataFrame:
     path = scratch(t, "heavy")
-    writers.write_superusers(activity.superusers(t.cleaned(), SUPER_FROM), path)
+    writers.write_superusers(activity.superusers(t.cleaned(texts=False), SUPER_FROM), path)
     return t.spark.read.parquet(path)
 
 
 @query("write_week_counts", "SELECT user_year_week, message_count FROM counts")
 def _(t: Inputs) -> DataFrame:
     path = scratch(t, "counts")
-    writers.write_week_counts(activity.week_counts(t.cleaned()), path)
+    writers.write_week_counts(activity.week_counts(t.cleaned(texts=False)), path)
     return t.spark.read.schema("user_year_week string, message_count bigint").option("header", True).csv(path)
 
 
@@ -510,7 +510,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("superusers", "SELECT user_id FROM heavy")
 def _(t: Inputs) -> DataFrame:
-    return activity.superusers(t.cleaned(), SUPER_FROM)
+    return activity.superusers(t.cleaned(texts=False), SUPER_FROM)
 
 
 @query("drop_existing", f"SELECT {SAMPLED} FROM cleaned WHERE message_id NOT IN (SELECT message_id FROM prior)")
@@ -545,7 +545,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("week_counts", "SELECT user_year_week, message_count FROM counts")
 def _(t: Inputs) -> DataFrame:
-    return activity.week_counts(t.cleaned())
+    return activity.week_counts(t.cleaned(texts=False))
 
 
 BAND_SQL = """CASE WHEN message_count BETWEEN 1 AND 4 THEN '1-4' WHEN message_count BETWEEN 5 AND 14 THEN '5-14'
@@ -554,7 +554,7 @@ BAND_SQL = """CASE WHEN message_count BETWEEN 1 AND 4 THEN '1-4' WHEN message_co
 
 @query("band", f"SELECT user_year_week, message_count, {BAND_SQL} AS band FROM counts")
 def _(t: Inputs) -> DataFrame:
-    return activity.band(activity.week_counts(t.cleaned()), EDGES)
+    return activity.band(activity.week_counts(t.cleaned(texts=False)), EDGES)
 
 
 @query(
@@ -563,7 +563,7 @@ def _(t: Inputs) -> DataFrame:
  FROM counts GROUP BY 1""",
 )
 def _(t: Inputs) -> DataFrame:
-    return activity.band_totals(activity.band(activity.week_counts(t.cleaned()), EDGES))
+    return activity.band_totals(activity.band(activity.week_counts(t.cleaned(texts=False)), EDGES))
 
 
 @query(
@@ -572,7 +572,7 @@ def _(t: Inputs) -> DataFrame:
  count(DISTINCT user_id) AS users, count(DISTINCT fips) AS counties FROM cleaned JOIN counts USING (user_year_week) GROUP BY 1""",
 )
 def _(t: Inputs) -> DataFrame:
-    return panel.band_report(t.cleaned(), EDGES)
+    return panel.band_report(t.cleaned(texts=False), EDGES)
 
 
 def stats_sql(source: str) -> str:
@@ -752,12 +752,12 @@ def _(t: Inputs) -> DataFrame:
     "SELECT user_year_week, message_count FROM counts ORDER BY message_count, user_year_week",
 )
 def _(t: Inputs) -> DataFrame:
-    return ranking.sort_weeks_by_count(activity.week_counts(t.cleaned()))
+    return ranking.sort_weeks_by_count(activity.week_counts(t.cleaned(texts=False)))
 
 
 @query("sample_rows", "SELECT user_year_week, message_count FROM counts ORDER BY message_count DESC, user_year_week LIMIT 20")
 def _(t: Inputs) -> DataFrame:
-    return ranking.sample_rows(activity.week_counts(t.cleaned()), [F.col("message_count").desc(), F.col(KEY)], 20)
+    return ranking.sample_rows(activity.week_counts(t.cleaned(texts=False)), [F.col("message_count").desc(), F.col(KEY)], 20)
 
 
 @query(
@@ -801,7 +801,7 @@ def _(t: Inputs) -> DataFrame:
     "SELECT user_year_week FROM counts EXCEPT SELECT user_year_week FROM active",
 )
 def _(t: Inputs) -> DataFrame:
-    counts = activity.week_counts(t.cleaned())
+    counts = activity.week_counts(t.cleaned(texts=False))
     active = counts.filter(activity.in_band(F.col("message_count"), *ACTIVE))
     return features.set_difference(counts.select(KEY), active.select(KEY))
 
@@ -823,7 +823,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("assign_batches", "SELECT user_year_week, message_count, batch FROM assigned")
 def _(t: Inputs) -> DataFrame:
-    counts = activity.week_counts(t.cleaned()).filter(activity.in_band(F.col("message_count"), *ACTIVE))
+    counts = activity.week_counts(t.cleaned(texts=False)).filter(activity.in_band(F.col("message_count"), *ACTIVE))
     return batches.assign_batches(counts, BATCH_LIMIT)
 
 
@@ -832,7 +832,7 @@ def _(t: Inputs) -> DataFrame:
     "SELECT user_year_week, message_count, batch FROM assigned WHERE batch < (SELECT max(batch) FROM assigned)",
 )
 def _(t: Inputs) -> DataFrame:
-    counts = activity.week_counts(t.cleaned()).filter(activity.in_band(F.col("message_count"), *ACTIVE))
+    counts = activity.week_counts(t.cleaned(texts=False)).filter(activity.in_band(F.col("message_count"), *ACTIVE))
     return batches.assign_batches(counts, BATCH_LIMIT, drop_tail=True)
 
 
@@ -868,6 +868,11 @@ def _(t: Inputs) -> DataFrame:
     return sampled(t.cleaned(county="invalid"))
 
 
+@query("clean_messages_without_texts", "SELECT user_year_week, user_id, message_id, created_at, fips FROM cleaned")
+def _(t: Inputs) -> DataFrame:
+    return sampled(t.cleaned(texts=False))
+
+
 @query("clean_messages_raw", f"SELECT {SAMPLED} FROM text_cleaned")
 def _(t: Inputs) -> DataFrame:
     return sampled(cleaning.clean_messages(t.messages_text, t.user_county, year=YEAR))
@@ -884,7 +889,7 @@ def _(t: Inputs) -> DataFrame:
  count(DISTINCT fips) AS counties FROM panel""",
 )
 def activity_report(t: Inputs) -> DataFrame:
-    return panel.activity_report(t.cleaned(), ACTIVE, SUPER_FROM)
+    return panel.activity_report(t.cleaned(texts=False), ACTIVE, SUPER_FROM)
 
 
 def fresh_batches(t: Inputs) -> DataFrame:

@@ -20,7 +20,9 @@ _URL_PRESENT = URL_PATTERN.removesuffix("+")
 
 
 def masked_mentions(message: Column) -> Column:
-    return F.regexp_replace(message, MENTION_PATTERN, MENTION_MASK)
+    """Mask mentions; the regex runs only where there is an ``@`` at all."""
+    masked = F.regexp_replace(message, MENTION_PATTERN, MENTION_MASK)
+    return F.when(F.contains(message, F.lit("@")), masked).otherwise(message)
 
 
 def is_retweet(message: Column) -> Column:

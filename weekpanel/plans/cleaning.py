@@ -11,6 +11,7 @@ from weekpanel.operators import activity, calendar, clean
 
 COUNTY_FILTERS = {"valid": clean.county_valid, "invalid": clean.county_invalid}
 ORDERS = ("filter_first", "mask_first")
+TEXTS = ("message", "location", "coordinates")
 
 
 def located_messages(
@@ -45,22 +46,27 @@ def located_messages(
 
 
 def clean_messages(
-    messages: DataFrame, user_county: DataFrame, *, county: str | None = "valid", **options
+    messages: DataFrame, user_county: DataFrame, *, county: str | None = "valid", texts: bool = True, **options
 ) -> DataFrame:
     """One row per message id with a county, in the columns of a sampled batch.
 
     Counties are judged after the duplicates: the other way round, a user with a valid and an invalid county
     could keep a different copy. Two shuffles at most: by user where the map is too large to broadcast, and
     by message id. ``options`` are those of :func:`located_messages`.
+
+    With ``texts=False`` the same rows come without message, location and coordinates. Duplicates are settled
+    by the short columns first, so the texts are not needed for it: a job that only counts never masks or
+    shuffles them.
     """
-    unique = clean.dedupe_messages(located_messages(messages, user_county, **options))
+    located = located_messages(messages, user_county, **options)
+    unique = clean.dedupe_messages(located if texts else located.drop(*TEXTS))
     return unique if county is None else COUNTY_FILTERS[county](unique)
 
 
 def cleaning_funnel(messages: DataFrame, user_county: DataFrame, *, county: str = "valid") -> DataFrame:
     """Rows after each step of :func:`clean_messages` in its default order, in three passes for eight counts."""
     located = clean.attach_county(clean.require_keys(messages), user_county)
-    unique = clean_messages(messages, user_county, county=None)
+    unique = clean_messages(messages, user_county, county=None, texts=False)
     keyed = {"keyed": _all_present(clean.MESSAGE_KEYS)}
     filters = {
         "without_retweets": ~text.is_retweet(F.col("message")),
