@@ -3,6 +3,7 @@ from hypothesis import given
 from hypothesis import settings as example_settings
 from hypothesis import strategies as st
 
+from weekpanel import session
 from weekpanel.operators import batches
 
 
@@ -70,6 +71,16 @@ def test_batch_cap_and_open_tail(spark):
     assert sorted({r["batch"] for r in tailless.collect()}) == [0, 1, 2, 3]
 
 
+def test_long_plans_are_joined_by_a_shuffle(spark, monkeypatch, settings, physical_plan):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    counts = [(f"k{i:03d}", 1 + i) for i in range(60)]
+    df = spark.createDataFrame(counts, WEEKS)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    assigned = batches.assign_batches(df, 100)
+    assert "BroadcastHashJoin" not in physical_plan(assigned)
+    assert sorted(map(tuple, assigned.collect())) == sorted(walk(counts, 100))
+
+
 def test_limit_must_be_positive(spark):
     with pytest.raises(ValueError, match="limit"):
         batches.assign_batches(spark.createDataFrame([], WEEKS), 0)

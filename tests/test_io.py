@@ -89,6 +89,15 @@ def test_one_directory_per_batch(spark, folder):
     assert {p.rsplit("/", 1)[1] for p in glob.glob(f"{folder}/batch=*")} == {"batch=0", "batch=7"}
 
 
+def test_a_large_batch_is_split_over_files(spark, folder, settings):
+    settings(spark__sql__adaptive__advisoryPartitionSizeInBytes="64kb")
+    rows = spark.range(0, 60_000, 1, 12).withColumn("batch", F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(99))
+    writers.write_batches(rows.select(F.col("id").alias("message_id"), F.sha2(F.col("id").cast("string"), 256).alias("message"), "batch"), folder)
+    files = {b: len(glob.glob(f"{folder}/batch={b}/*.parquet")) for b in (0, 99)}
+    assert files[99] > 3 >= files[0]
+    assert spark.read.parquet(folder).count() == 60_000
+
+
 def test_old_times_are_written_as_they_are(spark, folder):
     old = spark.createDataFrame([(dt.datetime(1500, 1, 1),)], "created_at timestamp").withColumn("batch", F.lit(0))
     writers.write_batches(old, folder)

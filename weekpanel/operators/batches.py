@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from weekpanel.fixed_values import BATCH_LIMIT
 from weekpanel.operators.ranking import number_rows
-from weekpanel.session import stage
+from weekpanel.session import small_side, stage
 
 KEY = "user_year_week"
-BROADCAST_ROWS = 100_000
 _PLAN = "message_count bigint, _first bigint, _batch bigint, _room bigint, _per_batch bigint"
 
 
@@ -66,10 +65,7 @@ def assign_batches(
     numbered = number_rows(weeks.select(KEY, "message_count"), ["message_count", KEY], id_col="_row", start=0)
     histogram = numbered.groupBy("message_count").agg(F.count("*").alias("weeks")).orderBy("message_count")
     rows = ((r["message_count"], r["weeks"]) for r in histogram.toLocalIterator())
-    plan_rows = list(plan_batches(rows, limit, start))
-    plan = weeks.sparkSession.createDataFrame(plan_rows, _PLAN)
-    if len(plan_rows) <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
+    plan = small_side(weeks.sparkSession, list(plan_batches(rows, limit, start)), _PLAN)
     place = F.col("_row") - F.col("_first") - F.col("_room")
     batch = F.when(place < 0, F.col("_batch")).otherwise(F.col("_batch") + 1 + F.floor(place / F.col("_per_batch")))
     assigned = numbered.join(plan, "message_count").select(KEY, "message_count", batch.cast("bigint").alias("batch"))

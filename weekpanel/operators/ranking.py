@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekpanel.session import stage
+from weekpanel.session import small_side, stage
 
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 Order = Sequence["str | Column"]
@@ -38,15 +38,15 @@ def _with_part_start(placed: DataFrame, sizes: list[tuple[int, int]]) -> DataFra
     for part, size in sorted(sizes):
         starts.append((part, total))
         total += size
-    offsets = placed.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
-    return placed.withColumn("_part", _part()).join(F.broadcast(offsets), "_part")
+    offsets = small_side(placed.sparkSession, starts, "_part bigint, _start bigint")
+    return placed.withColumn("_part", _part()).join(offsets, "_part")
 
 
 def number_rows(df: DataFrame, order: Order, id_col: str = "id", start: int = 1) -> DataFrame:
     """Number the rows ``start, start + 1, ...`` by ``order``, which must be unique per row.
 
-    Each partition is numbered where it lies; the driver sees one count per partition, and what is broadcast
-    is that list.
+    Each partition is numbered where it lies; the driver sees one count per partition, and what is joined is
+    that list.
     """
     placed = _placed(df, order, "numbered")
     sizes = [(r["part"], r["n"]) for r in placed.groupBy(_part().alias("part")).agg(F.count("*").alias("n")).collect()]

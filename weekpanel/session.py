@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,6 +24,8 @@ SETTINGS = {
     "spark.sql.files.maxPartitionBytes": "256m",
     # The planner broadcasts a side only when its measured size is below this; otherwise it shuffles.
     "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # A compressed file is taken to be three times its size in memory when it is held against that threshold.
+    "spark.sql.sources.fileCompressionFactor": "3.0",
     # Bloom filters from a selective join side drop rows of the large side before it is shuffled.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     # Timestamps are written as they are, without a calendar rebase.
@@ -75,6 +80,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_side(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Driver-side rows as the small side of an equi-join: broadcast up to ``BROADCAST_ROWS``, shuffled beyond."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and go on from the written table.
 
