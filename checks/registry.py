@@ -14,7 +14,7 @@ from weekpanel import schemas
 from weekpanel.fixed_values import SCORE_FEATURES
 from weekpanel.operators import activity, batches, calendar, clean, embed, features, ranking, rollup, score
 from weekpanel.plans import cleaning, county_weeks, feature_export, incremental, panel, scoring
-from weekpanel.session import shared_folder
+from weekpanel.session import shared_folder, stage
 from weekpanel.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +68,7 @@ def scratch(t: Inputs, label: str) -> str:
 def prior(t: Inputs) -> DataFrame:
     """An earlier delivery: the cleaned messages up to a date, one batch per week."""
     early = t.cleaned().filter(F.col("created_at") < F.lit(PRIOR_BEFORE))
-    return early.withColumn("batch", (F.weekofyear("created_at") - 1).cast("bigint"))
+    return stage(early.withColumn("batch", (F.weekofyear("created_at") - 1).cast("bigint")), "prior")
 
 
 def layered(t: Inputs) -> DataFrame:

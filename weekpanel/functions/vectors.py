@@ -29,9 +29,13 @@ def has_shape(layers: Column, n_layers: int, dim: int) -> Column:
 
 
 def layer_from_end(layers: Column, from_end: int) -> Column:
-    """The one layer at that place from the end, in a list; an empty list where there are fewer layers."""
-    one = F.get(layers, F.size(layers) - F.lit(from_end))
-    return F.when(layers.isNotNull(), F.array_compact(F.array(one)))
+    """The layer at that place from the end; null where there are fewer layers."""
+    return F.get(layers, F.size(layers) - F.lit(from_end))
+
+
+def listed_layer_from_end(layers: Column, from_end: int) -> Column:
+    """The same layer in a list; an empty list where there are fewer layers."""
+    return F.when(layers.isNotNull(), F.array_compact(F.array(layer_from_end(layers, from_end))))
 
 
 def source_index(feature: str) -> int:

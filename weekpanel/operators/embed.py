@@ -22,7 +22,7 @@ def pick_layer(
     df: DataFrame, from_end: int = SCORED_LAYER_FROM_END, col: str = "embedding", out: str = "layers"
 ) -> DataFrame:
     """The layer at that place from the end, as a list of one layer; an empty list if there are fewer."""
-    return df.withColumn(out, vectors.layer_from_end(F.col(col), from_end))
+    return df.withColumn(out, vectors.listed_layer_from_end(F.col(col), from_end))
 
 
 def flatten_layers(df: DataFrame, col: str = "layers", out: str = "vector") -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weekpanel.fixed_values import LAYER_DIM, N_LAYERS, SCORED_LAYER_FROM_END
+from weekpanel.functions import vectors
 from weekpanel.operators import embed, score
 from weekpanel.session import stage
 
@@ -20,10 +22,17 @@ def raw_scores(
     from_end: int = SCORED_LAYER_FROM_END,
     as_float: bool = False,
 ) -> DataFrame:
-    """Keys and one score per target: a single projection over the scan, without a shuffle."""
-    layers = embed.pick_layer(embed.valid_layers(embeddings, n_layers, dim), from_end)
-    vectors = embed.flatten_layers(layers).select("user_year_week", "user_id", "fips", "vector")
-    return score.fused_scores(vectors, models, as_float=as_float).drop("vector")
+    """Keys and one score per target: a single projection over the scan, without a shuffle.
+
+    All layers that are looked for are there once the shape is checked, so the picked layer is taken as it is
+    instead of being listed and flattened again.
+    """
+    if not 1 <= from_end <= n_layers:
+        raise ValueError("from_end must name one of the layers")
+    valid = embed.valid_layers(embeddings, n_layers, dim)
+    picked = vectors.layer_from_end(F.col("embedding"), from_end).alias("vector")
+    rows = valid.select("user_year_week", "user_id", "fips", picked)
+    return score.fused_scores(rows, models, as_float=as_float).drop("vector")
 
 
 def score_user_weeks(embeddings: DataFrame, models: Mapping[str, score.Model], **options) -> DataFrame:

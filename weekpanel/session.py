@@ -28,6 +28,8 @@ SETTINGS = {
     "spark.sql.sources.fileCompressionFactor": "3.0",
     # Bloom filters from a selective join side drop rows of the large side before it is shuffled.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Batches sent to Python hold embeddings of 1,024 doubles: 2,000 rows are 16 MB.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Timestamps are written as they are, without a calendar rebase.
     "spark.sql.parquet.int96RebaseModeInWrite": "CORRECTED",
     "spark.sql.parquet.datetimeRebaseModeInWrite": "CORRECTED",
