@@ -156,3 +156,24 @@ def test_funnel_counts_every_step(small):
 def test_match_counts_of_one_year(small):
     rows = {r["stage"]: r["row_count"] for r in cleaning.county_match_counts(*small, 2021).collect()}
     assert rows == {"in_year": 4, "matched": 4}
+
+
+def test_reduced_map_keeps_the_same_survivors(spark):
+    """Joining all counties and removing duplicates gives what joining the reduced map gives."""
+    messages = spark.createDataFrame(
+        [(i % 40, i % 7, f"m{i}", f"2021-03-0{1 + i % 3} 00:00:00", None, None) for i in range(120)], MESSAGES
+    )
+    codes = [None, "01003", "01001", "9", "x", "01005"]
+    counties = spark.createDataFrame([(u, codes[(u * 3 + j) % 6]) for u in range(6) for j in range(4)] + [(6, None)], "user_id long, cnty string")
+    fanned = clean.dedupe_messages(cleaning.located_messages(messages, counties))
+    reduced = cleaning.clean_messages(messages, counties, county=None)
+    assert sorted(map(str, fanned.collect())) == sorted(map(str, reduced.collect()))
+    assert cleaning.located_messages(messages, counties).count() > 120
+
+
+def test_funnel_counts_copies_without_building_them(small, spark):
+    messages, _ = small
+    counties = spark.createDataFrame([(1, "01001"), (1, "01003"), (1, None), (2, "1001"), (None, "x")], "user_id long, cnty string")
+    rows = {r["stage"]: r["row_count"] for r in cleaning.cleaning_funnel(messages, counties).collect()}
+    assert rows["located"] == 3 * 5 + 1 == clean.attach_county(clean.require_keys(messages), counties).count()
+    assert (rows["without_urls"], rows["unique"]) == (3 * 3 + 1, 4)

@@ -147,24 +147,27 @@ def _side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
     return second.select(first.scalar().alias(name), *second.columns)
 
 
-def funnel(stages: Mapping[str, DataFrame | tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
+def funnel(
+    stages: Mapping[str, DataFrame | tuple[DataFrame, Mapping[str, Column]]], copies: str = "copies"
+) -> DataFrame:
     """Row count after each stage, one row per stage, in one job.
 
     A stage is a DataFrame, or a DataFrame with named conditions that are applied one after the other on top
-    of it; such a run of filters is counted in a single pass. The counts are exact even when tasks are run
-    again after an executor was lost, which is not so for metrics observed while a shuffle is written.
+    of it; such a run of filters is counted in a single pass. A column named ``copies`` says how many rows a row
+    stands for. The counts are exact even when tasks are run again after an executor was lost, which is not so
+    for metrics observed while a shuffle is written.
     """
     counted = []
     for name, entry in stages.items():
         df, conditions = entry if isinstance(entry, tuple) else (entry, {})
-        columns, passed = [F.count(F.lit(1)).alias(name)], F.lit(True)
+        rows = F.col(copies) if copies in df.columns else F.lit(1)
+        passed, steps = F.lit(True), {name: F.lit(True)}
         for step, condition in conditions.items():
             passed = passed & F.coalesce(condition, F.lit(False))
-            columns.append(F.count_if(passed).alias(step))
-        counts = df.agg(*columns)
-        counted.append(
-            counts.select(
-                F.inline(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("row_count")) for c in counts.columns]))
-            )
+            steps[step] = passed
+        counts = df.agg(
+            *[F.coalesce(F.sum(F.when(test, rows)), F.lit(0)).cast("bigint").alias(s) for s, test in steps.items()]
         )
+        pairs = [F.struct(F.lit(s).alias("stage"), F.col(s).alias("row_count")) for s in steps]
+        counted.append(counts.select(F.inline(F.array(*pairs))))
     return reduce(DataFrame.unionByName, counted)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekpanel.functions import text
+from weekpanel.session import stage
 
 MESSAGE_KEYS = ("user_id", "message_id", "created_at")
 
@@ -62,6 +63,23 @@ def attach_county(messages: DataFrame, user_county: DataFrame, county_col: str =
     return messages.join(counties, "user_id", "inner")
 
 
+def first_county(user_county: DataFrame) -> DataFrame:
+    """One county per user: the smallest, null only where the user has no other. Staged, see :func:`stage`.
+
+    Of the copies of a message that differ in nothing but the county, :func:`dedupe_messages` keeps the one with
+    the smallest. Reducing the map before the join gives the same survivors and never builds the other copies,
+    however many counties a user has.
+    """
+    named = user_county.filter(F.col("user_id").isNotNull())
+    return stage(named.groupBy("user_id").agg(F.min("cnty").alias("cnty")), "counties")
+
+
+def county_counts(user_county: DataFrame) -> DataFrame:
+    """Number of map rows per user, staged: how many copies of a message :func:`attach_county` would give."""
+    named = user_county.filter(F.col("user_id").isNotNull())
+    return stage(named.groupBy("user_id").agg(F.count("*").alias("copies")), "copies")
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the first by ``order`` (ascending, nulls last).
 

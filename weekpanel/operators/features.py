@@ -35,8 +35,8 @@ def union_counties(base: DataFrame, missing: DataFrame) -> DataFrame:
 
 
 def set_difference(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Distinct rows of ``first`` that ``second`` does not have."""
-    return first.subtract(second)
+    """Distinct rows of ``first`` that ``second`` does not have; repeats are merged before the shuffle."""
+    return first.distinct().subtract(second.distinct())
 
 
 def explode_features(df: DataFrame, col: str, group: str = "fips") -> DataFrame:

@@ -51,21 +51,25 @@ def clean_messages(
     """One row per message id with a county, in the columns of a sampled batch.
 
     Counties are judged after the duplicates: the other way round, a user with a valid and an invalid county
-    could keep a different copy. Two shuffles at most: by user where the map is too large to broadcast, and
-    by message id. ``options`` are those of :func:`located_messages`.
+    could keep a different copy. The map is reduced to the county that would survive for each user, so messages
+    are not multiplied by counties. They are shuffled twice at most: by user where the map is too large to
+    broadcast, and by message id. ``options`` are those of :func:`located_messages`.
 
     With ``texts=False`` the same rows come without message, location and coordinates. Duplicates are settled
     by the short columns first, so the texts are not needed for it: a job that only counts never masks or
     shuffles them.
     """
-    located = located_messages(messages, user_county, **options)
+    located = located_messages(messages, clean.first_county(user_county), **options)
     unique = clean.dedupe_messages(located if texts else located.drop(*TEXTS))
     return unique if county is None else COUNTY_FILTERS[county](unique)
 
 
 def cleaning_funnel(messages: DataFrame, user_county: DataFrame, *, county: str = "valid") -> DataFrame:
-    """Rows after each step of :func:`clean_messages` in its default order, in three passes for eight counts."""
-    located = clean.attach_county(clean.require_keys(messages), user_county)
+    """Rows after each step of :func:`clean_messages` in its default order, in three passes for seven counts.
+
+    The county join multiplies messages by the counties of their user; those rows are counted, not built.
+    """
+    located = clean.require_keys(messages).join(clean.county_counts(user_county), "user_id")
     unique = clean_messages(messages, user_county, county=None, texts=False)
     keyed = {"keyed": _all_present(clean.MESSAGE_KEYS)}
     filters = {
@@ -92,4 +96,4 @@ def _all_present(cols: tuple[str, ...]) -> Column:
 def county_match_counts(messages: DataFrame, user_county: DataFrame, year: int) -> DataFrame:
     """Rows of one year before and after the county join."""
     rows = calendar.in_year(clean.parse_created_at(clean.require_keys(messages)), year)
-    return activity.funnel({"in_year": rows, "matched": clean.attach_county(rows, user_county)})
+    return activity.funnel({"in_year": rows, "matched": rows.join(clean.county_counts(user_county), "user_id")})
