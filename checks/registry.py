@@ -340,6 +340,17 @@ def _(t: Inputs) -> DataFrame:
     return calendar.county_week_key(t.cleaned(county=None)).select("message_id", "year_week_county")
 
 
+@query(
+    "county_week_key_user_first",
+    f"""SELECT o_orderkey, CAST(year AS VARCHAR) || '-' || CAST(week AS VARCHAR) || '_' || c_nationkey AS year_week_county
+ FROM (SELECT {ORDERS_KEYED}) o JOIN customer ON c_custkey = user_id""",
+)
+def _(t: Inputs) -> DataFrame:
+    homes = t.table("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("string").alias("fips"))
+    keyed = calendar.build_key(order_weeks(t)).join(homes, "user_id")
+    return calendar.county_week_key(keyed, layout=calendar.USER_FIRST).select("o_orderkey", "year_week_county")
+
+
 @query(
     "rename_columns",
     "SELECT user_year_week, user_id, fips AS group_id, weight AS user_weight FROM scores JOIN user_weights USING (user_id)",
@@ -892,6 +903,15 @@ def activity_report(t: Inputs) -> DataFrame:
     return panel.activity_report(t.cleaned(texts=False), ACTIVE, SUPER_FROM)
 
 
+@query(
+    "activity_panel_with_heavy_users",
+    f"SELECT {SAMPLED} FROM masked_cleaned WHERE user_year_week IN (SELECT user_year_week FROM masked_cleaned GROUP BY ALL"
+    f" HAVING count(*) BETWEEN {ACTIVE[0]} AND {ACTIVE[1]})",
+)
+def _(t: Inputs) -> DataFrame:
+    return sampled(panel.activity_panel(t.cleaned(order="mask_first"), ACTIVE, None))
+
+
 def fresh_batches(t: Inputs) -> DataFrame:
     return incremental.incremental_batches(
         t.cleaned(), prior(t), active=ACTIVE, super_from=SUPER_FROM, limit=BATCH_LIMIT

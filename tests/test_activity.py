@@ -46,6 +46,12 @@ def test_one_heavy_week_removes_all_weeks_of_its_user(messages):
     assert kept.columns == messages.columns
 
 
+def test_heavy_users_may_stay(messages):
+    kept = panel.activity_panel(messages, (5, 14), None)
+    assert {r["user_year_week"] for r in kept.collect()} == {"w1:1", "w1:2", "w1:3"}
+    assert panel.activity_report(messages, (5, 14), None).first()["messages"] == 24
+
+
 def test_panel_equals_the_chain_of_joins(messages):
     weeks = activity.week_counts(messages).filter(activity.in_band(F.col("message_count"), 5, 14))
     chained = activity.drop_superusers(activity.keep_band(messages, weeks), activity.superusers(messages, 15))

@@ -53,6 +53,13 @@ def test_county_week_key(spark):
     assert [r[2] for r in df.collect()] == ["2019_05_01001", "abc_01001", None, None, "42_01001"]
 
 
+def test_county_week_of_keys_with_the_user_first(spark):
+    df = spark.createDataFrame([("42:2021-5", "01001"), (None, "01001")], "user_year_week string, fips string")
+    assert [r[2] for r in calendar.county_week_key(df, layout=calendar.USER_FIRST).collect()] == ["2021-5_01001", None]
+    with pytest.raises(ValueError):
+        calendar.county_week_key(df, layout="other")
+
+
 def test_unknown_options_are_refused(times):
     with pytest.raises(ValueError):
         calendar.calendar_parts(times, "fiscal")

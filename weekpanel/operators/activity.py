@@ -92,16 +92,16 @@ def superusers(messages: DataFrame, from_count: int = SUPER_WEEK_FROM) -> DataFr
 
 
 def active_counts(
-    counts: DataFrame, active: tuple[int, int] = ACTIVE_WEEK, super_from: int = SUPER_WEEK_FROM
+    counts: DataFrame, active: tuple[int, int] = ACTIVE_WEEK, super_from: int | None = SUPER_WEEK_FROM
 ) -> DataFrame:
-    """Rows of :func:`staged_counts` in the active band whose user has no heavy week.
+    """Rows of :func:`staged_counts` in the active band whose user has no heavy week; None keeps heavy users.
 
     The band and the heavy users are settled on the counts, which are far smaller than the messages, so the
     messages themselves meet one semi-join instead of two semi-joins and an anti-join.
     """
     weeks = with_week_totals(counts)
     kept = weeks.filter(in_band(F.col("week_total"), *active))
-    return drop_superusers(kept, heavy_users(weeks, super_from))
+    return kept if super_from is None else drop_superusers(kept, heavy_users(weeks, super_from))
 
 
 def panel_stats(df: DataFrame) -> DataFrame:

@@ -59,7 +59,18 @@ def split_key(df: DataFrame, layout: str = USER_FIRST, col: str = "user_year_wee
 
 
 def county_week_key(
-    df: DataFrame, col: str = "user_year_week", county: str = "fips", out: str = "year_week_county"
+    df: DataFrame,
+    col: str = "user_year_week",
+    county: str = "fips",
+    out: str = "year_week_county",
+    layout: str = WEEK_FIRST,
 ) -> DataFrame:
-    """Text before the first ``:`` of the user-week key, then ``_`` and the county; null if either is null."""
-    return df.withColumn(out, F.concat(F.substring_index(F.col(col), ":", 1), F.lit("_"), F.col(county)))
+    """The year-week of the user-week key, then ``_`` and the county; null if either is null.
+
+    With the week first it is the text before the first ``:``, all of it if there is none; with the user first
+    it is the text after.
+    """
+    if layout not in (WEEK_FIRST, USER_FIRST):
+        raise ValueError(f"unknown layout {layout!r}")
+    year_week = F.substring_index(F.col(col), ":", 1 if layout == WEEK_FIRST else -1)
+    return df.withColumn(out, F.concat(year_week, F.lit("_"), F.col(county)))

@@ -11,11 +11,16 @@ from weekpanel.operators import calendar, rollup
 
 
 def weighted_scores(
-    scores: DataFrame, weights: DataFrame, *, default: float = DEFAULT_USER_WEIGHT, unique: bool = False
+    scores: DataFrame,
+    weights: DataFrame,
+    *,
+    default: float = DEFAULT_USER_WEIGHT,
+    unique: bool = False,
+    layout: str = calendar.WEEK_FIRST,
 ) -> DataFrame:
-    """Scores with ``user_weight`` and ``year_week_county``."""
+    """Scores with ``user_weight`` and ``year_week_county``. ``layout`` is that of the user-week keys."""
     weighted = rollup.default_weight(rollup.attach_weights(scores, weights, unique), default)
-    return calendar.county_week_key(weighted.withColumnRenamed("weight", "user_weight"))
+    return calendar.county_week_key(weighted.withColumnRenamed("weight", "user_weight"), layout=layout)
 
 
 def county_week_scores(
@@ -26,7 +31,8 @@ def county_week_scores(
     null_weights: str = "keep",
     weighted_std: bool = False,
     unique: bool = False,
+    layout: str = calendar.WEEK_FIRST,
 ) -> DataFrame:
     """One row per county-week and feature; the features are aggregated together and melted afterwards."""
-    weighted = weighted_scores(scores, weights.select("user_id", "weight"), unique=unique)
+    weighted = weighted_scores(scores, weights.select("user_id", "weight"), unique=unique, layout=layout)
     return rollup.county_week_rollup_wide(weighted, features, null_weights, weighted_std)

@@ -18,7 +18,7 @@ def incremental_batches(
     prior: DataFrame,
     *,
     active: tuple[int, int] = ACTIVE_WEEK,
-    super_from: int = SUPER_WEEK_FROM,
+    super_from: int | None = SUPER_WEEK_FROM,
     limit: int = BATCH_LIMIT,
     max_batches: int | None = None,
     drop_tail: bool = False,

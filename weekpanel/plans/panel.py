@@ -15,10 +15,10 @@ KEY = activity.KEY
 def activity_panel(
     cleaned: DataFrame,
     active: tuple[int, int] = ACTIVE_WEEK,
-    super_from: int = SUPER_WEEK_FROM,
+    super_from: int | None = SUPER_WEEK_FROM,
     staged: bool = False,
 ) -> DataFrame:
-    """Messages of active user-weeks whose user has no heavy week.
+    """Messages of active user-weeks whose user has no heavy week; ``super_from=None`` keeps heavy users.
 
     The cleaned rows are counted, then selected from. They are staged in between unless the caller says that
     they lie in a table already (``staged=True``), so cleaning runs once.
@@ -29,7 +29,7 @@ def activity_panel(
 
 
 def activity_report(
-    cleaned: DataFrame, active: tuple[int, int] = ACTIVE_WEEK, super_from: int = SUPER_WEEK_FROM
+    cleaned: DataFrame, active: tuple[int, int] = ACTIVE_WEEK, super_from: int | None = SUPER_WEEK_FROM
 ) -> DataFrame:
     """Messages, user-weeks, users and counties of :func:`activity_panel`, in one row.
 
