@@ -69,13 +69,12 @@ def _group_mean(
         rows = rows.filter(F.col(weight) != 0)
     flat = F.flatten(col) if layered else F.col(col)
     value = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = rows.select(
-        *keys, array_to_vector(flat).alias("_vector"), value.alias("_weight"), *([F.size(col).alias("_layers")] if layered else [])
-    )
+    n_layers = F.size(col) if layered else F.lit(1)
+    rows = rows.select(*keys, array_to_vector(flat).alias("_vector"), value.alias("_weight"), n_layers.alias("_layers"))
     means = rows.groupBy(*keys).agg(
         Summarizer.mean(F.col("_vector"), F.col("_weight")).alias("_mean"),
         F.count("*").alias("message_count"),
-        *([F.max("_layers").alias("_layers")] if layered else []),
+        F.max("_layers").alias("_layers"),
     )
     mean = vector_to_array("_mean")
     if layered:
