@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import exact_dedup, sharding
+from weekpanel.llm import exact_dedup, near_join, sharding
 from weekpanel.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.mark_copies(read_table(spark, folder, "documents"))
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_join.near_groups(read_table(spark, folder, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")
