@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import exact_dedup, near_join, sharding
+from weekpanel.llm import decontaminate, exact_dedup, licences, near_join, sharding
 from weekpanel.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_join.near_groups(read_table(spark, folder, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_decontamination")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminations(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
+    )
+
+
+@query("op9_licence_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licence_notices(read_table(spark, folder, "documents"))
