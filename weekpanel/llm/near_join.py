@@ -27,7 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekpanel.llm import signature_tree as trees
@@ -403,7 +403,11 @@ def _links(pairs: DataFrame, whole: DataFrame, staging: Staging, name: str) -> D
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class and hash (of the text) of every document."""
+    """doc_id, n_shingles, component_id, class, hash (of the text) and kept of every document.
+
+    Kept is one document of each group: the one with the smallest doc_id, and of several texts under that the one with
+    the smallest hash. Rows repeated with doc_id and text are all marked.
+    """
     staging = Staging(docs.sparkSession, "near-join")
     sets, salt = described(docs, staging)
     maps = sets.filter("bits IS NOT NULL").select("class", "n", "bits").dropDuplicates(["class"])
@@ -423,11 +427,48 @@ def near_groups(docs: DataFrame) -> DataFrame:
     roots = staging.write(components(links.unionByName(more), staging, "second"), "roots")
 
     # From here on a row is a class, not a document.
-    classes = sets.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    first = F.min(F.struct(*_key()))
+    classes = sets.filter("class IS NOT NULL").groupBy("class").agg(first.alias("first"))
     classes = staging.write(classes, "classes").join(roots.withColumnRenamed("node", "class"), "class", "left")
     classes = staging.write(classes.withColumn("root", F.coalesce("root", "class")), "rooted")
-    named = staging.write(classes.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    names = staging.write(classes.join(named, "root").select("class", "component_id"), "names")
+    named = staging.write(classes.groupBy("root").agg(F.min("first").alias("first")), "named")
+    names = staging.write(classes.drop("first").join(named, "root").select("class", "first"), "names")
     staging.drop("classes", "rooted", "named")
     joined = sets.select("doc_id", F.col("n").alias("n_shingles"), "class", "hash").join(names, "class", "left")
-    return joined.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    alone = F.col("class").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.when(~F.col("first.none"), F.col("first.id")))
+    kept = alone | (F.struct(*_key()) == F.col("first"))
+    return joined.withColumns({"component_id": component, "kept": kept}).drop("first")
+
+
+def _key(text_hash: Column | None = None) -> list[Column]:
+    """A document's doc_id and text hash as columns without nulls, null doc_ids last."""
+    number = F.col("doc_id").cast("bigint")
+    text_hash = F.coalesce(F.col("hash") if text_hash is None else text_hash, F.lit(0))
+    return [number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("id"), text_hash.alias("hash")]
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns, one of each group: the one with the smallest doc_id, null last.
+
+    What is dropped is told by doc_id and text hash: a broadcast up to ``BROADCAST_ROWS`` of them, else a shuffle.
+    """
+    staging = Staging(docs.sparkSession, "one-per-group")
+    groups = near_groups(docs)
+    names = ["_none", "_id", "_hash"]
+    keys = [c.alias(n) for c, n in zip(_key(), names, strict=True)]
+    keyed = groups.select("n_shingles", "kept", *keys)
+    dropped = staging.write(keyed.filter(~F.col("kept")).select(*names).distinct(), "dropped")
+    again = keyed.filter("kept AND n_shingles > 0").groupBy(*names).agg(F.count("*").alias("k")).filter("k > 1")
+    again = staging.write(again.select(*names), "again")
+
+    def small(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+    here = [c.alias(n) for c, n in zip(_key(F.xxhash64("text")), names, strict=True)]
+    rows = docs.select("*", *here).join(small(dropped), names, "left_anti")
+    if not again.isEmpty():  # rows repeated with doc_id and text: one of them stays
+        order = Window.partitionBy(*names).orderBy(F.xxhash64(*docs.columns))
+        repeated = rows.join(small(again), names, "left_semi").withColumn("_k", F.row_number().over(order))
+        rows = rows.join(small(again), names, "left_anti").unionByName(repeated.filter("_k = 1").drop("_k"))
+    return rows.select(*docs.columns)

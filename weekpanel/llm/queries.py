@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import decontaminate, exact_dedup, licences, near_join, sharding
+from weekpanel.llm import decontaminate, exact_dedup, licences, mixing, near_join, quality, sharding
 from weekpanel.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_licence_scan")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licence_notices(read_table(spark, folder, "documents"))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query("op2_mixing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.document_rates(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))

@@ -66,10 +66,19 @@ class Words:
             longest = int((self.ends - self.starts).max())
             powers = _powers(longest + 1)
             weighted = _VALUE[buffer[self.starts[0] :]] * powers[np.minimum(place, longest)]
+            self._weighted, self._place = weighted, place
             self.hashes = mixed(np.add.reduceat(weighted, self.starts - self.starts[0]))
         else:
+            self._weighted = None
             self.hashes = np.empty(0, dtype=_U)
 
+    def beginnings(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of every word."""
+        if self._weighted is None:
+            return np.empty(0, dtype=_U)
+        first = np.where(self._place < size, self._weighted, _U(0))
+        return mixed(np.add.reduceat(first, self.starts - self.starts[0]))
+
     def shingles(self, width: int = WIDTH, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``width`` words of a text, and where each text's begin.
 
