@@ -13,22 +13,25 @@ def _least(edges: DataFrame, staging: Staging, name: str) -> DataFrame:
     return staging.write(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node hangs on one other, on which nothing else but its like hangs."""
+    twice = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    middle = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return twice.unionByName(middle).isEmpty()
 
 
 def components(links: DataFrame, staging: Staging, label: str) -> DataFrame:
     """(node, root) of every node that has a link in ``links`` (a, b); the root is the component's smallest node.
 
     A large star hangs a node's larger neighbours on its smallest one, a small star the smaller ones. Both keep the
-    components and never add edges; when nothing changes, every component is a star around its smallest node. The
+    components and never add edges, until every component is a star around its smallest node. The
     number of rounds grows with the logarithm of the number of nodes.
     """
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = staging.write(links.filter("a <> b").select(a, b).distinct(), f"{label}-0")
-    before, turn = None, 0
-    while (now := _state(edges)) != before:
-        before, turn = now, turn + 1
+    turn = 0
+    while not _are_stars(edges):
+        turn += 1
         both = edges.selectExpr("a AS u", "b AS v").unionByName(edges.selectExpr("b AS u", "a AS v"))
         least = _least(both, staging, f"{label}-large-{turn}")
         large = staging.write(

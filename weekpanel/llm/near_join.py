@@ -42,8 +42,9 @@ OFTEN = 4
 FREQUENT = 2**18
 #: Members of a chunk of a block, checks for one copy of a hub's set, and rows up to which ids are broadcast.
 MEMBERS = 256
+LEAF = 16
 CHECKS = 128
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 SEEDS = 3
 
 
@@ -86,7 +87,7 @@ def frequent_shingles(docs: DataFrame, staging: Staging) -> tuple[np.ndarray, np
     return shingles[order], counts[order]
 
 
-SETS = "doc_id long, hash long, n long, class long, print binary, bits binary, found_by array<long>"
+SETS = "doc_id long, hash long, n long, class long, print binary, bits binary, rare array<long>, often array<long>"
 
 
 def _sets(batches: Iterable[pa.RecordBatch], frequent, salt: int) -> Iterator[pa.RecordBatch]:
@@ -95,20 +96,22 @@ def _sets(batches: Iterable[pa.RecordBatch], frequent, salt: int) -> Iterator[pa
     for batch, texts in slices(batches):
         sets = distinct(*Words(texts).shingles())
         bits = trees.bitmaps(sets)
-        classes, prints, maps, found_by = [], [], [], []
+        classes, prints, maps, found_by = [], [], [], ([], [])
         for k, one in enumerate(sets):
             if not len(one):
-                classes.append(None), prints.append(None), maps.append(None), found_by.append(None)
+                classes.append(None), prints.append(None), maps.append(None)
+                found_by[0].append(None), found_by[1].append(None)
                 continue
             digest = blake2b(one.tobytes(), digest_size=16, salt=salt.to_bytes(16)).digest()
             prints.append(digest)
             classes.append(int.from_bytes(digest[:8], "little", signed=True))
             if digest in met:  # a copy of one that this task has described already
-                maps.append(None), found_by.append(None)
+                maps.append(None), found_by[0].append(None), found_by[1].append(None)
                 continue
             met.add(digest)
             maps.append(bits[k].tobytes())
-            found_by.append(_first(one, often, times).view(np.int64))
+            for column, finders in zip(found_by, _first(one, often, times), strict=True):
+                column.append(finders.view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -117,20 +120,27 @@ def _sets(batches: Iterable[pa.RecordBatch], frequent, salt: int) -> Iterator[pa
                 pa.array(classes, pa.int64()),
                 pa.array(prints, pa.binary()),
                 pa.array(maps, pa.binary()),
-                pa.array(found_by, pa.list_(pa.int64())),
+                *(pa.array(column, pa.list_(pa.int64())) for column in found_by),
             ],
-            ["doc_id", "hash", "n", "class", "print", "bits", "found_by"],
+            ["doc_id", "hash", "n", "class", "print", "bits", "rare", "often"],
         )
 
 
-def _first(one: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first ``size - ceil(3/4 size) + 1`` elements, the frequent ones last and by how frequent they are."""
-    count = len(one) // 4 + 1
+def finders(size: int) -> int:
+    """A set that links with another shares one of its first so many elements: ``size - ceil(3/4 size) + 1``."""
+    return size // 4 + 1
+
+
+def _first(one: np.ndarray, often: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements by which a set is found, those that are not frequent first; the frequent ones apart."""
+    count = finders(len(one))
     if not len(often):
-        return one[:count]
+        return one[:count], one[:0]
     at = np.minimum(np.searchsorted(often, one), len(often) - 1)
     rank = np.where(often[at] == one, times[at], 0)
-    return one[:count] if not rank.any() else one[np.lexsort((one, rank))[:count]]
+    order = np.lexsort((one, rank))[:count] if rank.any() else np.arange(count)
+    met = rank[order] > 0
+    return one[order[~met]], one[order[met]]
 
 
 def described(docs: DataFrame, staging: Staging) -> tuple[DataFrame, int]:
@@ -193,21 +203,23 @@ def _blocks(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[dict
         yield block()
 
 
-def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+def _counted(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    both, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0, return_counts=True)
+    columns = (np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), n)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "blocks"])
 
 
 def _gathered(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(a, b, blocks): pairs and in how many blocks they were found."""
     left, right, rows = [], [], 0
     for a, b in found:
         left.append(a), right.append(b)
         rows += len(a)
         if rows > 100_000:
-            yield _pairs(left, right)
+            yield _counted(left, right)
             left, right, rows = [], [], 0
-    yield _pairs(left, right)
+    yield _counted(left, right)
 
 
 def _hub_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,47 +250,38 @@ def _cross_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_sorted_blocks(rows: DataFrame, keys: list[str], run) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(run, "a long, b long").distinct()
+    """(a, b, blocks): the pairs that a function over blocks gives, and in how many blocks."""
+    pairs = rows.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(run, "a long, b long, blocks long")
+    return pairs.groupBy("a", "b").agg(F.sum("blocks").alias("blocks"))
 
 
-def _only(batches: Iterable[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    """One row per class and shingle, of the shingles in ``wanted`` (sorted)."""
-    for batch in batches:
-        lists = batch.column("found_by")
-        shingles = lists.flatten().to_numpy().view(np.uint64)
-        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-        at = np.minimum(np.searchsorted(wanted.value, shingles), max(len(wanted.value) - 1, 0))
-        kept = wanted.value[at] == shingles if len(wanted.value) else np.zeros(len(shingles), dtype=bool)
-        arrays = [pa.array(shingles[kept].view(np.int64))]
-        arrays += [batch.column(c).take(pa.array(row[kept])) for c in ("class", "n")]
-        yield pa.RecordBatch.from_arrays(arrays, ["shingle", "class", "n"])
+def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of a few numbers a row: broadcast up to so many rows, else left to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def _shared_shingles(sets: DataFrame, staging: Staging) -> DataFrame:
-    """Staged (shingle, class, n): the shingles that find classes, where they find more than one.
+    """Staged (shingle, class, n): the shingles that find classes, where they may find more than one.
 
-    Shingles are counted with map-side aggregation, and only the number of each is shuffled. Most are met once.
+    A block of a shingle that is not frequent is small enough for a window. Frequent ones need none.
     """
-    finders = sets.filter("found_by IS NOT NULL").select("found_by", "class", "n")
-    counts = finders.select(F.explode("found_by").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k"))
-    several = staging.write(counts.filter("k > 1").select("shingle"), "several")
-    if several.count() <= BROADCAST_ROWS:  # 8 bytes each
-        values = np.sort(several.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
-        wanted = sets.sparkSession.sparkContext.broadcast(values)
-        rows = finders.mapInArrow(lambda it: _only(it, wanted), "shingle long, class long, n long")
-    else:  # beyond that, a shuffle of all finding shingles
-        rows = finders.select(F.explode("found_by").alias("shingle"), "class", "n").join(several, "shingle")
-    return staging.write(rows.distinct(), "shared")
+    rows = sets.filter("rare IS NOT NULL")
+    rare = rows.select(F.explode("rare").alias("shingle"), "class", "n")
+    block = Window.partitionBy("shingle")
+    several = F.min("class").over(block) != F.max("class").over(block)
+    rare = rare.withColumn("_several", several).filter("_several").drop("_several")
+    often = rows.select(F.explode("often").alias("shingle"), "class", "n")
+    return staging.write(rare.distinct().unionByName(often.distinct()), "shared")
 
 
 def _hub_candidates(shared: DataFrame, maps: DataFrame, staging: Staging) -> DataFrame:
-    """Staged (a, b): every class and the hubs of its first shared shingles.
+    """Staged (a, b): every class and the hubs of a few of its shared shingles (its least ones by several hashes).
 
     Hubs are only tried first, so a large block may be looked at in chunks; its smallest class is in all of them.
     """
-    per_class = Window.partitionBy("class").orderBy(F.xxhash64("shingle"), "shingle")
-    seeds = shared.withColumn("_k", F.row_number().over(per_class)).filter(F.col("_k") <= SEEDS).drop("_k", "n")
-    seeds = staging.write(seeds, "seeds")
+    least = [F.min_by("shingle", F.xxhash64("shingle", F.lit(k))) for k in range(SEEDS)]
+    seeds = shared.groupBy("class").agg(F.array_distinct(F.array(*least)).alias("shingles"))
+    seeds = staging.write(seeds.select(F.explode("shingles").alias("shingle"), "class"), "seeds")
     blocks = seeds.groupBy("shingle").agg(F.min("class").alias("hub"), F.count("*").alias("k")).filter("k > 1")
     blocks = staging.write(blocks.withColumn("chunks", F.ceil(F.col("k") / MEMBERS)), "seed-blocks")
     chunk = F.pmod(F.xxhash64("shingle", "class"), F.col("chunks")).alias("chunk")
@@ -289,31 +292,57 @@ def _hub_candidates(shared: DataFrame, maps: DataFrame, staging: Staging) -> Dat
 
 
 def _cross_candidates(shared: DataFrame, roots: DataFrame, maps: DataFrame, staging: Staging) -> DataFrame:
-    """Staged (a, b): pairs of classes in different components that may be links, from all blocks that have any."""
-    known = shared.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    known = staging.write(
-        known.select("shingle", "class", "n", F.coalesce("root", "class").alias("component")), "known"
-    )
+    """Staged (a, b): pairs of classes in different components that may be links, from all blocks that have any.
+
+    The common elements of a pair's sets that are among the finders of the one whose finders end first are among
+    those of the other, too. So they share no more than the number of their blocks and what is left of that set, and
+    a pair that meets in too few blocks is no link.
+    """
+    roots = _small(roots.withColumnRenamed("node", "class"))
+    known = shared.join(roots, "class", "left")
+    known = known.select("shingle", "class", "n", F.coalesce("root", "class").alias("component"))
     low, high = F.min("component").alias("low"), F.max("component").alias("high")
-    blocks = known.groupBy("shingle").agg(low, high).filter("low <> high").select("shingle")
-    mixed = staging.write(known.join(staging.write(blocks, "mixed-blocks"), "shingle", "left_semi"), "mixed")
+    blocks = known.groupBy("shingle").agg(low, high, F.count("*").alias("k")).filter("low <> high")
+    blocks = staging.write(blocks.select("shingle", "k"), "mixed-blocks")
+    mixed = staging.write(known.join(_small(blocks), "shingle"), "mixed")
+
+    # A block of no more members than a leaf is one: its pairs are told apart by size, component and what follows.
+    leaves = mixed.filter(F.col("k") <= LEAF).drop("k")
+    one, two = leaves.alias("one"), leaves.alias("two")
+    near = "4 * one.n >= 3 * two.n AND 4 * two.n >= 3 * one.n AND one.component <> two.component"
+    inside = one.join(two, F.col("one.shingle") == F.col("two.shingle")).filter("one.class < two.class AND " + near)
+    inside = inside.groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b")).agg(F.count("*").alias("blocks"))
+
+    pairs = staging.write(inside.unionByName(_from_large_blocks(mixed, maps, staging)), "cross-pairs")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("blocks").alias("blocks"))
+    sizes = staging.write(maps.select("class", "n"), "sizes")
+    pairs = pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("n_a")), "a")
+    pairs = pairs.join(sizes.select(F.col("class").alias("b"), F.col("n").alias("n_b")), "b")
+    rest = "greatest(n_a - (n_a div 4 + 1), n_b - (n_b div 4 + 1))"
+    pairs = pairs.filter(f"7 * (blocks + {rest}) >= 3 * (n_a + n_b)").select("a", "b")
+    pairs = staging.write(pairs, "cross")
+    staging.drop("mixed-blocks", "mixed", "cross-pairs", "sizes")
+    return pairs
+
 
+def _from_large_blocks(mixed: DataFrame, maps: DataFrame, staging: Staging) -> DataFrame:
+    """Pairs from blocks of more members than a leaf, by dual traversal of their trees."""
+    low, high = F.min("component").alias("low"), F.max("component").alias("high")
     # Chunks of bounded size. A component with many members in a block has chunks of its own, small ones share.
     # Sizes that differ by more than a third are in different chunks.
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band")
-    mixed = mixed.select("*", band)
-    own = mixed.groupBy("shingle", "band", "component").agg(F.count("*").alias("k"))
-    own = staging.write(own.filter(F.col("k") > MEMBERS / 4), "large-shares")
-    own = own.withColumn("parts", F.ceil(F.col("k") / MEMBERS)).drop("k")
-    pooled = mixed.groupBy("shingle", "band").agg(F.count("*").alias("k"))
+    large = mixed.filter(F.col("k") > LEAF).select("shingle", "class", "n", "component", band)
+    own = large.groupBy("shingle", "band", "component").agg(F.count("*").alias("k"))
+    own = own.filter(F.col("k") > MEMBERS / 4).withColumn("parts", F.ceil(F.col("k") / MEMBERS)).drop("k")
+    own = staging.write(own, "large-shares")
+    pooled = large.groupBy("shingle", "band").agg(F.count("*").alias("k"))
     pooled = staging.write(pooled.select("shingle", "band", F.ceil(F.col("k") / MEMBERS).alias("pools")), "pools")
-    rows = mixed.join(own, ["shingle", "band", "component"], "left").join(pooled, ["shingle", "band"])
+    rows = large.join(own, ["shingle", "band", "component"], "left").join(pooled, ["shingle", "band"])
     chunk = F.when(
         F.col("parts").isNotNull(),
         F.xxhash64("band", F.lit("own"), "component", F.pmod(F.xxhash64("class"), F.col("parts"))),
     ).otherwise(F.xxhash64("band", F.lit("pool"), F.pmod(F.xxhash64("component"), F.col("pools"))))
-    rows = rows.select("shingle", chunk.alias("chunk"), "class", "n", "component")
-    rows = staging.write(rows, "chunked")
+    rows = staging.write(rows.select("shingle", chunk.alias("chunk"), "class", "n", "component"), "chunked")
 
     # The upper nodes of the trees: one row per chunk, joined with those of the same shingle that may hold a link.
     nodes = rows.groupBy("shingle", "chunk").agg(F.min("n").alias("small"), F.max("n").alias("large"), low, high)
@@ -328,8 +357,8 @@ def _cross_candidates(shared: DataFrame, roots: DataFrame, maps: DataFrame, stag
     members = rows.join(staging.write(dealt, "meetings"), ["shingle", "chunk"])
     members = members.join(maps.drop("n"), "class")
     members = members.select("shingle", "one", "two", "chunk", "class", "n", "component", "bits")
-    pairs = staging.write(_in_sorted_blocks(members, ["shingle", "one", "two"], _cross_pairs), "cross-pairs")
-    staging.drop("known", "mixed-blocks", "mixed", "large-shares", "pools", "chunked", "chunks", "meetings")
+    pairs = staging.write(_in_sorted_blocks(members, ["shingle", "one", "two"], _cross_pairs), "walked")
+    staging.drop("large-shares", "pools", "chunked", "chunks", "meetings")
     return pairs
 
 
@@ -353,8 +382,7 @@ def _whole_sets(
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash"))
     of_class = sets.join(wanted, "class", "left_semi").groupBy("class").agg(first.alias("at"), F.min("print").alias("print"))
     of_class = staging.write(of_class.select("class", "print", "at.*"), f"{name}-at")
-    if wanted.count() <= BROADCAST_ROWS:
-        of_class = F.broadcast(of_class)  # at most BROADCAST_ROWS rows of some 50 bytes; beyond, a shuffle
+    of_class = _small(of_class)
     slim = docs.select(
         F.col("doc_id").isNull().alias("none"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"),
@@ -416,12 +444,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     first = _hub_candidates(shared, maps, staging)
     links = _links(first, _whole_sets(docs, sets, first, salt, staging, "whole-1"), staging, "links-1")
-    staging.drop("whole-1", "seeds", "seed-blocks", "several")
+    staging.drop("whole-1", "seeds", "seed-blocks")
     roots = components(links, staging, "first")
 
     crossing = _cross_candidates(shared, roots, maps, staging).join(first, ["a", "b"], "left_anti")
     crossing = staging.write(crossing, "untried")
-    staging.drop("shared", "cross-pairs", "maps")
+    staging.drop("shared", "cross", "walked", "maps")
     more = _links(crossing, _whole_sets(docs, sets, crossing, salt, staging, "whole-2"), staging, "links-2")
     staging.drop("whole-2")
     roots = staging.write(components(links.unionByName(more), staging, "second"), "roots")
@@ -462,13 +490,10 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     again = keyed.filter("kept AND n_shingles > 0").groupBy(*names).agg(F.count("*").alias("k")).filter("k > 1")
     again = staging.write(again.select(*names), "again")
 
-    def small(keys: DataFrame) -> DataFrame:
-        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-
     here = [c.alias(n) for c, n in zip(_key(F.xxhash64("text")), names, strict=True)]
-    rows = docs.select("*", *here).join(small(dropped), names, "left_anti")
+    rows = docs.select("*", *here).join(_small(dropped), names, "left_anti")
     if not again.isEmpty():  # rows repeated with doc_id and text: one of them stays
         order = Window.partitionBy(*names).orderBy(F.xxhash64(*docs.columns))
-        repeated = rows.join(small(again), names, "left_semi").withColumn("_k", F.row_number().over(order))
-        rows = rows.join(small(again), names, "left_anti").unionByName(repeated.filter("_k = 1").drop("_k"))
+        repeated = rows.join(_small(again), names, "left_semi").withColumn("_k", F.row_number().over(order))
+        rows = rows.join(_small(again), names, "left_anti").unionByName(repeated.filter("_k = 1").drop("_k"))
     return rows.select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import decontaminate, exact_dedup, licences, mixing, near_join, quality, sharding
+from weekpanel.llm import decontaminate, exact_dedup, licences, mixing, near_join, personal_data, quality, sharding
 from weekpanel.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_mixing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.document_rates(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(read_table(spark, folder, "documents"))

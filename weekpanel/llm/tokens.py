@@ -30,14 +30,14 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _VALUE = mixed(np.arange(1, 257, dtype=_U) * _U(_BASE))
 _VALUE[_SPACE] = 0
-_POWERS = np.ones(64, dtype=_U)
+_POWERS = np.ones(0, dtype=_U)
 _PLACES = mixed(np.arange(7, 64, dtype=_U) * _U(_BASE)) | _U(1)
 
 
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
-        factors = np.full(max(n, 2 * len(_POWERS)), _U(_BASE | 1), dtype=_U)
+        factors = np.full(max(n, 64, 2 * len(_POWERS)), _U(_BASE | 1), dtype=_U)
         factors[0] = 1
         _POWERS = np.cumprod(factors, dtype=_U)
     return _POWERS
