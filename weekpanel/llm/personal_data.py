@@ -108,11 +108,12 @@ def _located(docs: DataFrame, staging: Staging) -> DataFrame:
     parts += [F.when(digit, _matches(text, k, PATTERNS[k])).otherwise(nothing) for k in ("ip", "card")]
     parts += [F.when(digit & text.contains("+"), _matches(text, "phone", PATTERNS["phone"])).otherwise(nothing)]
     parts += [F.when(digit | text.contains("@"), _matches(text, TOKEN, TOKEN_PATTERN)).otherwise(nothing)]
+    # The number first: given beside the explode, it would number the matches.
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.explode_outer(F.concat(*parts)).alias("match"),
-    )
+        F.concat(*parts).alias("matches"),
+    ).select("row", "doc_id", F.explode_outer("matches").alias("match"))
     rows = staging.write(rows.select("row", "doc_id", "match.*"), "matches")
     length = F.char_length("value")
     in_order = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import decontaminate, exact_dedup, licences, mixing, near_join, personal_data, quality, sharding
-from weekpanel.llm.shared import read_table
+from weekpanel.llm import (
+    decontaminate,
+    exact_dedup,
+    licences,
+    main_text,
+    mixing,
+    near_join,
+    personal_data,
+    quality,
+    sharding,
+    token_file,
+)
+from weekpanel.llm.shared import Staging, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +89,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_personal_data")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.personal_data(read_table(spark, folder, "documents"))
+
+
+@query("op5_token_file")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = Staging(spark, "token-file").path("ids")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    token_file.write_token_file(read_table(spark, folder, "documents"), path, str(tokenizer))
+    return token_file.read_token_file(spark, path)
+
+
+@query("op7_main_text")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.main_texts(read_table(spark, folder, "pages"))
