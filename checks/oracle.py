@@ -15,6 +15,7 @@ from checks.adapters import (
     duckdb_text,
 )
 
+# The patterns and column names of the library, as SQL.
 RETWEET = r"regexp_matches(message, '^RT @\w+:')"
 URL = (
     "regexp_matches(message, "

@@ -97,8 +97,11 @@ def county_means(t: Inputs) -> DataFrame:
 
 
 def missing_counties(t: Inputs) -> DataFrame:
+    """Raw copies, every other one without a vector; of the others of a county all are equal."""
     rows = t.missing_counties.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return features.dedupe_counties(rows, order=["vec_id"]).select("fips", "embedding")
+    first = features.dedupe_counties(rows, order=["vec_id"])
+    empty = rows.select("fips", F.array().cast("array<double>").alias("embedding"))
+    return first.select("fips", "embedding").unionByName(empty)
 
 
 # -- sources and sinks ----------------------------------------------------------------------------------------------
@@ -423,6 +426,15 @@ def _(t: Inputs) -> DataFrame:
     return raw_rounded(score.fused_scores(vectors_of(t), t.models, arrow=False))
 
 
+@query(
+    "fused_score_float",
+    "SELECT user_year_week, round(CAST(CAST(dep_score AS FLOAT) AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS dep_score FROM raw_scores",
+)
+def _(t: Inputs) -> DataFrame:
+    scored = score.fused_scores(vectors_of(t), t.models, as_float=True)
+    return scored.select(KEY, (F.round(F.col("dep_score").cast("double"), 4) + F.lit(0.0)).alias("dep_score"))
+
+
 @query("fused_score_arrow", RAW_SCORES)
 def _(t: Inputs) -> DataFrame:
     return raw_rounded(score.fused_scores(vectors_of(t), t.models, arrow=True))
@@ -598,11 +610,27 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "panel_stats_embeddings",
-    """SELECT count(DISTINCT user_id) AS messages, count(DISTINCT user_year_week) AS user_weeks, count(DISTINCT user_id) AS users,
- count(DISTINCT fips) AS counties FROM valid_weeks""",
+    """SELECT count(DISTINCT message_id) AS messages, count(DISTINCT user_year_week) AS user_weeks,
+ count(DISTINCT user_id) AS users, count(DISTINCT fips) AS counties FROM message_vectors""",
+)
+def _(t: Inputs) -> DataFrame:
+    return activity.panel_stats(t.message_vectors)
+
+
+@query(
+    "panel_stats_two_columns",
+    "SELECT count(DISTINCT message_id) + max(CASE WHEN message_id IS NULL THEN 1 ELSE 0 END) AS messages,"
+    " count(DISTINCT user_id) AS users FROM messages",
 )
 def _(t: Inputs) -> DataFrame:
-    return activity.panel_stats(layered(t).withColumn("message_id", F.col("user_id")))
+    return activity.panel_stats(t.messages.select("message_id", "user_id"))
+
+
+@query("approx_panel_stats", "SELECT 4 AS within_a_tenth")
+def _(t: Inputs) -> DataFrame:
+    sketched, exact = activity.approx_panel_stats(t.cleaned()), activity.panel_stats(t.cleaned())
+    near = [F.abs(F.col(f"s.{c}") - F.col(f"e.{c}")) <= 0.1 * F.col(f"e.{c}") for c in exact.columns]
+    return sketched.alias("s").join(exact.alias("e")).select(sum(n.cast("int") for n in near).alias("within_a_tenth"))
 
 
 @query(
@@ -655,13 +683,15 @@ ROLLUP_STATS = {
     "avg_score": "avg(feat_score)",
     "std_score": "stddev_pop(feat_score)",
 }
-WEIGHTED_STD = """sqrt(greatest(sum(feat_score * feat_score * user_weight) / sum(user_weight)
- - (sum(feat_score * user_weight) / sum(user_weight)) ** 2, 0))"""
+# By the definition: the mean first, then the squares around it.
+WEIGHTED_STD = "sqrt(sum(user_weight * (feat_score - around) ** 2) / sum(user_weight))"
+AROUND = "sum(feat_score * user_weight) OVER (PARTITION BY year_week_county, feat) / sum(user_weight) OVER (PARTITION BY year_week_county, feat)"
 
 
-def rollup_sql(stats: Mapping[str, str]) -> str:
+def rollup_sql(stats: Mapping[str, str], table: str = "melted") -> str:
     columns = ", ".join(f"{r6(sql)} AS {name}" for name, sql in stats.items())
-    return f"SELECT year_week_county, feat, {columns}, count(DISTINCT user_id) AS N_users FROM melted GROUP BY year_week_county, feat"
+    source = f"(SELECT *, {AROUND} AS around FROM {table}) m" if "around" in columns else table
+    return f"SELECT year_week_county, feat, {columns}, count(DISTINCT user_id) AS N_users FROM {source} GROUP BY year_week_county, feat"
 
 
 def rolled(df: DataFrame) -> DataFrame:
@@ -678,14 +708,45 @@ def _(t: Inputs) -> DataFrame:
     return rolled(rollup.county_week_rollup(rollup.melt_scores(weighted_of(t)), weighted_std=True))
 
 
+# Every fifth score of a user is missing.
+GAPS = "(SELECT * REPLACE (CASE WHEN user_id % 5 = 2 THEN NULL ELSE feat_score END AS feat_score) FROM melted) g"
+
+
+def with_gaps(t: Inputs) -> DataFrame:
+    score_or_none = F.when(F.col("user_id") % 5 != 2, F.col("feat_score"))
+    return rollup.melt_scores(weighted_of(t)).withColumn("feat_score", score_or_none)
+
+
+@query("weighted_std_null_scores", rollup_sql({**ROLLUP_STATS, "std_score_wt": WEIGHTED_STD}, GAPS))
+def _(t: Inputs) -> DataFrame:
+    return rolled(rollup.county_week_rollup(with_gaps(t), weighted_std=True))
+
+
+@query(
+    "weighted_std_null_scores_dropped",
+    rollup_sql({**ROLLUP_STATS, "std_score_wt": WEIGHTED_STD}, f"(SELECT * FROM {GAPS} WHERE feat_score IS NOT NULL) h"),
+)
+def _(t: Inputs) -> DataFrame:
+    scored = rollup.county_week_rollup(with_gaps(t), null_weights="drop", weighted_std=True)
+    return rolled(scored.filter("avg_score IS NOT NULL"))  # groups without any score have no row in the SQL
+
+
 @query("rollup_group_count", "SELECT count(*) AS groups FROM (SELECT DISTINCT year_week_county, feat FROM melted) g")
 def _(t: Inputs) -> DataFrame:
     return rollup.rollup_group_count(rollup.county_week_rollup(rollup.melt_scores(weighted_of(t))))
 
 
-@query("surplus_duplicates", "SELECT count(*) - count(DISTINCT fips) AS surplus FROM missing_counties")
+@query("surplus_duplicates", "SELECT count(*) - count(DISTINCT fips) AS surplus FROM county_codes")
+def _(t: Inputs) -> DataFrame:
+    return features.surplus_duplicates(t.county_codes)
+
+
+@query(
+    "surplus_duplicates_null_as_key",
+    "SELECT count(*) - count(DISTINCT fips) - max(CASE WHEN fips IS NULL THEN 1 ELSE 0 END) AS surplus FROM county_codes",
+)
 def _(t: Inputs) -> DataFrame:
-    return features.surplus_duplicates(t.missing_counties)
+    return features.surplus_duplicates(t.county_codes, null_keys="one")
 
 
 def mean_sql(keys: str, value: str) -> str:
@@ -932,6 +993,15 @@ def _(t: Inputs) -> DataFrame:
     return scores_of(t).select(*columns).withColumns({c: rounded(c) for c in SCORE_COLUMNS})
 
 
+@query(
+    "score_user_weeks_built_in",
+    f"SELECT user_year_week, user_id, fips, {', '.join(f'{r6(c)} AS {c}' for c in SCORE_COLUMNS)} FROM scores",
+)
+def _(t: Inputs) -> DataFrame:
+    scored = scoring.score_user_weeks(t.user_weeks, t.models, n_layers=N_LAYERS, dim=DIM, arrow=False)
+    return scored.select(*[f.name for f in schemas.SCORES.fields]).withColumns({c: rounded(c) for c in SCORE_COLUMNS})
+
+
 @query("county_week_scores", rollup_sql({**ROLLUP_STATS, "std_score_wt": WEIGHTED_STD}))
 def _(t: Inputs) -> DataFrame:
     return rolled(county_weeks.county_week_scores(scores_of(t), t.user_weights, weighted_std=True))

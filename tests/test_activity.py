@@ -96,3 +96,15 @@ def test_funnel_applies_conditions_one_after_the_other(spark):
     df = spark.range(10).withColumn("maybe", F.when(F.col("id") > 2, F.lit(True)))
     rows = activity.funnel({"all": (df, {"big": F.col("id") > 1, "known": F.col("maybe")}), "few": df.limit(3)})
     assert {r["stage"]: r["row_count"] for r in rows.collect()} == {"all": 10, "big": 8, "known": 7, "few": 3}
+
+
+def test_funnel_counts_rows_whatever_their_columns_are_called(spark):
+    df = spark.createDataFrame([(5,), (None,)], "copies int")
+    assert activity.funnel({"rows": df}).first()["row_count"] == 2
+    assert activity.funnel({"rows": df}, {"rows": "copies"}).first()["row_count"] == 5
+
+
+def test_statistics_of_what_columns_there_are(spark):
+    df = spark.createDataFrame([(1, 7), (2, 7), (2, None)], "message_id long, user_id long")
+    assert activity.panel_stats(df).first().asDict() == {"messages": 2, "users": 2}
+    assert activity.panel_stats(df.select("user_id")).first().asDict() == {"users": 2}

@@ -8,7 +8,8 @@ COUNTIES = "fips string, weighted_embedding array<double>"
 
 def test_surplus_of_duplicates(spark):
     df = spark.createDataFrame([("a",), ("a",), ("a",), ("b",), (None,), (None,)], "fips string")
-    assert features.surplus_duplicates(df).first()[0] == 3
+    assert features.surplus_duplicates(df).first()[0] == 4  # rows without a key are all surplus
+    assert features.surplus_duplicates(df, null_keys="one").first()[0] == 3
     assert features.surplus_duplicates(df.filter("fips = 'b'")).first()[0] == 0
     assert features.surplus_duplicates(df.limit(0)).first()[0] == 0
 
@@ -59,3 +60,17 @@ def test_a_county_on_both_sides_stays_twice(spark):
     assert {r[1] for r in rows} == {"01001"}
     assert {(rows[0][3], rows[1][3]), (rows[2][3], rows[3][3])} == {("0me", "1me")}
     assert sorted(r[2] for r in rows) == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_copies_without_a_vector_give_way(spark):
+    schema = "fips string, weighted_embedding array<double>"
+    missing = spark.createDataFrame([("7", []), ("7", [0.5]), ("7", None), ("8", [])], schema)
+    table = feature_export.county_feature_table(missing.limit(0), missing).collect()
+    assert [(r["group_id"], r["value"]) for r in table] == [("00007", 0.5)]
+
+
+def test_rows_without_a_key_are_surplus(spark):
+    df = spark.createDataFrame([("1",), ("1",), (None,), (None,)], "fips string")
+    assert features.surplus_duplicates(df).first()[0] == 4  # rows without a key are all surplus
+    assert features.surplus_duplicates(df, null_keys="one").first()[0] == 3
+    assert features.surplus_duplicates(df, null_keys="one").first()[0] == 2

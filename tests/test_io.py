@@ -146,4 +146,12 @@ def test_staged_tables_lie_in_the_shared_folder(spark):
 
 def test_shuffle_sizing():
     assert session.shuffle_partitions(0) == 8
-    assert session.shuffle_partitions(10 * 2**40) == 81920
+    assert session.shuffle_partitions(10 * 2**40) == 10_240
+    assert session.shuffle_partitions(1000 * 2**40) == session.MOST_REDUCERS
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("user_id,weight\n1,0.5\n")
+    (tmp_path / "b.csv").write_text("weight,user_id\n0.25,2\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_weights(spark, str(tmp_path)).collect()

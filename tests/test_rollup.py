@@ -110,3 +110,21 @@ def test_groups_without_weight_are_null(spark):
     df = spark.createDataFrame([(1, "w_c", "c", 0.0, "F", 4.0)], LONG)
     row = rollup.county_week_rollup(df, weighted_std=True).first()
     assert (row["wavg_score"], row["avg_score"], row["std_score_wt"]) == (None, 4.0, None)
+
+
+def test_weighted_deviation_is_by_definition_with_a_null_score(spark):
+    df = spark.createDataFrame(
+        [("g", "dep", 1, 2.0, 1.0), ("g", "dep", 2, None, 1.0)],
+        "year_week_county string, feat string, user_id long, feat_score double, user_weight double",
+    )
+    assert rollup.county_week_rollup(df, weighted_std=True).first()["std_score_wt"] == pytest.approx(0.5**0.5)
+    assert rollup.county_week_rollup(df, "drop", weighted_std=True).first()["std_score_wt"] == 0
+
+
+def test_weighted_deviation_of_large_scores_does_not_cancel(spark):
+    df = spark.createDataFrame(
+        [(None, "dep", 1, 1e8, 1.0), (None, "dep", 2, 1e8 + 1, 1.0)],
+        "year_week_county string, feat string, user_id long, feat_score double, user_weight double",
+    )
+    row = rollup.county_week_rollup(df, weighted_std=True).first()
+    assert row["std_score_wt"] == pytest.approx(0.5) == row["std_score"]

@@ -105,14 +105,19 @@ def active_counts(
 
 
 def panel_stats(df: DataFrame) -> DataFrame:
-    """Distinct messages, user-weeks, users and counties in one row; a null counts as one value.
+    """Distinct messages, user-weeks, users and counties in one row, of what ``df`` has; a null counts as one value.
 
-    Messages are counted on their own narrow shuffle. The other three are counted on the distinct triples, so
+    Messages are counted on their own narrow shuffle. The others are counted on their distinct combinations, so
     the multi-distinct expansion never runs over the messages. ``df`` is read twice, with few columns each time.
     """
+    entities = [c for c in (KEY, "user_id", "fips") if c in df.columns]
+    if "message_id" not in df.columns and not entities:
+        raise ValueError("there is nothing to count")
+    counted = distinct_values(df, entities).agg(*_entity_columns(entities)) if entities else None
+    if "message_id" not in df.columns:
+        return counted
     messages = df.groupBy("message_id").agg(F.lit(1).alias("one")).agg(F.count("one").alias("messages"))
-    entities = _entity_counts(distinct_values(df, [KEY, "user_id", "fips"]))
-    return _side_by_side(messages, entities)
+    return messages if counted is None else _side_by_side(messages, counted)
 
 
 def panel_stats_from_weeks(weeks: DataFrame) -> DataFrame:
@@ -126,19 +131,13 @@ def approx_panel_stats(df: DataFrame, rsd: float = 0.02) -> DataFrame:
     return df.agg(*[F.approx_count_distinct(c, rsd).alias(name) for name, c in names.items()])
 
 
-def _entity_columns() -> list[Column]:
+def _entity_columns(cols: Sequence[str] = (KEY, "user_id", "fips")) -> list[Column]:
+    names = {KEY: "user_weeks", "user_id": "users", "fips": "counties"}
+
     def number(col: str) -> Column:
         return F.count_distinct(col) + F.coalesce(F.max(F.col(col).isNull().cast("int")), F.lit(0))
 
-    return [
-        number(KEY).cast("bigint").alias("user_weeks"),
-        number("user_id").cast("bigint").alias("users"),
-        number("fips").cast("bigint").alias("counties"),
-    ]
-
-
-def _entity_counts(triples: DataFrame) -> DataFrame:
-    return triples.agg(*_entity_columns())
+    return [number(c).cast("bigint").alias(names[c]) for c in cols]
 
 
 def _side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -148,19 +147,19 @@ def _side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def funnel(
-    stages: Mapping[str, DataFrame | tuple[DataFrame, Mapping[str, Column]]], copies: str = "copies"
+    stages: Mapping[str, DataFrame | tuple[DataFrame, Mapping[str, Column]]], copies: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Row count after each stage, one row per stage, in one job.
 
     A stage is a DataFrame, or a DataFrame with named conditions that are applied one after the other on top
-    of it; such a run of filters is counted in a single pass. A column named ``copies`` says how many rows a row
-    stands for. The counts are exact even when tasks are run again after an executor was lost, which is not so
+    of it; such a run of filters is counted in a single pass. ``copies`` names, for a stage, the column that says
+    how many rows a row stands for; without it a row is a row. The counts are exact even when tasks are run again after an executor was lost, which is not so
     for metrics observed while a shuffle is written.
     """
     counted = []
     for name, entry in stages.items():
         df, conditions = entry if isinstance(entry, tuple) else (entry, {})
-        rows = F.col(copies) if copies in df.columns else F.lit(1)
+        rows = F.col(copies[name]) if copies and name in copies else F.lit(1)
         passed, steps = F.lit(True), {name: F.lit(True)}
         for step, condition in conditions.items():
             passed = passed & F.coalesce(condition, F.lit(False))

@@ -80,13 +80,14 @@ def county_counts(user_county: DataFrame) -> DataFrame:
     return stage(named.groupBy("user_id").agg(F.count("*").alias("copies")), "copies")
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key: the first by ``order`` (ascending, nulls last).
 
     ``rank = 1`` directly over the window lets Spark also cut each group to one row *before* the shuffle, so a
     key that holds a third of all rows sends one row per input partition and no task gathers the group.
     """
-    ordered = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    ordered = Window.partitionBy(*keys).orderBy(*[c.asc_nulls_last() for c in columns])
     return df.withColumn("_place", F.row_number().over(ordered)).filter(F.col("_place") == 1).drop("_place")
 
 

@@ -13,15 +13,26 @@ from weekpanel.operators.clean import keep_first
 from weekpanel.operators.ranking import running_start
 
 
-def surplus_duplicates(df: DataFrame, key: str = "fips") -> DataFrame:
-    """Rows beyond the first of each key; 0 when no key repeats."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("surplus"))
+def surplus_duplicates(df: DataFrame, key: str = "fips", null_keys: str = "all") -> DataFrame:
+    """Rows beyond the first of each key; 0 when no key repeats.
+
+    Rows without a key are all surplus (``null_keys="all"``), or all but one, as for any other key (``"one"``).
+    """
+    if null_keys not in ("all", "one"):
+        raise ValueError("null_keys must be 'all' or 'one'")
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.lit(1) if null_keys == "one" else F.col("_key").isNotNull().cast("int")
+    return sizes.agg(F.coalesce(F.sum(F.col("n") - first), F.lit(0)).cast("bigint").alias("surplus"))
 
 
 def dedupe_counties(df: DataFrame, key: str = "fips", order: Sequence[str] | None = None) -> DataFrame:
-    """One row per county: the first by ``order``, by default by all other columns."""
-    return keep_first(df, [key], order or [c for c in df.columns if c != key])
+    """One row per county: the first by ``order``, by default by all other columns.
+
+    A copy whose arrays are null or empty gives way to any other, whatever the order.
+    """
+    arrays = [name for name, kind in df.dtypes if kind.startswith("array") and name != key]
+    usable = [F.when(F.size(c) > 0, 0).otherwise(1) for c in arrays]
+    return keep_first(df, [key], [*usable, *(order or [c for c in df.columns if c != key])])
 
 
 def pad_county(df: DataFrame, col: str = "fips") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from weekpanel.session import small_side, stage
 
+#: Partitions of a numbering: one size of each goes through the driver, and its join is with as many rows.
+MOST_RANGES = 2_000
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 Order = Sequence["str | Column"]
 
@@ -20,7 +22,9 @@ def _columns(order: Order) -> list[Column]:
 def _placed(df: DataFrame, order: Order, label: str) -> DataFrame:
     """Range-partition and sort by ``order``, give each row its slot, and stage: slots must not move later."""
     columns = _columns(order)
-    in_order = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(*columns) if usual <= MOST_RANGES else df.repartitionByRange(MOST_RANGES, *columns)
+    in_order = ranged.sortWithinPartitions(*columns)
     return stage(in_order.withColumn("_slot", F.monotonically_increasing_id()), label)
 
 

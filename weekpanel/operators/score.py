@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from weekpanel.fixed_values import SCORE_HIGH, SCORE_LOW
 from weekpanel.functions import vectors
 
-ARROW_FROM_WIDTH = 256
-MODEL_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Model:
@@ -43,22 +40,18 @@ class Model:
 
 
 def collect_models(model: DataFrame) -> dict[str, Model]:
-    """The model table as parameters, one model per target. It has one row per feature, whatever the data size."""
-    rows = model.orderBy("target", "pos").limit(MODEL_ROWS + 1).collect()
-    if len(rows) > MODEL_ROWS:
-        raise ValueError("a model table has one row per target and feature; this one is too long to be one")
-    targets: dict[str, list] = {}
-    for row in rows:
-        targets.setdefault(row["target"], []).append(row)
+    """The model table as parameters, one model per target: Spark gathers a target's features into one row."""
+    feature = F.struct("pos", "feature", "mean", "scale", "coef", "intercept")
+    rows = model.groupBy("target").agg(F.sort_array(F.collect_list(feature)).alias("features")).collect()
     return {
-        target: Model(
-            tuple(r["feature"] for r in own),
-            tuple(r["mean"] for r in own),
-            tuple(r["scale"] for r in own),
-            tuple(r["coef"] for r in own),
-            own[0]["intercept"],
+        row["target"]: Model(
+            tuple(f["feature"] for f in row["features"]),
+            tuple(f["mean"] for f in row["features"]),
+            tuple(f["scale"] for f in row["features"]),
+            tuple(f["coef"] for f in row["features"]),
+            row["features"][0]["intercept"],
         )
-        for target, own in targets.items()
+        for row in rows
     }
 
 
@@ -90,17 +83,16 @@ def fused_scores(
     models: Mapping[str, Model],
     col: str = "vector",
     as_float: bool = False,
-    arrow: bool | None = None,
+    arrow: bool = True,
 ) -> DataFrame:
     """One score column per target, all in one projection: no shuffle and no join of the targets.
 
-    Narrow vectors are scored by built-in expressions. Wide ones (``arrow=None`` decides by width) go through
-    one Arrow function that multiplies a whole batch with all targets at once.
+    One Arrow function multiplies a whole batch with all targets at once; ``arrow=False`` scores by built-in
+    expressions instead. The two add in different orders, so scores may differ in their last bits: the path is the
+    caller's choice and never depends on the data or the model.
     """
     folded = {target: model.folded() for target, model in models.items()}
     width = max(model.width for model in models.values())
-    if arrow is None:
-        arrow = width >= ARROW_FROM_WIDTH
     if arrow:
         weights = {target: w + [0.0] * (width - len(w)) for target, (w, _) in folded.items()}
         products = _batch_products(list(weights), list(weights.values()))(F.col(col))

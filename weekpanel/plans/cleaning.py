@@ -82,7 +82,8 @@ def cleaning_funnel(messages: DataFrame, user_county: DataFrame, *, county: str
             "read": (messages, keyed),
             "located": (located, filters),
             "unique": (unique, {f"county_{county}": judged if county == "valid" else ~judged}),
-        }
+        },
+        copies={"located": "copies"},
     )
 
 
@@ -96,4 +97,4 @@ def _all_present(cols: tuple[str, ...]) -> Column:
 def county_match_counts(messages: DataFrame, user_county: DataFrame, year: int) -> DataFrame:
     """Rows of one year before and after the county join."""
     rows = calendar.in_year(clean.parse_created_at(clean.require_keys(messages)), year)
-    return activity.funnel({"in_year": rows, "matched": rows.join(clean.county_counts(user_county), "user_id")})
+    return activity.funnel({"in_year": rows, "matched": rows.join(clean.county_counts(user_county), "user_id")}, {"matched": "copies"})

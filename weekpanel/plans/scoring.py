@@ -21,6 +21,7 @@ def raw_scores(
     dim: int = LAYER_DIM,
     from_end: int = SCORED_LAYER_FROM_END,
     as_float: bool = False,
+    arrow: bool = True,
 ) -> DataFrame:
     """Keys and one score per target: a single projection over the scan, without a shuffle.
 
@@ -32,7 +33,7 @@ def raw_scores(
     valid = embed.valid_layers(embeddings, n_layers, dim)
     picked = vectors.layer_from_end(F.col("embedding"), from_end).alias("vector")
     rows = valid.select("user_year_week", "user_id", "fips", picked)
-    return score.fused_scores(rows, models, as_float=as_float).drop("vector")
+    return score.fused_scores(rows, models, as_float=as_float, arrow=arrow).drop("vector")
 
 
 def score_user_weeks(embeddings: DataFrame, models: Mapping[str, score.Model], **options) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import types as T
 
+# Column names and orders of the files that are read and written.
+
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+MOST_REDUCERS = 20_000
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,12 +38,12 @@ SETTINGS = {
 }
 
 
-def configure(builder: SparkSession.Builder, input_bytes: int | None = None) -> SparkSession.Builder:
-    """Apply :data:`SETTINGS`; with the input size, also size the shuffle so that a reducer fits in memory."""
+def configure(builder: SparkSession.Builder, shuffled_bytes: int | None = None) -> SparkSession.Builder:
+    """Apply :data:`SETTINGS`; with the size of the widest shuffle, also set its number of reducers."""
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
-    if input_bytes is not None:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
+    if shuffled_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions(shuffled_bytes)))
     return builder
 
 
@@ -54,9 +56,15 @@ def apply(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shuffle_partitions(shuffled_bytes: int, target_bytes: int = 128 * 2**20, least: int = 8) -> int:
-    """Number of reducers that keeps each near ``target_bytes`` (AQE merges the ones that end up small)."""
-    return max(least, math.ceil(shuffled_bytes / target_bytes))
+def shuffle_partitions(
+    shuffled_bytes: int, target_bytes: int = 2**30, least: int = 8, most: int = MOST_REDUCERS
+) -> int:
+    """Number of reducers that keeps each near ``target_bytes`` of shuffled data (not of input).
+
+    Adaptive execution merges the ones that end up small. Beyond ``most`` reducers grow instead, and spill: every
+    map task reports a size for each reducer to the driver, which cannot hold hundreds of thousands of either.
+    """
+    return min(most, max(least, math.ceil(shuffled_bytes / target_bytes)))
 
 
 def use_corrected_timestamps(spark: SparkSession) -> None:
@@ -68,18 +76,26 @@ def use_corrected_timestamps(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 
-    Only a local session may go without: it gets a temporary folder. On a cluster a machine-local folder would
-    be lost with its machine, so there the setting is required.
+    A session on one machine may go without: it gets a temporary folder of its own. On a cluster the setting is
+    required, and a folder of the machines' own file systems is refused: every executor would write to its own disk,
+    and readers would see a part without an error.
     """
     context = spark.sparkContext
+    one_machine = context.master.startswith("local")  # local-cluster, for tests, is one machine as well
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="weekpanel-")
-    context.setCheckpointDir(folder)
-    return folder
+    if not folder:
+        if not one_machine:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="weekpanel-"))
+    if not one_machine and file_system(spark, folder) == "file":
+        raise ValueError(f"spark.checkpoint.dir is {folder}, a folder of each machine's own")
+    return folder.rstrip("/")
+
+
+def file_system(spark: SparkSession, path: str) -> str:
+    """The scheme of the file system that a path belongs to, the default one if it names none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
 
 
 def small_side(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -55,8 +55,15 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _headed_csv(spark: SparkSession, path: Paths, schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
-    """Columns are found by their names in the header and typed afterwards; a value of the wrong type is null."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Columns are found by their names in the header and typed afterwards; a value of the wrong type is null.
+
+    All files must have the header of the first: with ``enforceSchema`` off, Spark holds each file's against it and
+    fails on one that differs, where it would otherwise take values by position.
+    """
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    names = reader.csv(path).columns
+    text = T.StructType([T.StructField(name, T.StringType(), True) for name in names])
+    raw = reader.schema(text).option("enforceSchema", False).csv(path)
 
     def typed(field: T.StructField) -> Column:
         value = F.btrim(F.col(field.name), F.lit(_BLANKS))
