@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekpanel.llm.shared import Staging
+from weekpanel.llm.shared import Staging, fresh
 from weekpanel.llm.style import NAMES, style
 from weekpanel.llm.tokens import slices
 
@@ -317,15 +317,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, thr
     return rows.mapInArrow(lambda it: _scores(it, model, threshold), kinds)
 
 
-def _good(batches: Iterable[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+def _good(batches: Iterable[pa.RecordBatch], model: Model, threshold: float, meta: list[str]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
-        s, l, c = (batch.column(f"_{k}").to_numpy(zero_copy_only=False) for k in "slc")
+        s, l, c = (batch.column(name).to_numpy(zero_copy_only=False) for name in meta)
         score = model.score({TEXT: text_view(style(texts).astype(np.float32).astype(np.float64)), META: meta_view(s, l, c)})
-        yield batch.filter(pa.array(score >= threshold)).drop_columns(["_s", "_l", "_c"])
+        yield batch.filter(pa.array(score >= threshold)).drop_columns(meta)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, with all their columns: scored where they are read, not shuffled."""
     model = fit(docs, labels, rounds)
-    meta = [c.alias(f"_{k}") for c, k in zip(meta_columns(), "slc", strict=True)]
-    return docs.select("*", *meta).mapInArrow(lambda it: _good(it, model, threshold), docs.schema)
+    names = fresh(docs.columns, "_source", "_lang", "_length")
+    meta = [c.alias(name) for c, name in zip(meta_columns(), names, strict=True)]
+    return docs.select("*", *meta).mapInArrow(lambda it: _good(it, model, threshold, names), docs.schema)
