@@ -6,13 +6,14 @@ equal sets are one class, told by a hash of the set, and classes are what is joi
 1. One pass finds shingles that are frequent in some stretch of the input, a second one the shingles a class may be
    found by: two sets that link share one of the first ``size - ceil(3/4 size) + 1`` in any order common to all, here
    the frequent ones last. These are the roots of the trees: a block holds all classes with a shingle among those.
-2. Within its blocks, signature trees (:mod:`weekpanel.llm.signature_tree`) give every class a hub it may be linked
-   with. These links are checked on whole sets, and their components found.
+2. In a few of its blocks, leaves of signature trees (:mod:`weekpanel.llm.signature_tree`) give every class the one
+   whose bitmap is most like its own. These links are checked on whole sets, and their components found; a second
+   turn does the same between components.
 3. Blocks that still hold several components are cut into chunks of bounded size, nodes with a range of sizes and
    components; pairs of chunks that may hold a link between components are walked by dual traversal. What survives is
    checked on whole sets. So no link between different components is lost, and copies are never paired off.
 
-The order of shingles and the hubs only steer the work; the result does not depend on them. No bucket, partner or
+The order of shingles and the links tried first only steer the work; the result does not depend on them. No bucket, partner or
 candidate is capped.
 
 Defined results: a text with fewer than five words has one shingle of all of them; a null, empty or blank text has an
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.llm import signature_tree as trees
 from weekpanel.llm.components import components
-from weekpanel.llm.shared import Staging
+from weekpanel.llm.shared import Staging, fresh
 from weekpanel.llm.tokens import Words, distinct, slices
 
 #: A chunk of the first pass has some four million shingles; those met so often in one count as frequent.
@@ -46,6 +47,7 @@ LEAF = 16
 CHECKS = 128
 BROADCAST_ROWS = 1_000_000
 SEEDS = 3
+TURNS = 2
 
 
 # -- sets and the shingles by which they are found --------------------------------------------------------------------
@@ -222,13 +224,14 @@ def _gathered(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Rec
     yield _counted(left, right)
 
 
-def _hub_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nearest_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for block in _blocks(batches, ["shingle", "chunk"]):
             if len(block["class"]) == 1:
                 continue
             classes, once = np.unique(block["class"], return_index=True)
-            pairs = trees.hubs(trees.members(block["bits"][once], block["n"][once], classes))
+            nodes = trees.members(block["bits"][once], block["n"][once], block["component"][once])
+            pairs = trees.nearest(nodes)
             yield classes[pairs[:, 0]], classes[pairs[:, 1]]
 
     return _gathered(found())
@@ -274,38 +277,47 @@ def _shared_shingles(sets: DataFrame, staging: Staging) -> DataFrame:
     return staging.write(rare.distinct().unionByName(often.distinct()), "shared")
 
 
-def _hub_candidates(shared: DataFrame, maps: DataFrame, staging: Staging) -> DataFrame:
-    """Staged (a, b): every class and the hubs of a few of its shared shingles (its least ones by several hashes).
+def _mixed(rows: DataFrame, roots: DataFrame, staging: Staging, name: str) -> DataFrame:
+    """Staged (shingle, class, n, component, k): the blocks that hold several components, with their sizes."""
+    roots = _small(roots.withColumnRenamed("node", "class"))
+    known = rows.join(roots, "class", "left").select("shingle", "class", "n", F.coalesce("root", "class").alias("component"))
+    low, high = F.min("component").alias("low"), F.max("component").alias("high")
+    blocks = known.groupBy("shingle").agg(low, high, F.count("*").alias("k")).filter("low <> high")
+    blocks = staging.write(blocks.select("shingle", "k"), f"{name}-blocks")
+    mixed = staging.write(known.join(_small(blocks), "shingle"), name)
+    staging.drop(f"{name}-blocks")
+    return mixed
 
-    Hubs are only tried first, so a large block may be looked at in chunks; its smallest class is in all of them.
+
+def _first_candidates(rows: DataFrame, maps: DataFrame, staging: Staging, turn: int) -> DataFrame:
+    """Staged (a, b): every class and its nearest one of another component, in a few of its blocks (its least ones by
+    several hashes).
+
+    These are only tried first, so a large block may be looked at in chunks; its smallest class is in all of them.
     """
-    least = [F.min_by("shingle", F.xxhash64("shingle", F.lit(k))) for k in range(SEEDS)]
-    seeds = shared.groupBy("class").agg(F.array_distinct(F.array(*least)).alias("shingles"))
-    seeds = staging.write(seeds.select(F.explode("shingles").alias("shingle"), "class"), "seeds")
-    blocks = seeds.groupBy("shingle").agg(F.min("class").alias("hub"), F.count("*").alias("k")).filter("k > 1")
-    blocks = staging.write(blocks.withColumn("chunks", F.ceil(F.col("k") / MEMBERS)), "seed-blocks")
+    least = [F.min_by("shingle", F.xxhash64("shingle", F.lit(SEEDS * turn + k))) for k in range(SEEDS)]
+    seeds = rows.groupBy("class", "component").agg(F.array_distinct(F.array(*least)).alias("shingles"))
+    seeds = staging.write(seeds.select(F.explode("shingles").alias("shingle"), "class", "component"), f"seeds-{turn}")
+    first = F.min(F.struct("class", "component"))
+    blocks = seeds.groupBy("shingle").agg(first.alias("first"), F.count("*").alias("k")).filter("k > 1")
+    blocks = staging.write(blocks.withColumn("chunks", F.ceil(F.col("k") / MEMBERS)), f"seed-blocks-{turn}")
     chunk = F.pmod(F.xxhash64("shingle", "class"), F.col("chunks")).alias("chunk")
-    members = seeds.join(blocks, "shingle").select("shingle", chunk, "class")
-    hubs = blocks.select("shingle", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.col("hub").alias("class"))
-    rows = members.unionByName(hubs).join(maps, "class").select("shingle", "chunk", "class", "n", "bits")
-    return staging.write(_in_sorted_blocks(rows, ["shingle", "chunk"], _hub_pairs), "hub-pairs")
+    members = seeds.join(blocks, "shingle").select("shingle", chunk, "class", "component")
+    every = F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk")
+    members = members.unionByName(blocks.select("shingle", every, "first.*"))
+    members = members.join(maps, "class").select("shingle", "chunk", "class", "n", "component", "bits")
+    pairs = staging.write(_in_sorted_blocks(members, ["shingle", "chunk"], _nearest_pairs), f"nearest-{turn}")
+    staging.drop(f"seeds-{turn}", f"seed-blocks-{turn}")
+    return pairs
 
 
-def _cross_candidates(shared: DataFrame, roots: DataFrame, maps: DataFrame, staging: Staging) -> DataFrame:
+def _cross_candidates(mixed: DataFrame, maps: DataFrame, staging: Staging) -> DataFrame:
     """Staged (a, b): pairs of classes in different components that may be links, from all blocks that have any.
 
     The common elements of a pair's sets that are among the finders of the one whose finders end first are among
     those of the other, too. So they share no more than the number of their blocks and what is left of that set, and
     a pair that meets in too few blocks is no link.
     """
-    roots = _small(roots.withColumnRenamed("node", "class"))
-    known = shared.join(roots, "class", "left")
-    known = known.select("shingle", "class", "n", F.coalesce("root", "class").alias("component"))
-    low, high = F.min("component").alias("low"), F.max("component").alias("high")
-    blocks = known.groupBy("shingle").agg(low, high, F.count("*").alias("k")).filter("low <> high")
-    blocks = staging.write(blocks.select("shingle", "k"), "mixed-blocks")
-    mixed = staging.write(known.join(_small(blocks), "shingle"), "mixed")
-
     # A block of no more members than a leaf is one: its pairs are told apart by size, component and what follows.
     leaves = mixed.filter(F.col("k") <= LEAF).drop("k")
     one, two = leaves.alias("one"), leaves.alias("two")
@@ -321,7 +333,7 @@ def _cross_candidates(shared: DataFrame, roots: DataFrame, maps: DataFrame, stag
     rest = "greatest(n_a - (n_a div 4 + 1), n_b - (n_b div 4 + 1))"
     pairs = pairs.filter(f"7 * (blocks + {rest}) >= 3 * (n_a + n_b)").select("a", "b")
     pairs = staging.write(pairs, "cross")
-    staging.drop("mixed-blocks", "mixed", "cross-pairs", "sizes")
+    staging.drop("cross-pairs", "sizes")
     return pairs
 
 
@@ -442,17 +454,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
     maps = staging.write(maps, "maps")
     shared = _shared_shingles(sets, staging)
 
-    first = _hub_candidates(shared, maps, staging)
-    links = _links(first, _whole_sets(docs, sets, first, salt, staging, "whole-1"), staging, "links-1")
-    staging.drop("whole-1", "seeds", "seed-blocks")
-    roots = components(links, staging, "first")
-
-    crossing = _cross_candidates(shared, roots, maps, staging).join(first, ["a", "b"], "left_anti")
+    blocks = shared.withColumn("component", F.col("class"))
+    links = tried = None
+    for turn in range(TURNS):
+        first = _first_candidates(blocks, maps, staging, turn)
+        if tried is not None:
+            first = staging.write(first.join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"untried-{turn}")
+        whole = _whole_sets(docs, sets, first, salt, staging, f"whole-{turn}")
+        found = _links(first, whole, staging, f"links-{turn}")
+        staging.drop(f"whole-{turn}")
+        links, tried = (found, first) if tried is None else (links.unionByName(found), tried.unionByName(first))
+        roots = components(links, staging, f"components-{turn}")
+        blocks = _mixed(blocks.select("shingle", "class", "n"), roots, staging, f"mixed-{turn}")
+
+    crossing = _cross_candidates(blocks, maps, staging).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     crossing = staging.write(crossing, "untried")
-    staging.drop("shared", "cross", "walked", "maps")
-    more = _links(crossing, _whole_sets(docs, sets, crossing, salt, staging, "whole-2"), staging, "links-2")
-    staging.drop("whole-2")
-    roots = staging.write(components(links.unionByName(more), staging, "second"), "roots")
+    staging.drop("shared", "cross", "walked", "maps", *(f"mixed-{turn}" for turn in range(TURNS)))
+    more = _links(crossing, _whole_sets(docs, sets, crossing, salt, staging, "whole"), staging, "links")
+    staging.drop("whole")
+    roots = staging.write(components(links.unionByName(more), staging, "components"), "roots")
 
     # From here on a row is a class, not a document.
     first = F.min(F.struct(*_key()))
@@ -483,7 +503,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     """
     staging = Staging(docs.sparkSession, "one-per-group")
     groups = near_groups(docs)
-    names = ["_none", "_id", "_hash"]
+    place, *names = fresh(docs.columns, "_place", "_none", "_id", "_hash")
     keys = [c.alias(n) for c, n in zip(_key(), names, strict=True)]
     keyed = groups.select("n_shingles", "kept", *keys)
     dropped = staging.write(keyed.filter(~F.col("kept")).select(*names).distinct(), "dropped")
@@ -494,6 +514,6 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     rows = docs.select("*", *here).join(_small(dropped), names, "left_anti")
     if not again.isEmpty():  # rows repeated with doc_id and text: one of them stays
         order = Window.partitionBy(*names).orderBy(F.xxhash64(*docs.columns))
-        repeated = rows.join(_small(again), names, "left_semi").withColumn("_k", F.row_number().over(order))
-        rows = rows.join(_small(again), names, "left_anti").unionByName(repeated.filter("_k = 1").drop("_k"))
+        repeated = rows.join(_small(again), names, "left_semi").withColumn(place, F.row_number().over(order))
+        rows = rows.join(_small(again), names, "left_anti").unionByName(repeated.filter(F.col(place) == 1).drop(place))
     return rows.select(*docs.columns)

@@ -122,27 +122,21 @@ def _children(i, j, a_below, b_below, a, b) -> tuple[np.ndarray, np.ndarray]:
     return i[real], j[real]
 
 
-def hubs(nodes: Nodes) -> np.ndarray:
-    """Links to try first: (member, hub) pairs, at most one per member. The first member that is not yet on a hub
-    becomes one and is held against the tree; members that it may be linked with hang on it."""
-    tree = levels(nodes)
-    free = np.ones(len(nodes), dtype=bool)
+def nearest(nodes: Nodes, at_once: int = 64) -> np.ndarray:
+    """Links to try first: (member, member) pairs, one per member at most. Of those that may be linked with it, a
+    member takes the one whose bitmap is most like its own."""
+    own = np.bitwise_count(nodes.bits).sum(axis=1, dtype=np.int64)
     pairs = []
-    for hub in range(len(nodes)):
-        if not free[hub]:
-            continue
-        free[hub] = False
-        at = np.arange(len(tree[-1]))
-        for level in range(len(tree) - 1, -1, -1):
-            if not level:
-                at = at[free[at]]
-            one = nodes.take(np.full(len(at), hub))
-            at = at[may_link(one, tree[level].take(at))]
-            if level:
-                at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-                at = at[at < len(tree[level - 1])]
-        free[at] = False
-        pairs.append(np.stack([at, np.full(len(at), hub)], axis=1))
-        if not free[hub:].any():
-            break
+    for begin in range(0, len(nodes), at_once):
+        i = np.repeat(np.arange(begin, min(begin + at_once, len(nodes))), len(nodes))
+        j = np.tile(np.arange(len(nodes)), len(i) // len(nodes))
+        possible = may_link(nodes.take(i), nodes.take(j)) & (i != j)
+        i, j = i[possible], j[possible]
+        both = np.bitwise_count(nodes.bits[i] & nodes.bits[j]).sum(axis=1, dtype=np.int64)
+        like = both / np.maximum(own[i] + own[j] - both, 1)
+        order = np.lexsort((j, -like, i))
+        i, j = i[order], j[order]
+        first = np.ones(len(i), dtype=bool)
+        first[1:] = i[1:] != i[:-1]
+        pairs.append(np.stack([i[first], j[first]], axis=1))
     return np.concatenate(pairs) if pairs else np.empty((0, 2), dtype=np.int64)
