@@ -7,8 +7,7 @@ equal sets are one class, told by a hash of the set, and classes are what is joi
    found by: two sets that link share one of the first ``size - ceil(3/4 size) + 1`` in any order common to all, here
    the frequent ones last. These are the roots of the trees: a block holds all classes with a shingle among those.
 2. In a few of its blocks, leaves of signature trees (:mod:`weekpanel.llm.signature_tree`) give every class the one
-   whose bitmap is most like its own. These links are checked on whole sets, and their components found; a second
-   turn does the same between components.
+   whose bitmap is most like its own. These links are checked on whole sets, and their components found.
 3. Blocks that still hold several components are cut into chunks of bounded size, nodes with a range of sizes and
    components; pairs of chunks that may hold a link between components are walked by dual traversal. What survives is
    checked on whole sets. So no link between different components is lost, and copies are never paired off.
@@ -42,12 +41,12 @@ OFTEN = 4
 #: At most so many frequent shingles are kept (the most frequent ones): they only set the order.
 FREQUENT = 2**18
 #: Members of a chunk of a block, checks for one copy of a hub's set, and rows up to which ids are broadcast.
-MEMBERS = 256
+MEMBERS = 512
 LEAF = 16
 CHECKS = 128
 BROADCAST_ROWS = 1_000_000
 SEEDS = 3
-TURNS = 2
+TURNS = 1
 
 
 # -- sets and the shingles by which they are found --------------------------------------------------------------------
@@ -264,7 +263,7 @@ def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _shared_shingles(sets: DataFrame, staging: Staging) -> DataFrame:
-    """Staged (shingle, class, n): the shingles that find classes, where they may find more than one.
+    """Staged (shingle, class, n, often): the shingles that find classes, where they may find more than one.
 
     A block of a shingle that is not frequent is small enough for a window. Frequent ones need none.
     """
@@ -274,17 +273,25 @@ def _shared_shingles(sets: DataFrame, staging: Staging) -> DataFrame:
     several = F.min("class").over(block) != F.max("class").over(block)
     rare = rare.withColumn("_several", several).filter("_several").drop("_several")
     often = rows.select(F.explode("often").alias("shingle"), "class", "n")
-    return staging.write(rare.distinct().unionByName(often.distinct()), "shared")
+    rare, often = rare.distinct().withColumn("often", F.lit(False)), often.distinct().withColumn("often", F.lit(True))
+    return staging.write(rare.unionByName(often), "shared")
 
 
 def _mixed(rows: DataFrame, roots: DataFrame, staging: Staging, name: str) -> DataFrame:
     """Staged (shingle, class, n, component, k): the blocks that hold several components, with their sizes."""
     roots = _small(roots.withColumnRenamed("node", "class"))
-    known = rows.join(roots, "class", "left").select("shingle", "class", "n", F.coalesce("root", "class").alias("component"))
-    low, high = F.min("component").alias("low"), F.max("component").alias("high")
-    blocks = known.groupBy("shingle").agg(low, high, F.count("*").alias("k")).filter("low <> high")
-    blocks = staging.write(blocks.select("shingle", "k"), f"{name}-blocks")
-    mixed = staging.write(known.join(_small(blocks), "shingle"), name)
+    component = F.coalesce("root", "class").alias("component")
+    known = rows.join(roots, "class", "left").select("shingle", "class", "n", "often", component)
+    low, high, k = F.min("component"), F.max("component"), F.count("*")
+    # The block of a shingle that is not frequent fits a window, and is shuffled once.
+    block = Window.partitionBy("shingle")
+    rare = known.filter("NOT often").withColumns({"_low": low.over(block), "_high": high.over(block), "k": k.over(block)})
+    # There are at most FREQUENT blocks of the others.
+    blocks = known.filter("often").groupBy("shingle").agg(low.alias("_low"), high.alias("_high"), k.alias("k"))
+    often = known.filter("often").join(_small(staging.write(blocks, f"{name}-blocks")), "shingle")
+    columns = ["shingle", "class", "n", "often", "component", "k", "_low", "_high"]
+    mixed = rare.select(*columns).unionByName(often.select(*columns)).filter("_low <> _high").drop("_low", "_high")
+    mixed = staging.write(mixed, name)
     staging.drop(f"{name}-blocks")
     return mixed
 
@@ -465,7 +472,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         staging.drop(f"whole-{turn}")
         links, tried = (found, first) if tried is None else (links.unionByName(found), tried.unionByName(first))
         roots = components(links, staging, f"components-{turn}")
-        blocks = _mixed(blocks.select("shingle", "class", "n"), roots, staging, f"mixed-{turn}")
+        blocks = _mixed(blocks.select("shingle", "class", "n", "often"), roots, staging, f"mixed-{turn}")
 
     crossing = _cross_candidates(blocks, maps, staging).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     crossing = staging.write(crossing, "untried")
