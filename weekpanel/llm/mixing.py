@@ -233,8 +233,13 @@ def _summed(rows: DataFrame, steps: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> list[np.ndarray]:
-    """The steps of the projected gradient over staged posteriors."""
+def fit_rates(
+    rows: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, repeat: bool = True
+) -> list[np.ndarray]:
+    """The steps of the projected gradient over staged posteriors.
+
+    Without ``repeat`` no domain is asked for more tokens than it has.
+    """
     targets = TARGETS if targets is None else targets
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
     if share.min() < 0 or targets.get(ANCHOR, 0.0) <= 0:
@@ -245,6 +250,8 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, steps: i
     if not everything or not tokens[DOMAINS.index(ANCHOR)]:
         return []
     wanted = np.where(tokens > 0, share / share[DOMAINS.index(ANCHOR)] * tokens[DOMAINS.index(ANCHOR)], 0)
+    if not repeat:
+        wanted = np.minimum(wanted, tokens)
     # The metric damps the largest domain, so that small ones are fitted in few steps.
     metric = 1 / (np.diag(products) + DAMPING * everything)
     half = np.sqrt(metric)
@@ -281,21 +288,26 @@ def _with_posteriors(docs: DataFrame, model: Classifier | None) -> DataFrame:
     return slim.mapInArrow(lambda it: _posteriors(it, model), POSTERIORS)
 
 
-def _repeated(batches: Iterable[pa.RecordBatch], model, steps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterable[pa.RecordBatch], model, steps: list, repeat: bool) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
         copies = np.floor(replay(_posterior(texts, model), steps) + 0.5).astype(np.int64)
+        copies = copies if repeat else np.minimum(copies, 1)
         yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
 
 
 def mixed_documents(
-    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE
+    docs: DataFrame,
+    labels: DataFrame,
+    targets: dict[str, float] | None = None,
+    sample: int = SAMPLE,
+    repeat: bool = True,
 ) -> DataFrame:
     """The documents with all their columns, each as often as its rate says, to the nearest whole number.
 
-    Posteriors and rates are told again where the documents are read, so that no text is shuffled.
+    Without ``repeat`` no domain is asked for more tokens than it has, which leaves no document twice. Posteriors and rates are told again where the documents are read, so that no text is shuffled.
     """
     model = fit(docs, labels, sample)
     staging = Staging(docs.sparkSession, "mixing")
-    steps = fit_rates(staging.write(_with_posteriors(docs, model), "posteriors"), targets)
+    steps = fit_rates(staging.write(_with_posteriors(docs, model), "posteriors"), targets, repeat=repeat)
     staging.close()
-    return docs.mapInArrow(lambda it: _repeated(it, model, steps), docs.schema)
+    return docs.mapInArrow(lambda it: _repeated(it, model, steps, repeat), docs.schema)
