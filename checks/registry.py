@@ -722,13 +722,13 @@ def _(t: Inputs) -> DataFrame:
     return rolled(rollup.county_week_rollup(with_gaps(t), weighted_std=True))
 
 
-@query(
-    "weighted_std_null_scores_dropped",
-    rollup_sql({**ROLLUP_STATS, "std_score_wt": WEIGHTED_STD}, f"(SELECT * FROM {GAPS} WHERE feat_score IS NOT NULL) h"),
-)
+# A score that is missing takes its weight with it; its user still counts.
+DROPPED = f"(SELECT * REPLACE (CASE WHEN feat_score IS NOT NULL THEN user_weight END AS user_weight) FROM {GAPS}) h"
+
+
+@query("weighted_std_null_scores_dropped", rollup_sql({**ROLLUP_STATS, "std_score_wt": WEIGHTED_STD}, DROPPED))
 def _(t: Inputs) -> DataFrame:
-    scored = rollup.county_week_rollup(with_gaps(t), null_weights="drop", weighted_std=True)
-    return rolled(scored.filter("avg_score IS NOT NULL"))  # groups without any score have no row in the SQL
+    return rolled(rollup.county_week_rollup(with_gaps(t), null_weights="drop", weighted_std=True))
 
 
 @query("rollup_group_count", "SELECT count(*) AS groups FROM (SELECT DISTINCT year_week_county, feat FROM melted) g")
