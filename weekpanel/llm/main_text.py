@@ -251,7 +251,9 @@ def _training(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights of the classifier, from at most ``sample`` pages."""
-    first = pages.select("html", F.xxhash64("page_id").alias("_h")).orderBy("_h").limit(sample).select("html")
+    place = F.xxhash64("page_id").alias("_h")
+    chosen = pages.select(place).distinct().orderBy("_h").limit(sample)  # numbers alone: no page goes through one task
+    first = pages.select("html", place).join(F.broadcast(chosen), "_h", "left_semi").select("html")
     rows = first.mapInArrow(_training, "x array<double>, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
     rows = rows.collect()  # blocks of the sample, equal ones counted
     weights = PRIOR.copy()
