@@ -51,11 +51,12 @@ UNION ALL SELECT 2000000000 + page_id, page_id % 50, 'see ' || url FROM {pages}
 UNION ALL SELECT 3000000000 + page_id, page_id % 50, 'RT @' || split_part(url, '/', 3) || ': ' || html FROM {pages}
 """
 
-# Valid, four-digit and non-numeric codes; every tenth row names no user, so some users are not mapped.
+# Valid, four-digit and non-numeric codes; every tenth row names no user, so some users are not mapped. Some users have two.
 USER_COUNTY = """
 SELECT CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE c_custkey END AS user_id, CASE WHEN c_custkey % 13 = 0 THEN CAST(1001 + c_nationkey AS STRING)
  WHEN c_custkey % 17 = 0 THEN 'n/a' ELSE lpad(CAST(1001 + 2 * c_nationkey AS STRING), 5, '0') END AS cnty
  FROM {customer}
+UNION ALL SELECT c_custkey, lpad(CAST(1003 + 2 * c_nationkey AS STRING), 5, '0') FROM {customer} WHERE c_custkey % 19 = 3
 """
 
 # The same with null codes and codes that lost their leading zero.
@@ -65,10 +66,11 @@ SELECT c_custkey AS user_id, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN CAS
  ELSE lpad(CAST(1001 + 2 * c_nationkey AS STRING), 5, '0') END AS fips FROM {customer}
 """
 
-# A third of the rows name no user, so a third of the users have no weight; some weights are null.
+# A third of the rows name no user, so a third of the users have no weight; some weights are null, and some users have two.
 USER_WEIGHTS = """
 SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey END AS user_id,
  CASE WHEN c_custkey % 11 = 4 THEN NULL ELSE CAST(0.5 + (c_custkey % 7) * 0.25 AS DOUBLE) END AS weight FROM {customer}
+UNION ALL SELECT c_custkey, CAST(0.75 AS DOUBLE) FROM {customer} WHERE c_custkey % 23 = 5
 """
 
 _EMBEDDINGS = """
@@ -76,11 +78,11 @@ SELECT CAST(2024 AS STRING) || '_' || lpad(CAST(vec_id % 4 + 1 AS STRING),2,'0')
  vec_id AS user_id, CAST(10 + vec_id % 20 AS BIGINT) AS message_count, @@ AS embedding,
  lpad(CAST(1001 + 2 * label AS STRING), 5, '0') AS fips FROM {embeddings}
 """
-# Four layers of sixteen components; every 25th row has one layer only.
-_LAYERS_SPARK = """CASE WHEN vec_id % 25 = 0 THEN array(slice(embedding,1,16))
- ELSE array(slice(embedding,1,16),slice(embedding,17,16),slice(embedding,33,16),slice(embedding,49,16)) END"""
-_LAYERS_DUCKDB = """CASE WHEN vec_id % 25 = 0 THEN [embedding[1:16]]
- ELSE [embedding[1:16],embedding[17:32],embedding[33:48],embedding[49:64]] END"""
+# The whole vector: four layers of a quarter each; every 25th row has one layer of all components.
+_LAYERS_SPARK = f"""CASE WHEN vec_id % 25 = 0 THEN array(embedding)
+ ELSE array({",".join(f"slice(embedding,{1 + i * DIM},{DIM})" for i in range(N_LAYERS))}) END"""
+_LAYERS_DUCKDB = f"""CASE WHEN vec_id % 25 = 0 THEN [embedding]
+ ELSE [{",".join(f"embedding[{1 + i * DIM}:{(i + 1) * DIM}]" for i in range(N_LAYERS))}] END"""
 EMBEDDINGS_SPARK = _EMBEDDINGS.replace("@@", _LAYERS_SPARK)
 EMBEDDINGS_DUCKDB = _EMBEDDINGS.replace("@@", _LAYERS_DUCKDB)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,11 +165,16 @@ def _(t: Inputs) -> DataFrame:
     return components(layers, [KEY, "layer"], "part")
 
 
-@query("read_batches", f"SELECT {SAMPLED}, batch FROM prior")
-def _(t: Inputs) -> DataFrame:
+def delivered(t: Inputs) -> DataFrame:
+    """All cleaned messages, one batch per week, written and read again."""
     path = scratch(t, "batches")
-    writers.write_batches(prior(t), path)
-    return sampled(readers.read_batches(t.spark, path))
+    writers.write_batches(t.cleaned().withColumn("batch", (F.weekofyear("created_at") - 1).cast("bigint")), path)
+    return readers.read_batches(t.spark, path)
+
+
+@query("read_batches", f"SELECT {SAMPLED}, CAST(week(created_at) - 1 AS BIGINT) AS batch FROM cleaned")
+def _(t: Inputs) -> DataFrame:
+    return sampled(delivered(t))
 
 
 @query(
@@ -182,18 +188,6 @@ def _(t: Inputs) -> DataFrame:
     return batches.batch_summary(readers.read_batches(t.spark, path))
 
 
-@query(
-    "write_csv_single",
-    f"""SELECT year_week_county, feat, {r6('sum(feat_score * user_weight) / sum(user_weight)')} AS wavg_score FROM melted
- GROUP BY year_week_county, feat""",
-)
-def _(t: Inputs) -> DataFrame:
-    path = scratch(t, "rollup")
-    rolled = rollup.county_week_rollup(rollup.melt_scores(weighted_of(t))).select("year_week_county", "feat", "wavg_score")
-    writers.write_csv(rolled, path, header=True, files=1)
-    return t.spark.read.schema(rolled.schema).option("header", True).csv(path).withColumn("wavg_score", rounded("wavg_score"))
-
-
 @query("write_superusers", "SELECT user_id FROM heavy")
 def _(t: Inputs) -> DataFrame:
     path = scratch(t, "heavy")
@@ -356,10 +350,10 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "rename_columns",
-    "SELECT user_year_week, user_id, fips AS group_id, weight AS user_weight FROM scores JOIN user_weights USING (user_id)",
+    "SELECT user_year_week, user_id, fips AS group_id, weight AS user_weight FROM scores LEFT JOIN user_weights USING (user_id)",
 )
 def _(t: Inputs) -> DataFrame:
-    weighted = scores_of(t).join(t.user_weights, "user_id").drop(*SCORE_COLUMNS)
+    weighted = rollup.attach_weights(scores_of(t), t.user_weights).drop(*SCORE_COLUMNS)
     return weighted.select(KEY, "user_id", F.col("fips").alias("group_id"), F.col("weight").alias("user_weight"))
 
 
@@ -386,32 +380,35 @@ def _(t: Inputs) -> DataFrame:
     return components(embed.flatten_layers(embed.pick_layer(t.user_weeks)), [KEY], "vector")
 
 
-@query(
-    "align_features",
-    f"SELECT user_year_week, pos, {r6('value')} AS value FROM aligned WHERE target = 'dep_score'",
-)
+def per_target(t: Inputs, run: Callable[[DataFrame, score.Model], DataFrame]) -> DataFrame:
+    """What ``run`` makes of the vectors with each model, under the model's target."""
+    vectors = vectors_of(t)
+    return reduce(DataFrame.unionByName, [rollup.labelled(run(vectors, m), name, "target") for name, m in t.models.items()])
+
+
+@query("align_features", f"SELECT target, user_year_week, pos, {r6('value')} AS value FROM aligned")
 def _(t: Inputs) -> DataFrame:
-    return components(score.align_features(vectors_of(t), t.models["dep_score"].features), [KEY], "aligned")
+    aligned = per_target(t, lambda vectors, model: score.align_features(vectors, model.features))
+    return components(aligned, ["target", KEY], "aligned")
 
 
-@query(
-    "standardise",
-    f"SELECT user_year_week, pos, {r6('value')} AS value FROM standardised WHERE target = 'dep_score'",
-)
+def standardised(vectors: DataFrame, model: score.Model) -> DataFrame:
+    return score.standardise(score.align_features(vectors, model.features), model.mean, model.scale)
+
+
+@query("standardise", f"SELECT target, user_year_week, pos, {r6('value')} AS value FROM standardised")
 def _(t: Inputs) -> DataFrame:
-    model = t.models["dep_score"]
-    aligned = score.align_features(vectors_of(t), model.features)
-    return components(score.standardise(aligned, model.mean, model.scale), [KEY], "standardised")
+    return components(per_target(t, standardised), ["target", KEY], "standardised")
 
 
-@query("ridge_score", f"SELECT user_year_week, {r6('dep_score')} AS dep_score FROM dep")
+@query(
+    "ridge_score",
+    f"""SELECT 'dep_score' AS target, user_year_week, {r6('dep_score')} AS score FROM raw_scores
+ UNION ALL SELECT 'anx_score', user_year_week, {r6('anx_score')} FROM raw_scores""",
+)
 def _(t: Inputs) -> DataFrame:
-    model = t.models["dep_score"]
-    aligned = score.align_features(vectors_of(t), model.features)
-    scored = score.ridge_score(
-        score.standardise(aligned, model.mean, model.scale), model.coef, model.intercept, out="dep_score"
-    )
-    return scored.select(KEY, rounded("dep_score").alias("dep_score"))
+    scored = per_target(t, lambda vectors, m: score.ridge_score(standardised(vectors, m), m.coef, m.intercept))
+    return scored.select("target", KEY, rounded("score").alias("score"))
 
 
 RAW_SCORES = f"SELECT user_year_week, user_id, fips, {r6('dep_score')} AS dep_score, {r6('anx_score')} AS anx_score FROM raw_scores"
@@ -467,10 +464,10 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "county_mismatch_sample",
-    "SELECT user_year_week, user_id, fips, cnty FROM home_counties WHERE fips <> cnty ORDER BY user_id, user_year_week LIMIT 5",
+    "SELECT user_year_week, user_id, fips, cnty FROM home_counties WHERE fips <> cnty ORDER BY user_id, user_year_week, cnty LIMIT 5",
 )
 def _(t: Inputs) -> DataFrame:
-    return rollup.county_mismatch_sample(homes_of(t), ["user_id", KEY])
+    return rollup.county_mismatch_sample(homes_of(t), ["user_id", KEY, "cnty"])
 
 
 LONG_SCORES = f"""SELECT user_id, year_week_county, fips, user_weight, feat, {r6('feat_score')} AS feat_score FROM melted"""
@@ -703,6 +700,14 @@ def _(t: Inputs) -> DataFrame:
     return rolled(rollup.county_week_rollup(rollup.melt_scores(weighted_of(t))))
 
 
+@query("write_csv_single", rollup_sql(ROLLUP_STATS))
+def _(t: Inputs) -> DataFrame:
+    path = scratch(t, "rollup")
+    weeks = rollup.county_week_rollup(rollup.melt_scores(weighted_of(t)))
+    writers.write_csv(weeks, path, header=True, files=1)
+    return rolled(t.spark.read.schema(weeks.schema).option("header", True).csv(path))
+
+
 @query("weighted_std", rollup_sql({**ROLLUP_STATS, "std_score_wt": WEIGHTED_STD}))
 def _(t: Inputs) -> DataFrame:
     return rolled(rollup.county_week_rollup(rollup.melt_scores(weighted_of(t)), weighted_std=True))
@@ -908,9 +913,9 @@ def _(t: Inputs) -> DataFrame:
     return batches.assign_batches(counts, BATCH_LIMIT, drop_tail=True)
 
 
-@query("next_batch_number", "SELECT max(batch) + 1 AS next_batch FROM prior")
+@query("next_batch_number", "SELECT CAST(max(week(created_at)) AS BIGINT) AS next_batch FROM cleaned")
 def _(t: Inputs) -> DataFrame:
-    return batches.next_batch_number(prior(t))
+    return batches.next_batch_number(delivered(t))
 
 
 @query(
@@ -984,6 +989,51 @@ def _(t: Inputs) -> DataFrame:
     return sampled(fresh_batches(t))
 
 
+@query(
+    "write_increment",
+    """SELECT batch, count(*) AS messages, count(DISTINCT user_year_week) AS user_weeks FROM (
+ SELECT batch, user_year_week FROM prior
+ UNION ALL SELECT batch, user_year_week FROM fresh JOIN fresh_assigned USING (user_year_week)) b GROUP BY batch""",
+)
+def _(t: Inputs) -> DataFrame:
+    path, options = scratch(t, "increments"), {"active": ACTIVE, "super_from": SUPER_FROM, "limit": BATCH_LIMIT}
+    writers.write_batches(prior(t), path)
+    for _ in range(2):  # the second run finds nothing new
+        incremental.write_increment(t.cleaned(), path, **options)
+    return batches.batch_summary(readers.read_batches(t.spark, path))
+
+
+@query(
+    "write_scores",
+    f"SELECT user_year_week, user_id, fips, {', '.join(f'{r6(c)} AS {c}' for c in SCORE_COLUMNS)} FROM scores",
+)
+def _(t: Inputs) -> DataFrame:
+    years = [scratch(t, "year") for _ in range(2)]
+    for k, path in enumerate(years):
+        t.user_weeks.filter(F.col("user_id") % 2 == k).write.parquet(path)
+    path = scratch(t, "scores")
+    scoring.write_scores(t.spark, [f"{year}/*.parquet" for year in years], t.models, path, n_layers=N_LAYERS, dim=DIM)
+    return readers.read_scores(t.spark, path).withColumns({c: rounded(c) for c in SCORE_COLUMNS})
+
+
+@query("write_county_weeks", rollup_sql({**ROLLUP_STATS, "std_score_wt": WEIGHTED_STD}))
+def _(t: Inputs) -> DataFrame:
+    scores, weights, path = (scratch(t, label) for label in ("scores", "weights", "county-weeks"))
+    writers.write_csv(scores_of(t), scores)
+    writers.write_csv(t.user_weights, weights)
+    weeks = county_weeks.write_county_weeks(t.spark, scores, weights, path, weighted_std=True)
+    return rolled(t.spark.read.schema(weeks.schema).option("header", True).csv(path))
+
+
+@query(
+    "county_diagnostics",
+    """SELECT count(*) FILTER (cnty IS NULL) AS null_before, count(*) FILTER (coalesce(cnty, fips) IS NULL) AS null_after,
+ count(*) FILTER (fips <> cnty) AS differing FROM home_counties""",
+)
+def _(t: Inputs) -> DataFrame:
+    return county_weeks.county_diagnostics(scores_of(t), t.user_county)
+
+
 @query(
     "score_user_weeks",
     f"SELECT user_year_week, user_id, fips, {', '.join(f'{r6(c)} AS {c}' for c in SCORE_COLUMNS)} FROM scores",
@@ -1007,15 +1057,25 @@ def _(t: Inputs) -> DataFrame:
     return rolled(county_weeks.county_week_scores(scores_of(t), t.user_weights, weighted_std=True))
 
 
-@query(
-    "county_feature_table",
-    f"""SELECT row_number() OVER (ORDER BY fips, pos) AS id, fips AS group_id, {r6('value')} AS value,
- CAST(pos AS VARCHAR) || 'me' AS feat, {r6('value')} AS group_norm FROM county_rows""",
-)
+FEATURE_ROWS = f"""SELECT row_number() OVER (ORDER BY fips, pos) AS id, fips AS group_id, {r6('value')} AS value,
+ CAST(pos AS VARCHAR) || 'me' AS feat, {r6('value')} AS group_norm FROM county_rows"""
+
+
+@query("county_feature_table", FEATURE_ROWS)
 def _(t: Inputs) -> DataFrame:
     table = feature_export.county_feature_table(county_means(t), missing_counties(t), "embedding")
     return table.withColumns({c: rounded(c) for c in ("value", "group_norm")})
 
 
+@query("write_feature_table", FEATURE_ROWS)
+def _(t: Inputs) -> DataFrame:
+    base, missing, path = (scratch(t, label) for label in ("base", "missing", "features"))
+    county_means(t).write.parquet(base)
+    missing_counties(t).write.parquet(missing)
+    feature_export.write_feature_table(t.spark, f"{base}/*.parquet", f"{missing}/*.parquet", path, "embedding")
+    table = t.spark.read.schema(schemas.FEATURE_TABLE).csv(path)
+    return table.withColumns({c: rounded(c) for c in ("value", "group_norm")})
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return activity_report(Inputs(spark, folder))

@@ -97,9 +97,10 @@ def extremes(df: DataFrame, col: str, ties: Sequence[str], k: int = 10) -> DataF
     """The ``k`` lowest, middle and highest rows by ``col``, labelled in ``part``; nulls are left out.
 
     Lowest and highest are top-k reports. The middle starts ``k // 2`` rows before the half; a sort with an
-    offset would send half of all rows to one task, so it is found by row number.
+    offset would send half of all rows to one task, so it is found by row number. The rows are staged before they are
+    ranged, because ranging reads its input twice: once for a sample, once to deal it out.
     """
-    scored = df.filter(F.col(col).isNotNull())
+    scored = stage(df.filter(F.col(col).isNotNull()), "scored")
     numbered = number_rows(scored, [col, *ties], id_col="_row", start=0)
     rows = numbered.agg(F.count("*").alias("n")).scalar()
     first = F.shiftright(rows, 1) - F.lit(k // 2)

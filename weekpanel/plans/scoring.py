@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpanel.fixed_values import LAYER_DIM, N_LAYERS, SCORED_LAYER_FROM_END
 from weekpanel.functions import vectors
 from weekpanel.operators import embed, score
 from weekpanel.session import stage
+from weekpanel.sources import readers, writers
 
 
 def raw_scores(
@@ -44,3 +45,19 @@ def score_user_weeks(embeddings: DataFrame, models: Mapping[str, score.Model], *
     """
     scores = stage(raw_scores(embeddings, models, **options), "scores")
     return score.minmax_scale(scores, {target: f"scaled_{target}" for target in models})
+
+
+def write_scores(
+    spark: SparkSession,
+    years: Sequence[str],
+    models: Mapping[str, score.Model],
+    path: str,
+    files: int | None = None,
+    **options,
+) -> None:
+    """Score the embeddings of several years, one Parquet glob each, and write all of them as CSV with a header.
+
+    The scores of all years are rescaled by one range. Options are those of :func:`raw_scores`.
+    """
+    embeddings = embed.union_years(*[readers.read_embeddings(spark, year) for year in years])
+    writers.write_csv(score_user_weeks(embeddings, models, **options), path, files=files)

@@ -32,6 +32,9 @@ SETTINGS = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     # Batches sent to Python hold embeddings of 1,024 doubles: 2,000 rows are 16 MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Mean vectors are hashed by group on the map side up to so many groups a task, then sorted: at 1,024 components a
+    # group takes some 24 KB, so 100 MB in all. Spark's own limit of 128 groups would sort all vectors of a task.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     # Timestamps are written as they are, without a calendar rebase.
     "spark.sql.parquet.int96RebaseModeInWrite": "CORRECTED",
     "spark.sql.parquet.datetimeRebaseModeInWrite": "CORRECTED",
