@@ -51,14 +51,20 @@ UNION ALL SELECT 2000000000 + page_id, page_id % 50, 'see ' || url FROM {pages}
 UNION ALL SELECT 3000000000 + page_id, page_id % 50, 'RT @' || split_part(url, '/', 3) || ': ' || html FROM {pages}
 """
 
-# Valid, four-digit and non-numeric codes; every tenth row names no user, so some users are not mapped. Some users have two.
+# Valid, four-digit and non-numeric codes; every tenth row names no user, so some users are not mapped.
 USER_COUNTY = """
 SELECT CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE c_custkey END AS user_id, CASE WHEN c_custkey % 13 = 0 THEN CAST(1001 + c_nationkey AS STRING)
  WHEN c_custkey % 17 = 0 THEN 'n/a' ELSE lpad(CAST(1001 + 2 * c_nationkey AS STRING), 5, '0') END AS cnty
  FROM {customer}
-UNION ALL SELECT c_custkey, lpad(CAST(1003 + 2 * c_nationkey AS STRING), 5, '0') FROM {customer} WHERE c_custkey % 19 = 3
 """
 
+# The same, but some users have two counties.
+USER_COUNTIES = (
+    USER_COUNTY
+    + """UNION ALL SELECT c_custkey, lpad(CAST(1003 + 2 * c_nationkey AS STRING), 5, '0') FROM {customer} WHERE c_custkey % 19 = 3
+"""
+)
+
 # The same with null codes and codes that lost their leading zero.
 COUNTY_CODES = """
 SELECT c_custkey AS user_id, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN CAST(1001 + c_nationkey AS STRING)
@@ -134,6 +140,7 @@ SQL_INPUTS = {
     "messages_keyed": MESSAGES_KEYED,
     "long_messages": LONG_MESSAGES,
     "user_county": USER_COUNTY,
+    "user_counties": USER_COUNTIES,
     "county_codes": COUNTY_CODES,
     "user_weights": USER_WEIGHTS,
     "user_weeks": EMBEDDINGS_DUCKDB,
@@ -181,6 +188,10 @@ class Inputs:
     def user_county(self) -> DataFrame:
         return self.sql(USER_COUNTY)
 
+    @cached_property
+    def user_counties(self) -> DataFrame:
+        return self.sql(USER_COUNTIES)
+
     @cached_property
     def county_codes(self) -> DataFrame:
         return self.sql(COUNTY_CODES)

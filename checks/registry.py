@@ -515,6 +515,14 @@ def _(t: Inputs) -> DataFrame:
     return clean.attach_county(t.messages, t.user_county).select("message_id", "user_id", "message", "fips")
 
 
+@query(
+    "attach_county_several",
+    "SELECT message_id, user_id, message, cnty AS fips FROM messages JOIN user_counties USING (user_id)",
+)
+def _(t: Inputs) -> DataFrame:
+    return clean.attach_county(t.messages, t.user_counties).select("message_id", "user_id", "message", "fips")
+
+
 @query("keep_band", f"SELECT {SAMPLED} FROM cleaned WHERE user_year_week IN (SELECT user_year_week FROM active)")
 def _(t: Inputs) -> DataFrame:
     cleaned = t.cleaned()
