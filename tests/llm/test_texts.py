@@ -215,6 +215,41 @@ def test_replayed_steps_are_the_projected_gradient():
     assert np.allclose(mixing.replay(p, steps), rate) and (n > 0).all()
 
 
+def staged_posteriors(spark, name, posteriors, repeat):
+    """Posteriors of documents of 100 tokens, each as often as ``repeat`` says."""
+    rows = [(k, 100, *map(float, p)) for k, p in enumerate(p for p, n in zip(posteriors, repeat, strict=True) for _ in range(n))]
+    return Staging(spark, name).write(spark.createDataFrame(rows, mixing.POSTERIORS), "posteriors")
+
+
+def expected(rows, steps):
+    p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows.collect()])
+    return p.T @ (100 * mixing.replay(p, steps))
+
+
+@pytest.mark.parametrize("rare", [1, 5])
+def test_rates_of_a_rare_domain_meet_their_target(spark, rare):
+    """0.02% and 0.1% of the tokens, for a target of 1%."""
+    rows = staged_posteriors(spark, f"rare-{rare}", [(0.998, 0.001, 0.001), (0.01, 0.98, 0.01), (0.02, 0.01, 0.97)], [4900, 100 - rare, rare])
+    targets = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+    total = expected(rows, mixing.fit_rates(rows, targets))
+    for t, domain in zip(total, mixing.DOMAINS, strict=True):
+        assert t / total.sum() == pytest.approx(targets[domain], rel=3e-3)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    rows = staged_posteriors(spark, "far", [(0.9, 0.05, 0.05), (0.8, 0.1, 0.1)], [50, 50])
+    with pytest.warns(mixing.TargetsMissed, match="toxic"):
+        mixing.fit_rates(rows, {"clean": 0.98, "low": 0.01, "toxic": 0.01})
+
+
+def test_a_domain_that_cannot_be_told_leaves_the_others_near_their_targets(spark):
+    rows = staged_posteriors(spark, "blind", [(0.9998, 0.0001, 0.0001), (0.01, 0.0001, 0.9899)], [1900, 100])
+    with pytest.warns(mixing.TargetsMissed, match="low"):
+        steps = mixing.fit_rates(rows, {"clean": 0.97, "low": 0.02, "toxic": 0.01})
+    before, after = expected(rows, []), expected(rows, steps)
+    assert after[0] == pytest.approx(before[0], rel=0.1) and after[2] < 0.5 * before[2]
+
+
 # -- main text --------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>x</p>";</script></head><body>

@@ -6,11 +6,17 @@ beginnings of its words, are known from one domain. Which words those are is cou
 ``SAMPLE`` labelled documents (the first by a hash of doc_id, a parameter), of which at most ``WORDS`` per domain are
 kept; on the same sample the softmax is fitted.
 
-The rates solve min over r >= 0 of the sum over domains of the weighted squares of (sum of rate * tokens * posterior -
-target), from r = 1, by projected gradient. Rates are measured by tokens, so that a document's change depends on its
-posterior and not on its length. Each step is one Spark job: tasks replay the steps so far for their documents (a
-document's rate is a function of its posterior and of the steps), sum expected tokens per domain, and the driver gets
-one row per domain. Posteriors are staged once, without texts; nothing is shuffled but sums.
+The rates minimise over r >= 0 a quadratic form of the domains' misses (sum of rate * tokens * posterior - target), from
+r = 1, by projected gradient. Rates are measured by tokens, so that a document's change depends on its posterior and not
+on its length. The form is the inverse of the posteriors' products, damped by a part of each domain's own, so that a
+step closes most of a domain's miss however rare the domain is; where such a step would raise the relative misses, the
+form is the sum of their squares from there on. Each step is one Spark job: tasks replay the steps so
+far for their documents (a document's rate is a function of its posterior and of the steps), sum expected tokens per
+domain, and the driver gets one row per domain. Posteriors are staged once, without texts; nothing is shuffled but sums.
+
+Steps are taken until each domain is within ``CLOSE`` of its own target (of its own tokens where the target is zero).
+Targets that cannot be met, or are not after ``STEPS``, are reported by a :class:`TargetsMissed` warning that names the
+domains and their misses.
 
 Targets are shares; the total is such that the ``anchor`` domain keeps its expected tokens (rate 1) when the others
 are given their shares.
@@ -23,6 +29,7 @@ treated alike; an empty table gives no rows; further columns are left alone.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -43,9 +50,15 @@ SAMPLE = 20_000
 WORDS = 4096
 BEGINNING = 5  # bytes
 SIGNIFICANT = 4.0
-STEPS = 60
-CLOSE = 1e-6
+STEPS = 200
+CLOSE = 1e-3
 DAMPING = 0.05
+#: Targets count as out of reach when the largest miss falls by less than a tenth over so many steps.
+STALLED = 20
+
+
+class TargetsMissed(UserWarning):
+    """Rates leave domains further from their targets than ``CLOSE``."""
 
 
 @dataclass
@@ -252,17 +265,34 @@ def fit_rates(
     wanted = np.where(tokens > 0, share / share[DOMAINS.index(ANCHOR)] * tokens[DOMAINS.index(ANCHOR)], 0)
     if not repeat:
         wanted = np.minimum(wanted, tokens)
-    # The metric damps the largest domain, so that small ones are fitted in few steps.
-    metric = 1 / (np.diag(products) + DAMPING * everything)
-    half = np.sqrt(metric)
-    length = 1 / np.linalg.eigvalsh(half[:, None] * products * half)[-1]
+    scale = np.maximum(np.where(wanted > 0, wanted, tokens), 1)
+    # Damped by each domain's own products, which does not shrink the steps of rare ones; at most a whole step. Where that
+    # does not lower the relative misses (a domain that cannot be told), the gradient of their squares takes over.
+    metric = np.linalg.pinv(products + DAMPING * np.diag(np.diag(products)), hermitian=True)
+    weight = np.diag(1 / np.maximum(scale, tokens) ** 2)
+    gradient = weight / np.linalg.eigvalsh(np.sqrt(weight) @ products @ np.sqrt(weight))[-1]
     taken: list[np.ndarray] = []
-    for _ in range(steps):
+    misses: list[float] = []
+
+    def merit(missed: np.ndarray) -> float:
+        return float(missed @ weight @ missed)
+
+    while True:
         miss = wanted - tokens
-        if np.abs(miss).max() <= CLOSE * everything:
+        misses.append(float((np.abs(miss) / scale).max()))
+        stalled = len(misses) > STALLED and misses[-1] > 0.9 * misses[-1 - STALLED]
+        if misses[-1] <= CLOSE or len(taken) == steps or stalled:
             break
-        taken.append(length * metric * miss)
-        tokens = _summed(rows, taken)[:, 0]
+        after = _summed(rows, [*taken, metric @ miss])[:, 0]
+        if metric is not gradient and merit(wanted - after) > merit(miss):
+            metric = gradient
+            after = _summed(rows, [*taken, metric @ miss])[:, 0]
+        taken.append(metric @ miss)
+        tokens = after
+    if misses[-1] > CLOSE:
+        open_ = {d: float(m) for d, m in zip(DOMAINS, miss / scale, strict=True) if abs(m) > CLOSE}
+        told = ", ".join(f"{d} by {-m:+.2%}" for d, m in open_.items())
+        warnings.warn(f"after {len(taken)} steps expected tokens miss their targets: {told}", TargetsMissed, stacklevel=2)
     return taken
 
 
