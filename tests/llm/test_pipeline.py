@@ -4,8 +4,12 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from test_join import groups
 
+from weekpanel.llm import mixing
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -21,6 +25,36 @@ def test_mixing_keeps_clean_documents_and_drops_toxic_ones(spark):
     assert sum(caught) >= 0.9 * len(caught)
 
 
+@pytest.mark.parametrize("share", [0.005, 0.02, 0.12])
+def test_mixing_drops_toxic_documents_whatever_their_share(spark, tmp_path, share):
+    rnd = np.random.default_rng(1)
+    texts = [[f"w{w}" for w in rnd.integers(0, 500, rnd.integers(20, 60))] for _ in range(2000)]
+    toxic = {k for k in range(2000) if k < 2000 * share}
+    texts = [" ".join(t if k not in toxic else [*t[:9], "nasty", *t[9:], "nasty"]) for k, t in enumerate(texts)]
+    labels = [(k, 1, int(k in toxic)) for k in range(2000) if k % 3]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+    left = {r["doc_id"] for r in corpus_pipeline.mixed(spark, frame, str(tmp_path)).collect()}
+    assert len(left & toxic) <= 0.1 * len(toxic)
+    assert len(left - toxic) >= 0.99 * (2000 - len(toxic))
+
+    rows = mixing.document_rates(frame, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    rows = rows.select("doc_id", "n_tokens", *(f"p_{d}" for d in mixing.DOMAINS)).collect()
+    p, n = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows])
+    kept = np.array([r["doc_id"] in left for r in rows])
+    target = p.T @ (n * np.maximum(p @ [corpus_pipeline.WORTH[d] for d in mixing.DOMAINS], 0))
+    total = p.T @ (n * kept)  # clean rates near one are left whole
+    assert total[0] == pytest.approx(target[0], rel=0.05)
+    assert total[1:] == pytest.approx(target[1:], abs=0.005 * n.sum())
+
+
+def test_fractional_rates_are_realised():
+    draw = np.random.default_rng(2).random(100_000)
+    for rate, mean in ((0.02, 0.02), (0.14, 0.14), (0.6, 0.6), (0.9, 1.0), (1.1, 1.0), (7.3, 7.3)):
+        assert mixing.realised(np.full(len(draw), rate), draw).mean() == pytest.approx(mean, abs=0.01)
+
+
 def test_stages_keep_the_columns_and_do_what_they_are_for(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, kept = docs.columns, {}

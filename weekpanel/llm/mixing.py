@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.llm.decontaminate import plain_words
-from weekpanel.llm.shared import Staging
+from weekpanel.llm.shared import Staging, fresh
 from weekpanel.llm.style import NAMES, style
 from weekpanel.llm.tokens import Words, mixed, slices
 
@@ -53,6 +53,8 @@ SIGNIFICANT = 4.0
 STEPS = 200
 CLOSE = 1e-3
 DAMPING = 0.05
+#: Rates this close to one leave a document as it is.
+NEAR = 0.2
 #: Targets count as out of reach when the largest miss falls by less than a tenth over so many steps.
 STALLED = 20
 
@@ -318,11 +320,20 @@ def _with_posteriors(docs: DataFrame, model: Classifier | None) -> DataFrame:
     return slim.mapInArrow(lambda it: _posteriors(it, model), POSTERIORS)
 
 
+def realised(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Whole copies at the rates, the fraction by a draw from [0, 1); rates within ``NEAR`` of one leave a document whole."""
+    whole = np.floor(rate)
+    return np.where(np.abs(rate - 1) <= NEAR, 1, whole + (draw < rate - whole)).astype(np.int64)
+
+
 def _repeated(batches: Iterable[pa.RecordBatch], model, steps: list, repeat: bool) -> Iterator[pa.RecordBatch]:
+    """The last column is the hash that the draw is taken from."""
     for batch, texts in slices(batches):
-        copies = np.floor(replay(_posterior(texts, model), steps) + 0.5).astype(np.int64)
+        last = batch.num_columns - 1
+        draw = (batch.column(last).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(11)) / 2.0**53
+        copies = realised(replay(_posterior(texts, model), steps), draw)
         copies = copies if repeat else np.minimum(copies, 1)
-        yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
+        yield batch.select(list(range(last))).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
 
 
 def mixed_documents(
@@ -331,13 +342,25 @@ def mixed_documents(
     targets: dict[str, float] | None = None,
     sample: int = SAMPLE,
     repeat: bool = True,
+    worth: dict[str, float] | None = None,
 ) -> DataFrame:
-    """The documents with all their columns, each as often as its rate says, to the nearest whole number.
+    """The documents with all their columns, each as often as its rate says; fractions are realised by a hash of doc_id
+    and text, the same for repeated rows.
 
-    Without ``repeat`` no domain is asked for more tokens than it has, which leaves no document twice. Posteriors and rates are told again where the documents are read, so that no text is shuffled.
+    Without ``repeat`` no domain is asked for more tokens than it has, which leaves no document twice. With ``worth``, of
+    a token of each domain, a rate is the expected worth of a token of the document, not below zero. No step is fitted
+    then, and a document's rate depends on its posterior alone and not on what else the table holds. Posteriors and rates
+    are told again where the documents are read, so that no text is shuffled.
     """
     model = fit(docs, labels, sample)
-    staging = Staging(docs.sparkSession, "mixing")
-    steps = fit_rates(staging.write(_with_posteriors(docs, model), "posteriors"), targets, repeat=repeat)
-    staging.close()
-    return docs.mapInArrow(lambda it: _repeated(it, model, steps, repeat), docs.schema)
+    if worth is not None:
+        if targets is not None:
+            raise ValueError("either targets or worth")
+        steps = [np.array([worth.get(d, 0.0) for d in DOMAINS]) - 1]  # from rate 1
+    else:
+        staging = Staging(docs.sparkSession, "mixing")
+        steps = fit_rates(staging.write(_with_posteriors(docs, model), "posteriors"), targets, repeat=repeat)
+        staging.close()
+    (draw,) = fresh(docs.columns, "draw")
+    drawn = docs.withColumn(draw, F.xxhash64(F.lit("mixing"), "doc_id", "text"))
+    return drawn.mapInArrow(lambda it: _repeated(it, model, steps, repeat), docs.schema)
