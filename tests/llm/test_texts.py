@@ -125,6 +125,31 @@ def test_notices_are_the_best_passages(spark):
     assert licences.licence_notices(docs(spark, rows).filter("false")).count() == 0
 
 
+def scan(text):
+    found = licences.plain_words([text.encode()])
+    bigrams, _ = found.shingles(2, short=False)
+    return [n[0] for n in licences.notices(bigrams, licences.templates_of(licences.TEMPLATES))]
+
+
+@pytest.mark.parametrize("name", sorted(licences.TEMPLATES))
+def test_each_notice_wins_over_its_neighbours(name):
+    text = licences.TEMPLATES[name]
+    assert scan(f"some words before {text} and after it") == [name]
+    for old, new in (("https", "http"), ("copyright holder nor", "Acme nor"), ("THE AUTHOR BE", "ACME BE"), ("License along", "License, together")):
+        assert scan(text.replace(old, new)) == [name]
+
+
+def test_notices_as_they_are_written_elsewhere():
+    """Neighbouring licences that one template stood for, with other words around the version."""
+    old = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for licence, version, name in (
+        ("General Public License", "2", "GPL-2.0-header"), ("General Public License", "3", "GPL-3.0-header"),
+        ("Affero General Public License", "3", "AGPL-3.0-header"), ("Lesser General Public License", "2.1", "LGPL-2.1-header-program"),
+    ):
+        assert scan(old.format(licence, version)) == [name]
+    assert scan("licensed under the GNU Affero General Public License, version 3") == ["AGPL-3.0"]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_no_passage_within_the_bounds_scores_better(seed):
     rnd = random.Random(seed)

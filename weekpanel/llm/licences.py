@@ -5,8 +5,9 @@ run of words of a document; it matches a template when 2 * shared / (its bigrams
 bigrams, reaches ``DICE``. A passage can only do so if its number of bigrams lies between n * t / (2 - t) and
 n * (2 - t) / t for a template of n: that bounds the passages that are looked at, and a template is left out where
 too few of its bigrams lie that close together. Every passage between two bigrams of the template within those bounds
-is scored; of passages that overlap, the one with the highest score is kept (then the larger template, the earlier
-one).
+is scored; of passages that overlap, the one with most shared bigrams beyond those that are not shared is kept (then the
+one with the highest score, the larger template, the earlier one): a whole text with a name changed wins over a shorter
+notice that it begins with word by word.
 
 Every document is read once and nothing is shuffled but what is found; the templates are a fixed list.
 
@@ -29,6 +30,69 @@ from weekpanel.llm.tokens import slices
 
 DICE = 0.8
 
+#: Parts that notices share.
+_AS_IS_BSD = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,'
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+    " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE"
+    " USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_THIRD_BSD = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+    " products derived from this software without specific prior written permission."
+)
+_AS_IS_ISC = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL'
+    " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,"
+    " INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN"
+    " AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR"
+    " PERFORMANCE OF THIS SOFTWARE."
+)
+
+
+def _gnu(licence: str, version: str, what: str = "program", tail: str = "") -> str:
+    """The notice of a GNU licence, alone or with the warranty paragraph and where to find a copy."""
+    notice = (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {licence} as"
+        f" published by the Free Software Foundation, either version {version} of the License, or (at your option) any"
+        " later version."
+    )
+    if not tail:
+        return notice
+    where = {
+        "url": "see https://www.gnu.org/licenses/.",
+        "post": (
+            "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+        ),
+    }
+    return (
+        f"{notice} This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even"
+        f" the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {licence} for more"
+        f" details. You should have received a copy of the GNU {licence} along with this {what}. If not, {where[tail]}"
+    )
+
+
+def _gnu_notices() -> dict[str, str]:
+    """Each licence in every form, so that the form of a notice never speaks for another licence."""
+    out = {}
+    lesser, every = "Lesser General Public License", ("program", "library")
+    for name, licence, version, words in (
+        ("GPL-2.0", "General Public License", "2", every[:1]),
+        ("GPL-3.0", "General Public License", "3", every[:1]),
+        ("AGPL-3.0", "Affero General Public License", "3", every[:1]),
+        ("LGPL-2.1", lesser, "2.1", every),
+        ("LGPL-3.0", lesser, "3", every),
+    ):
+        for what in words:
+            for tail in ("", "url", "post"):
+                parts = [name, "header", *([what] if len(words) > 1 else []), *([tail] if tail else [])]
+                out["-".join(parts)] = _gnu(licence, version, what, tail)
+    return out
+
+
 #: Notices and texts of public licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -56,11 +120,8 @@ TEMPLATES = {
     ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
-        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
-        " option) any later version."
-    ),
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was"
@@ -70,7 +131,7 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
         " hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     ),
-    "BSD-3-Clause": (
+    "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
         " the following conditions are met: Redistributions of source code must retain the above copyright notice,"
         " this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the"
@@ -83,7 +144,11 @@ TEMPLATES = {
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal.",
     "all-rights-reserved": "All rights reserved.",
-}
+} | _gnu_notices()
+TEMPLATES["ISC-text"] = TEMPLATES["ISC"] + _AS_IS_ISC
+TEMPLATES["BSD-2-Clause-text"] = TEMPLATES["BSD-2-Clause"] + _AS_IS_BSD
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + _THIRD_BSD
+TEMPLATES["BSD-3-Clause-text"] = TEMPLATES["BSD-3-Clause"] + _AS_IS_BSD
 
 
 @dataclass
@@ -143,9 +208,13 @@ def passages(bigrams: np.ndarray, template: Template) -> list[tuple[float, int,
 
 def notices(bigrams: np.ndarray, templates: list[Template]) -> list[tuple[str, float, int, int]]:
     """(template, score, first word, end) of the notices of one text that do not overlap, in text order."""
-    found = [(-s, -t.size, a, b, t.name) for t in templates for s, a, b in passages(bigrams, t)]
+    found = []
+    for t in templates:
+        for score, begin, end in passages(bigrams, t):
+            sizes = t.size + len(np.unique(bigrams[begin:end]))
+            found.append((sizes - round(1.5 * score * sizes), -score, -t.size, begin, end, t.name))
     kept: list[tuple[str, float, int, int]] = []
-    for score, _, begin, end, name in sorted(found):
+    for _, score, _, begin, end, name in sorted(found):
         if all(end + 1 <= a or b <= begin for _, _, a, b in kept):
             kept.append((name, -score, begin, end + 1))
     return sorted(kept, key=lambda x: x[2])
