@@ -9,6 +9,7 @@ import pytest
 
 from weekpanel.llm import exact_dedup, personal_data, sharding
 from weekpanel.llm.queries import ORACLE, QUERIES
+from weekpanel.llm.shared import Staging
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard int, digest string"
 A_TO_Z = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -145,6 +146,37 @@ def test_patterns_of_seeds_find_identifiers_that_no_base_pattern_knows(spark):
     assert got[200]["spans"] == ""
 
 
+def test_identifiers_in_groups_and_after_numbers_are_found_whole(spark):
+    phones = [(k, f"w{k} please call me at +1 555 867 {5300 + k} today") for k in range(12)]
+    spaced, after_date = "u please call me at 555 867 5309 today", "on 2021-03-04 at 12:30 call me at 555 867 5309. So"
+    cards = [n for n in range(4000000000000000, 4000000000002000) if luhn(str(n))][:12]
+    cards = [(20 + k, f"ref 77 card {n} ends") for k, n in enumerate(cards)]
+    after_number = "ref 77 card 5550123456789010 ends"
+    between = "paid 77 5550 1234 5678 9010, 12 times"
+    rows = [*phones, *cards, (100, spaced), (101, after_date), (102, after_number), (103, between)]
+    got = {r["doc_id"]: r for r in personal_data.personal_data(docs(spark, rows)).collect()}
+
+    def span(kind, text, value):
+        return f"{kind}:{text.index(value)}:{text.index(value) + len(value)}"
+
+    assert got[100]["spans"] == span("phone", spaced, "555 867 5309")
+    assert got[101]["spans"] == span("phone", after_date, "555 867 5309")
+    assert got[102]["spans"] == span("card", after_number, "5550123456789010")
+    assert got[103]["spans"] == ""
+
+
+def test_words_around_a_match_are_those_of_the_text(spark):
+    texts = ["a 1 b@c.de 22 4111 1111 1111 1111, 3 +1 (234) 567-8901 x", "7 " * 60, "DE89 3704 0044 05 is 2021-01-02 x", "x1y 2 3"]
+    found = personal_data._located(docs(spark, list(enumerate(texts))), Staging(spark, "around")).collect()
+    assert {"run", "token"} <= {r["kind"] for r in found}
+    for r in found:
+        text = texts[r["doc_id"]]
+        assert r["value"] == text[r["start"] : r["end"]]
+        assert (r["before"], r["after"]) == (text[: r["start"]][-64:], text[r["end"] :][:64])
+    runs = {(r["doc_id"], r["value"]) for r in found if r["kind"] == "run"}
+    assert {(2, "DE89 3704 0044 05"), (3, "2 3")} <= runs and (1, texts[1].strip()) in runs
+
+
 @pytest.mark.parametrize("run", [sharding.contiguous_shards, exact_dedup.mark_copies, personal_data.personal_data])
 def test_an_empty_table_gives_no_rows(spark, run):
     assert run(docs(spark, []).filter("false")).count() == 0

@@ -2,7 +2,9 @@
 
 Seeds are the spans that the fixed patterns find: e-mail and IP addresses, card and phone numbers. Every seed, and every
 other identifier-like token (one with a digit or an ``@``), is an instance with lexical patterns: the two words before
-it, the word before it with its shape, and the words on both sides. Patterns and instances form a graph. In each round a
+it, the word before it with its shape, and the words on both sides, other identifiers included. Digit tokens with one
+blank between them are such a token together too, beside each of them alone; where both are found, the longer span is
+taken. Patterns and instances form a graph. In each round a
 pattern's confidence in a kind is the score of its instances over their number and one, and an instance that is no
 seed scores 1 - the product of (1 - confidence) over its patterns, as long as a pattern is supported by ``SUPPORT``
 instances and sure to ``USEFUL``. In the end an occurrence is personal data when its instance scores ``ACCEPT`` and a
@@ -39,8 +41,17 @@ KINDS = tuple(PATTERNS)
 TOKEN = "token"
 #: A token with a digit or an @, from its first to its last character.
 TOKEN_PATTERN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+RUN = "run"
+#: Two digit tokens or more with one blank between them; the first may begin with two letters, as in account numbers.
+_GROUP = r"[0-9](?:[0-9()+/-]|\.(?=[0-9]))*+"
+_GROUP_END = r"""(?=[\])>"'.,;:!?]*+(?:[\x20\x09-\x0D]|\z))"""
+RUN_PATTERN = (
+    r"""(?<![^\x20\x09-\x0D])["'(<\[+]*+(?:[A-Za-z]{2})?+""" + _GROUP + rf"(?:\x20[+(]*+{_GROUP}{_GROUP_END})++"
+)
 #: Characters on each side of a match that are kept to take the neighbouring words from.
 AROUND = 64
+#: So many matches on each side make up those characters: a match and what parts it from the next are two at least.
+NEIGHBOURS = AROUND // 2
 
 ROUNDS = 3
 SUPPORT = 3.0
@@ -108,6 +119,7 @@ def _located(docs: DataFrame, staging: Staging) -> DataFrame:
     parts += [F.when(digit, _matches(text, k, PATTERNS[k])).otherwise(nothing) for k in ("ip", "card")]
     parts += [F.when(digit & text.contains("+"), _matches(text, "phone", PATTERNS["phone"])).otherwise(nothing)]
     parts += [F.when(digit | text.contains("@"), _matches(text, TOKEN, TOKEN_PATTERN)).otherwise(nothing)]
+    parts += [F.when(text.rlike(r"[0-9]\x20[+(]*[0-9]"), _matches(text, RUN, RUN_PATTERN)).otherwise(nothing)]
     # The number first: given beside the explode, it would number the matches.
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -116,9 +128,20 @@ def _located(docs: DataFrame, staging: Staging) -> DataFrame:
     ).select("row", "doc_id", F.explode_outer("matches").alias("match"))
     rows = staging.write(rows.select("row", "doc_id", "match.*"), "matches")
     length = F.char_length("value")
-    in_order = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + length).over(in_order)
-    placed = rows.withColumn("end", end).withColumn("start", F.col("end") - length)
+    in_order = Window.partitionBy("row", "kind").orderBy("place")
+    end = F.sum(F.col("gap") + length).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+
+    def joined(*pieces: Column, first: int, last: int) -> Column:
+        return F.array_join(F.collect_list(F.concat(*pieces)).over(in_order.rowsBetween(first, last)), "")
+
+    # The pieces end at the matches beside; the text itself goes on with those.
+    earlier = joined(F.col("before"), F.right("value", F.lit(AROUND)), first=-NEIGHBOURS, last=-1)
+    later = joined(F.left("value", F.lit(AROUND)), F.col("after"), first=1, last=NEIGHBOURS)
+    placed = rows.withColumns({
+        "end": end,
+        "before": F.right(F.concat(earlier, "before"), F.lit(AROUND)),
+        "after": F.left(F.concat("after", later), F.lit(AROUND)),
+    }).withColumn("start", F.col("end") - length)
     return staging.write(placed.drop("gap", "place"), "located")
 
 
@@ -129,7 +152,7 @@ def _occurrences(located: DataFrame, base: DataFrame, staging: Staging) -> DataF
     """Staged: base spans and other tokens with their instance and patterns; kind is null for the others."""
     trimmed = F.regexp_extract("value", r"""^["'(<\[]*+(.*?)[\])>"'.,;:!?]*$""", 1)
     lead = F.char_length(F.regexp_extract("value", r"""^["'(<\[]*+""", 0))
-    tokens = located.filter(F.col("kind") == TOKEN).select(
+    tokens = located.filter(F.col("kind").isin(TOKEN, RUN)).select(
         "row", (F.col("start") + lead).alias("start"), trimmed.alias("value"), "before", "after"
     )
     tokens = tokens.withColumn("end", F.col("start") + F.char_length("value")).filter("value RLIKE '[0-9@]'")
@@ -191,7 +214,11 @@ def _discovered(occurrences: DataFrame, staging: Staging, rounds: int) -> DataFr
     open_ = occurrences.filter("kind IS NULL").drop("kind").withColumn("pattern", F.explode("patterns")).drop("patterns")
     told = open_.join(sure, "pattern").join(accepted, ["instance", "kind"])
     best = F.max(F.struct("confidence", "score", "kind"))["kind"]
-    return told.groupBy("row", "start", "end").agg(best.alias("kind"))
+    found = told.groupBy("row", "start", "end").agg(best.alias("kind"))
+    # A run and its tokens lie within each other or apart.
+    earlier = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.max("end").over(earlier) >= F.col("end"), F.lit(False))
+    return found.withColumn("_within", within).filter(~F.col("_within")).drop("_within")
 
 
 # -- the operator -----------------------------------------------------------------------------------------------------
