@@ -17,6 +17,7 @@ from weekpanel.llm import (
     personal_data,
     quality,
     sharding,
+    spelling,
     token_file,
     url_filter,
 )
@@ -202,3 +203,8 @@ _DOTS = """CASE WHEN contains({0}, '/.') THEN array_to_string(list_reduce(string
 )
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged_pages(read_table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(read_table(spark, folder, "documents"))
