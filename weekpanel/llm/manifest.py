@@ -164,18 +164,24 @@ def _steps(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return steps_of
 
 
-def _with_steps(levels: list[Level], tops: DataFrame, staging: Staging, label: str, most: int) -> DataFrame:
+def _with_steps(
+    levels: list[Level], tops: DataFrame | None, staging: Staging, label: str, most: int
+) -> DataFrame:
     """The lowest level's blocks, each with the steps above its root, and what ``tops`` has for its group besides.
 
-    ``tops`` has a row per group: the steps above the group's own root. Levels are gone through from above: a block's
+    ``tops`` has a row per group, the steps above the group's own root; without it there are none. Levels are gone through from above: a block's
     steps are read from the block that holds its root.
     """
-    extra = [c for c in tops.columns if c not in ("grp", "siblings", "shape")]
+    extra = [] if tops is None else [c for c in tops.columns if c not in ("grp", "siblings", "shape")]
     single = F.col("total") <= layout.ARITY**most
     above = None
     for number in range(len(levels) - 1, -1, -1):
         level = levels[number]
-        blocks = level.blocks.filter(single).join(tops.select("grp", "siblings", "shape"), "grp")
+        own = level.blocks.filter(single)
+        if tops is None:
+            blocks = own.withColumns({"siblings": F.lit(b""), "shape": F.lit(b"")})
+        else:
+            blocks = own.join(tops.select("grp", "siblings", "shape"), "grp")
         if above is not None:
             inner = level.blocks.filter(~single)
             blocks = blocks.unionByName(inner.join(above.withColumnRenamed("pos", "block"), ["grp", "block"]))
@@ -272,9 +278,7 @@ def verified_documents(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     if built is None:
         return spark.createDataFrame([], ROWS)
     staging = built.staging
-    empty = F.lit(b"").alias("siblings"), F.lit(b"").alias("shape")
-    top = spark.range(1).select(F.lit("").alias("grp"), *empty)
-    blocks = _with_steps(built.sources, top, staging, "sources", height)
+    blocks = _with_steps(built.sources, None, staging, "sources", height)
     rows = _blocked(built.sources[0].rows, height).select("grp", "block", "pos")
     pairs = rows.groupBy("grp", "block").cogroup(blocks.groupBy("grp", "block"))
     steps = staging.write(pairs.applyInArrow(_steps(height), STEPS), "source-steps")
