@@ -90,6 +90,13 @@ def test_equal_scores_rescale_to_null(spark, inputs):
 
 def test_scores_flow_into_county_weeks(inputs):
     scores = scoring.score_user_weeks(inputs.user_weeks, inputs.models, n_layers=N_LAYERS, dim=DIM)
-    rolled = county_weeks.county_week_scores(scores, inputs.user_weights.filter("user_id IS NOT NULL"), unique=True)
+    single = inputs.user_weights.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.max("weight").alias("weight"))
+    rolled = county_weeks.county_week_scores(scores, single, unique=True)
     assert rolled.columns == ["year_week_county", "feat", "wavg_score", "avg_score", "std_score", "N_users"]
     assert rolled.agg(F.sum("N_users")).first()[0] == 960
+
+
+def test_users_with_two_weights_are_refused_where_one_is_asked_for(inputs):
+    scores = scoring.score_user_weeks(inputs.user_weeks, inputs.models, n_layers=N_LAYERS, dim=DIM)
+    with pytest.raises(Exception, match="several weights for user"):
+        county_weeks.county_week_scores(scores, inputs.user_weights, unique=True).collect()

@@ -145,7 +145,7 @@ def test_scores_need_neither_shuffle_nor_row_functions(spark, physical_plan):
     assert "BatchEvalPython" not in plan
     assert plan.count("ArrowEvalPython") == 1
     narrow = {"s": score.Model(("0me",), (0.0,), (1.0,), (1.0,), 0.0)}
-    assert "Python" not in physical_plan(scoring.raw_scores(embeddings, narrow, n_layers=4, dim=300))
+    assert "Python" not in physical_plan(scoring.raw_scores(embeddings, narrow, n_layers=4, dim=300, arrow=False))
 
 
 def test_ranges_are_no_join(spark, physical_plan):
