@@ -13,10 +13,11 @@ from checks.adapters import ACTIVE, BATCH_LIMIT, DIM, EDGES, N_LAYERS, SUPER_FRO
 from checks.oracle import KEYED, MASKED, RETWEET, SAMPLED, URL, with_chains
 from weekpanel import schemas
 from weekpanel.fixed_values import SCORE_FEATURES
-from weekpanel.operators import activity, batches, calendar, clean, embed, features, ranking, rollup, score
+from weekpanel.operators import activity, batches, calendar, clean, embed, features, membership, ranking, rollup, score, sketches
 from weekpanel.plans import cleaning, county_weeks, feature_export, incremental, panel, scoring
 from weekpanel.session import shared_folder, stage
 from weekpanel.sources import readers, writers
+from weekpanel.sources.deliveries import Deliveries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1011,6 +1012,86 @@ def _(t: Inputs) -> DataFrame:
     return batches.batch_summary(readers.read_batches(t.spark, path))
 
 
+def store_of(t: Inputs) -> Deliveries:
+    """A store that holds the earlier delivery."""
+    store = Deliveries(t.spark, scratch(t, "store"))
+    store.write(prior(t))
+    return store
+
+
+@query(
+    "write_increment_restarted",
+    """SELECT batch, count(*) AS messages, count(DISTINCT user_year_week) AS user_weeks FROM (
+ SELECT batch, user_year_week FROM prior
+ UNION ALL SELECT batch, user_year_week FROM fresh JOIN fresh_assigned USING (user_year_week)) b GROUP BY batch""",
+)
+def _(t: Inputs) -> DataFrame:
+    """A run that wrote all its files and broke off before its record; the next run; a run that finds nothing new."""
+    store = store_of(t)
+    writers.write_batches(fresh_batches(t), store.folder_of("000001-broken", "data"))
+    for _ in range(2):
+        incremental.deliver(t.cleaned(), store.path, active=ACTIVE, super_from=SUPER_FROM, limit=BATCH_LIMIT)
+    return batches.batch_summary(store.messages())
+
+
+@query("delivered_messages", f"SELECT {SAMPLED}, batch FROM prior UNION ALL SELECT {SAMPLED}, batch FROM fresh JOIN fresh_assigned USING (user_year_week)")
+def _(t: Inputs) -> DataFrame:
+    store = store_of(t)
+    incremental.deliver(t.cleaned(), store.path, active=ACTIVE, super_from=SUPER_FROM, limit=BATCH_LIMIT)
+    return sampled(store.messages())
+
+
+@query("drop_indexed", f"SELECT {SAMPLED} FROM cleaned WHERE message_id NOT IN (SELECT message_id FROM prior)")
+def _(t: Inputs) -> DataFrame:
+    return sampled(membership.drop_indexed(t.cleaned(), store_of(t).ids()))
+
+
+@query(
+    "delivered_statistics",
+    """SELECT 'all' AS batches, count(*) AS messages, count(DISTINCT fips) AS counties, TRUE AS user_weeks_near, TRUE AS users_near
+ FROM prior UNION ALL SELECT 'first', count(*), count(DISTINCT fips), TRUE, TRUE FROM prior WHERE batch = 0""",
+)
+def _(t: Inputs) -> DataFrame:
+    """Sketches within three standard errors of the exact counts."""
+    store, out = store_of(t), []
+    for label, chosen in (("all", None), ("first", [0])):
+        rows = store.messages() if chosen is None else store.messages().filter(F.col("batch").isin(chosen))
+        exact = activity.panel_stats(rows)
+        near = [
+            (F.abs(F.col(c) - exact.select(c).scalar()) <= sketches.ERROR * exact.select(c).scalar()).alias(f"{c}_near")
+            for c in ("user_weeks", "users")
+        ]
+        out.append(store.statistics(chosen).select(F.lit(label).alias("batches"), "messages", "counties", *near))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(
+    "before_after_report",
+    """SELECT 'kept' AS heavy_users, count(*) AS messages, count(DISTINCT user_year_week) AS user_weeks,
+ count(DISTINCT user_id) AS users, count(DISTINCT fips) AS counties FROM cleaned JOIN active USING (user_year_week)
+ UNION ALL SELECT 'removed', count(*), count(DISTINCT user_year_week), count(DISTINCT user_id), count(DISTINCT fips) FROM panel""",
+)
+def _(t: Inputs) -> DataFrame:
+    return panel.before_after_report(t.cleaned(texts=False), ACTIVE, SUPER_FROM)
+
+
+@query(
+    "quarantine",
+    f"""SELECT 'broken' AS kind, count(*) AS records FROM messages_keyed WHERE message_id % 10 = 3
+ UNION ALL SELECT 'messages', count(*) FROM messages_keyed WHERE message_id % 10 <> 3 OR message_id IS NULL""",
+)
+def _(t: Inputs) -> DataFrame:
+    """Every tenth message is written with an id that is no number."""
+    path, aside = scratch(t, "broken"), scratch(t, "quarantine")
+    marred = F.when(F.col("message_id") % 10 == 3, F.concat(F.lit("no"), F.col("message_id"))).otherwise(F.col("message_id").cast("string"))
+    text = t.messages_keyed.withColumns({"message_id": marred, "created_at": F.col("created_at").cast("string")})
+    writers.write_csv(text, path, header=False)
+    fine = writers.write_quarantine(readers.read_checked(t.spark, path), aside)
+    counts = [fine.agg(F.count("*").alias("records")).withColumn("kind", F.lit("messages"))]
+    counts.append(t.spark.read.parquet(aside).agg(F.count("*").alias("records")).withColumn("kind", F.lit("broken")))
+    return counts[0].unionByName(counts[1]).select("kind", "records")
+
+
 @query(
     "write_scores",
     f"SELECT user_year_week, user_id, fips, {', '.join(f'{r6(c)} AS {c}' for c in SCORE_COLUMNS)} FROM scores",

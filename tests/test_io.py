@@ -155,3 +155,29 @@ def test_files_with_other_headers_are_refused(spark, tmp_path):
     (tmp_path / "b.csv").write_text("weight,user_id\n0.25,2\n")
     with pytest.raises(Exception, match="header"):
         readers.read_weights(spark, str(tmp_path)).collect()
+
+
+def test_broken_records_are_told_apart_and_set_aside(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        '2019_05:42,1,42,"says ""hi"", twice",2019-02-03 04:05:06,here,\n'
+        "2019_05:42,x,42,wrong type,,,\n"
+        "2019_05:42,3\n"
+        "2019_05:42,4,42,too many,,,,,,\n"
+        '2019_05:42,5,42,"two\nlines",2019-02-03 04:05:06,,\n',
+        encoding="utf-8",
+    )
+    (tmp_path / "b.csv").write_text("2019_05:7,6,7,fine,,,\n", encoding="utf-8")
+    checked = readers.read_checked(spark, str(tmp_path / "*.csv"))
+    report = {r["source_file"]: (r["messages"], r["broken"]) for r in writers.quarantine_report(checked).collect()}
+    assert report == {"a.csv": (1, 5), "b.csv": (1, 0)}
+    fine = writers.write_quarantine(checked, str(tmp_path / "quarantine"))
+    assert fine.columns == schemas.MESSAGES_KEYED.fieldNames()
+    assert sorted(r["message_id"] for r in fine.collect()) == [1, 6]
+    aside = spark.read.parquet(str(tmp_path / "quarantine")).collect()
+    assert {r["source_file"] for r in aside} == {"a.csv"} and len(aside) == 5
+    assert {"2019_05:42,3", "2019_05:42,x,42,wrong type,,,"} < {r["broken_record"] for r in aside}
+    whole = readers.read_checked(spark, str(tmp_path / "*.csv"), multi_line=True)
+    report = {r["source_file"]: (r["messages"], r["broken"]) for r in writers.quarantine_report(whole).collect()}
+    assert report == {"a.csv": (2, 3), "b.csv": (1, 0)}
+    texts = {r["message_id"]: r["message"] for r in writers.write_quarantine(whole, str(tmp_path / "q2")).collect()}
+    assert texts[5] == "two\nlines"

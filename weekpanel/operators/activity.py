@@ -122,7 +122,15 @@ def panel_stats(df: DataFrame) -> DataFrame:
 
 def panel_stats_from_weeks(weeks: DataFrame) -> DataFrame:
     """The same row from (user-week, user, county, message_count) rows of messages already unique by id."""
-    return weeks.agg(F.coalesce(F.sum("message_count"), F.lit(0)).alias("messages"), *_entity_columns())
+    return weeks.agg(*week_statistics())
+
+
+STATISTICS = ("messages", "user_weeks", "users", "counties")
+
+
+def week_statistics() -> list[Column]:
+    """The aggregates named in :data:`STATISTICS` over rows of (user-week, user, county, message_count)."""
+    return [F.coalesce(F.sum("message_count"), F.lit(0)).alias("messages"), *_entity_columns()]
 
 
 def approx_panel_stats(df: DataFrame, rsd: float = 0.02) -> DataFrame:

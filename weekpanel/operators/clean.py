@@ -80,6 +80,12 @@ def county_counts(user_county: DataFrame) -> DataFrame:
     return stage(named.groupBy("user_id").agg(F.count("*").alias("copies")), "copies")
 
 
+def county_map(user_county: DataFrame) -> DataFrame:
+    """Per user the county of :func:`first_county` and the ``copies`` of :func:`county_counts`, staged."""
+    named = user_county.filter(F.col("user_id").isNotNull())
+    return stage(named.groupBy("user_id").agg(F.min("cnty").alias("cnty"), F.count("*").alias("copies")), "county-map")
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key: the first by ``order`` (ascending, nulls last).
 

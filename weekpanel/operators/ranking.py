@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekpanel.session import small_side, stage
 
@@ -19,13 +21,16 @@ def _columns(order: Order) -> list[Column]:
     return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
 
 
-def _placed(df: DataFrame, order: Order, label: str) -> DataFrame:
-    """Range-partition and sort by ``order``, give each row its slot, and stage: slots must not move later."""
+def _placed(df: DataFrame, order: Order, label: str, scans: Mapping[str, Column] | None = None) -> DataFrame:
+    """Range-partition and sort by ``order``, give each row its slot, and stage: slots must not move later.
+
+    ``scans`` are further columns that depend on the rows of the partition before.
+    """
     columns = _columns(order)
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(*columns) if usual <= MOST_RANGES else df.repartitionByRange(MOST_RANGES, *columns)
     in_order = ranged.sortWithinPartitions(*columns)
-    return stage(in_order.withColumn("_slot", F.monotonically_increasing_id()), label)
+    return stage(in_order.withColumns({"_slot": F.monotonically_increasing_id(), **(scans or {})}), label)
 
 
 def _part() -> Column:
@@ -59,28 +64,27 @@ def number_rows(df: DataFrame, order: Order, id_col: str = "id", start: int = 1)
     return numbered.select(row.cast("bigint").alias(id_col), *df.columns)
 
 
+@F.pandas_udf(T.LongType())
+def _running(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Sum of the sizes before each row of a partition, in the order in which the rows come."""
+    total = 0
+    for batch in sizes:
+        sums = batch.cumsum()
+        yield sums - batch + total
+        total += int(batch.sum())
+
+
 def running_start(df: DataFrame, order: Order, size: Column, out: str = "start") -> DataFrame:
-    """Sum of ``size`` over all rows before each row, by ``order``, which must be unique per row.
+    """Sum of ``size`` over all rows before each row, by ``order``, which must be unique per row; a null size adds 0.
 
-    Where all sizes are equal the sum is row number times size. Otherwise it is summed within each range
-    partition, on the slots and sizes alone.
+    One shuffle: each range partition is sorted and summed by a scan before it is staged. Only the sizes go through the
+    scan, the other columns stay where they are. The partitions' totals are added afterwards.
     """
-    placed = _placed(df.withColumn("_size", size.cast("bigint")), order, "running")
-    parts = (
-        placed.groupBy(_part().alias("part"))
-        .agg(F.sum("_size").alias("n"), F.min("_size").alias("low"), F.max("_size").alias("high"))
-        .collect()
-    )
-    based = _with_part_start(placed, [(r["part"], r["n"]) for r in parts])
-    if len({r["low"] for r in parts} | {r["high"] for r in parts}) <= 1:
-        before = F.col("_start") + _row_in_part() * F.col("_size")
-        return based.select(before.cast("bigint").alias(out), *df.columns)
-    within = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.select("_slot", _part().alias("_part"), "_size").select(
-        "_slot", F.coalesce(F.sum("_size").over(within), F.lit(0)).alias("_before")
-    )
-    summed = based.join(sums, "_slot")
-    return summed.select((F.col("_start") + F.col("_before")).cast("bigint").alias(out), *df.columns)
+    sized = df.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0)))
+    placed = _placed(sized, order, "running", {"_before": _running.asNondeterministic()("_size")})
+    totals = placed.groupBy(_part().alias("part")).agg(F.sum("_size").alias("n")).collect()
+    based = _with_part_start(placed, [(r["part"], r["n"]) for r in totals])
+    return based.select((F.col("_start") + F.col("_before")).cast("bigint").alias(out), *df.columns)
 
 
 def sort_weeks_by_count(weeks: DataFrame, key: str = "user_year_week") -> DataFrame:
@@ -93,21 +97,43 @@ def sample_rows(df: DataFrame, order: Order, n: int) -> DataFrame:
     return df.orderBy(*_columns(order)).limit(n)
 
 
-def extremes(df: DataFrame, col: str, ties: Sequence[str], k: int = 10) -> DataFrame:
+def extremes(df: DataFrame, col: str, ties: Sequence[str], k: int = 10, accuracy: int = 10_000) -> DataFrame:
     """The ``k`` lowest, middle and highest rows by ``col``, labelled in ``part``; nulls are left out.
 
-    Lowest and highest are top-k reports. The middle starts ``k // 2`` rows before the half; a sort with an
-    offset would send half of all rows to one task, so it is found by row number. The rows are staged before they are
-    ranged, because ranging reads its input twice: once for a sample, once to deal it out.
+    Lowest and highest are top-k reports: every task keeps ``k`` rows. The middle starts ``k // 2`` rows before the
+    half. A quantile sketch, off by at most a part in ``accuracy`` of the rows, gives the values between which it lies;
+    the rows below them are counted, and only the rows between them are ordered and numbered. The counts tell whether
+    the sketch kept its word; for values that it cannot hold, such as texts, all rows are between. The rows are staged,
+    because they are read several times.
     """
     scored = stage(df.filter(F.col(col).isNotNull()), "scored")
-    numbered = number_rows(scored, [col, *ties], id_col="_row", start=0)
-    rows = numbered.agg(F.count("*").alias("n")).scalar()
-    first = F.shiftright(rows, 1) - F.lit(k // 2)
+    ascending = [F.col(c).asc_nulls_last() for c in (col, *ties)]
+    descending = [F.col(c).desc_nulls_first() for c in (col, *ties)]
+    rows, low, high = _around_the_middle(scored, col, k, accuracy)
+    first = rows // 2 - k // 2
+    below, inside = 0, scored
+    if low is not None:
+        between = F.col(col).between(F.lit(low), F.lit(high))
+        counts = scored.agg(F.count_if(F.col(col) < F.lit(low)).alias("below"), F.count_if(between).alias("inside")).first()
+        if counts["below"] <= max(first, 0) and first + k <= counts["below"] + counts["inside"]:
+            below, inside = counts["below"], scored.filter(between)
+    numbered = number_rows(inside, [col, *ties], id_col="_row", start=below)
+    place = F.col("_row")
     parts = {
-        "lowest": F.col("_row") < k,
-        "middle": (F.col("_row") >= F.greatest(first, F.lit(0))) & (F.col("_row") < first + k),
-        "highest": F.col("_row") >= rows - k,
+        "lowest": scored.orderBy(*ascending).limit(k),
+        "middle": numbered.filter((place >= max(first, 0)) & (place < first + k)).drop("_row"),
+        "highest": scored.orderBy(*descending).limit(k),
     }
-    labels = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in parts.items()]))
-    return numbered.select(F.explode(labels).alias("part"), *df.columns)
+    labelled = [part.select(F.lit(name).alias("part"), *df.columns) for name, part in parts.items()]
+    return labelled[0].unionByName(labelled[1]).unionByName(labelled[2])
+
+
+def _around_the_middle(scored: DataFrame, col: str, k: int, accuracy: int) -> tuple[int, object, object]:
+    """Number of rows, and values on either side of the middle ``k``; no values where a sketch cannot hold the column."""
+    if not isinstance(scored.schema[col].dataType, T.NumericType):
+        return scored.count(), None, None
+    rows = scored.count()
+    margin = (k + 1) / max(rows, 1) + 2 / accuracy
+    shares = [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)]
+    low, high = scored.agg(F.percentile_approx(col, shares, accuracy).alias("cuts")).first()["cuts"] or (None, None)
+    return rows, low, high

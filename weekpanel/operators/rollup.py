@@ -88,50 +88,47 @@ def _weight(score: Column, weight: Column, null_weights: str) -> Column:
     raise ValueError("null_weights must be 'keep' or 'drop'")
 
 
-def _statistics(score: Column, weight: Column, null_weights: str, shift: Column | None = None) -> dict[str, Column]:
-    """With ``shift``, a value near the group's scores, also the deviation around the weighted mean.
+def _weighted_deviation(score: Column, weight: Column, total: Column) -> Column:
+    """The root of sum(w (s - m)^2) / total around the weighted mean m = sum(w s) / total, from mergeable moments.
 
-    That is the root of sum(w (s - m)^2) / W. With d = s - shift and e = m - shift the sum is
-    sum(w d^2) - 2 e sum(w d) + e^2 sum(w of the scores that are not null): nothing large cancels, and the weight of
-    null scores is in W alone.
+    With a the plain mean of the scores, n their number and d = s - a, co-moments give sum(w d) = n cov(w, s) and
+    sum(w d^2) = n (cov(w s, s) - a cov(w, s)): Spark merges them around running means, so scores far from zero do not
+    cancel. m is then a + (sum(w d) - a * weight of null scores) / total, and the sum around m follows from the sums
+    around a. Rows without a score or a weight are in none of the moments.
     """
+    both = score.isNotNull() & weight.isNotNull()
+    present, heavy = F.when(both, score), F.when(both, weight)
+    n, mean = F.count(present), F.avg(present)
+    first = n * F.covar_pop(heavy, present)
+    second = n * F.covar_pop(heavy * present, present) - mean * first
+    scored = F.sum(heavy)
+    off = F.try_divide(first - mean * (total - scored), total)
+    square = second - 2 * off * first + off * off * scored
+    return F.sqrt(F.try_divide(F.greatest(square, F.lit(0.0)), total))
+
+
+def _statistics(score: Column, weight: Column, null_weights: str, weighted_std: bool = False) -> dict[str, Column]:
     total = F.sum(_weight(score, weight, null_weights))
-    mean = F.try_divide(F.sum(score * weight), total)
-    out = {"wavg_score": mean, "avg_score": F.avg(score), "std_score": F.stddev_pop(score)}
-    if shift is not None:
-        near = score - shift
-        scored = F.sum(F.when(score.isNotNull(), weight))
-        missing = total - scored  # weight of null scores
-        off = F.try_divide(F.sum(weight * near) - F.max(shift) * missing, total)
-        square = F.sum(weight * near * near) - 2 * off * F.sum(weight * near) + off * off * scored
-        out["std_score_wt"] = F.sqrt(F.try_divide(F.greatest(square, F.lit(0.0)), total))
+    out = {
+        "wavg_score": F.try_divide(F.sum(score * weight), total),
+        "avg_score": F.avg(score),
+        "std_score": F.stddev_pop(score),
+    }
+    if weighted_std:
+        out["std_score_wt"] = _weighted_deviation(score, weight, total)
     return out
 
 
-def _with_shifts(rows: DataFrame, keys: Sequence[str], scores: Mapping[str, str]) -> DataFrame:
-    """Add the least score of each row's group as ``_shift_*``; staged, so that a hot group can be split in the join."""
-    shifts = rows.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(
-        *[F.min(col).alias(f"_shift_{name}") for name, col in scores.items()]
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    joined = rows.join(stage(shifts, "shifts"), same, "left")
-    return joined.drop(*[f"_of_{k}" for k in keys])
-
-
 def county_week_rollup(
     long_scores: DataFrame, null_weights: str = "keep", weighted_std: bool = False
 ) -> DataFrame:
     """Per county-week and feature: weighted mean, mean, population deviation and number of users.
 
     A null score still adds its weight to the weighted mean unless ``null_weights="drop"``. ``weighted_std``
-    adds ``std_score_wt``, the deviation around the weighted mean; for it the scores are read twice and joined with
-    one value per group. Users are counted through a first shuffle on group and user, with partial sums before it, so
+    adds ``std_score_wt``, the deviation around the weighted mean, in the same pass. Users are counted through a first shuffle on group and user, with partial sums before it, so
     one heavy county-week is spread over many tasks.
     """
-    shift = None
-    if weighted_std:
-        long_scores, shift = _with_shifts(long_scores, [GROUP, "feat"], {"score": "feat_score"}), F.col("_shift_score")
-    statistics = _statistics(F.col("feat_score"), F.col("user_weight"), null_weights, shift)
+    statistics = _statistics(F.col("feat_score"), F.col("user_weight"), null_weights, weighted_std)
     return long_scores.groupBy(GROUP, "feat").agg(
         *[c.alias(name) for name, c in statistics.items()], F.count_distinct("user_id").alias("N_users")
     )
@@ -145,13 +142,8 @@ def county_week_rollup_wide(
     All features of a row are aggregated together, so the shuffle carries one row per group and user instead
     of one per feature, and users are counted once.
     """
-    if weighted_std:
-        scores = _with_shifts(scores, [GROUP], features)
     fields = {
-        feat: _statistics(
-            F.col(col), F.col("user_weight"), null_weights, F.col(f"_shift_{feat}") if weighted_std else None
-        )
-        for feat, col in features.items()
+        feat: _statistics(F.col(col), F.col("user_weight"), null_weights, weighted_std) for feat, col in features.items()
     }
     wide = scores.groupBy(GROUP).agg(
         *[c.alias(f"{feat}_{name}") for feat, statistics in fields.items() for name, c in statistics.items()],

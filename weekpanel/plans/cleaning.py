@@ -64,27 +64,54 @@ def clean_messages(
     return unique if county is None else COUNTY_FILTERS[county](unique)
 
 
+FUNNEL = ("read", "keyed", "located", "without_retweets", "without_urls")
+
+
 def cleaning_funnel(messages: DataFrame, user_county: DataFrame, *, county: str = "valid") -> DataFrame:
-    """Rows after each step of :func:`clean_messages` in its default order, in three passes for seven counts.
+    """Rows after each step of :func:`clean_messages` in its default order: seven counts from one pass.
 
-    The county join multiplies messages by the counties of their user; those rows are counted, not built.
+    Each row is tagged with the furthest step that it reaches. Rows that pass all filters are grouped by message id, the
+    others by their tag alone, so map tasks add up the rows that drop out and only ids are shuffled. The group of a
+    message knows the county of its survivor: the one with the earliest time, then the smallest user and county, as
+    :func:`clean.dedupe_messages` has it. The county join multiplies messages by the counties of their user; those rows
+    are counted, not built. All counts are aggregates, so tasks that run again do not count twice.
     """
-    located = clean.require_keys(messages).join(clean.county_counts(user_county), "user_id")
-    unique = clean_messages(messages, user_county, county=None, texts=False)
-    keyed = {"keyed": _all_present(clean.MESSAGE_KEYS)}
-    filters = {
-        "without_retweets": ~text.is_retweet(F.col("message")),
-        "without_urls": ~text.has_url(F.col("message")),
-    }
-    judged = text.is_county(F.col("fips"))
-    return activity.funnel(
-        {
-            "read": (messages, keyed),
-            "located": (located, filters),
-            "unique": (unique, {f"county_{county}": judged if county == "valid" else ~judged}),
-        },
-        copies={"located": "copies"},
+    if county not in COUNTY_FILTERS:
+        raise ValueError(f"county must be one of {tuple(COUNTY_FILTERS)}")
+    located = messages.select("message_id", "user_id", "message", "created_at").join(
+        clean.county_map(user_county), "user_id", "left"
+    )
+    told = located.select(
+        "message_id",
+        F.col("cnty").alias("fips"),
+        F.coalesce("copies", F.lit(0)).alias("copies"),
+        F.struct(*_nulls_last(F.col("created_at").try_cast("timestamp"), F.col("user_id"), F.col("cnty"))).alias("order"),
+        F.when(~_all_present(clean.MESSAGE_KEYS), 0)
+        .when(F.col("copies").isNull(), 1)
+        .when(F.coalesce(text.is_retweet(F.col("message")), F.lit(True)), 2)
+        .when(F.coalesce(text.has_url(F.col("message")), F.lit(True)), 3)
+        .otherwise(4)
+        .alias("step"),
     )
+    message = F.when(F.col("step") == 4, F.col("message_id")).alias("message")
+    grouped = told.groupBy("step", message).agg(
+        F.count("*").alias("rows"), F.sum("copies").alias("copies"), F.min_by("fips", "order").alias("fips")
+    )
+    judged = text.is_county(F.col("fips"))
+    unique = F.col("step") == 4
+    counts = {
+        name: F.sum(F.when(F.col("step") >= step, F.col("rows" if step < 2 else "copies"))) for step, name in enumerate(FUNNEL)
+    }
+    counts |= {"unique": F.count_if(unique), f"county_{county}": F.count_if(unique & (judged if county == "valid" else ~judged))}
+    totals = grouped.agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(name) for name, c in counts.items()])
+    pairs = [F.struct(F.lit(name).alias("stage"), F.col(name).alias("row_count")) for name in counts]
+    return totals.select(F.inline(F.array(*pairs)))
+
+
+def _nulls_last(*values: Column) -> list[Column]:
+    """Fields of a struct whose smallest value is the first in ascending order with nulls last."""
+    named = [(v.isNull().alias(f"no_{k}"), v.alias(f"value_{k}")) for k, v in enumerate(values)]
+    return [field for pair in named for field in pair]
 
 
 def _all_present(cols: tuple[str, ...]) -> Column:

@@ -40,6 +40,33 @@ def activity_report(
     return activity.panel_stats_from_weeks(activity.active_counts(counts, active, super_from))
 
 
+def before_after_report(
+    cleaned: DataFrame, active: tuple[int, int] = ACTIVE_WEEK, super_from: int = SUPER_WEEK_FROM
+) -> DataFrame:
+    """The statistics of the active user-weeks before and after heavy users are removed: two rows, told by ``heavy_users``.
+
+    ``cleaned`` must be unique by message id. The counts per user-week, user and county are tagged with whether their user
+    has a heavy week, and one aggregation over two grouping sets gives both rows: all of them, and those by the tag.
+    Where nothing is left, a row of zeros stands.
+    """
+    weeks = activity.with_week_totals(activity.staged_counts(cleaned, (KEY, "user_id", "fips")))
+    heavy = stage(activity.heavy_users(weeks, super_from).withColumn("_heavy", F.lit(True)), "heavy")
+    tagged = (
+        weeks.filter(activity.in_band(F.col("week_total"), *active))
+        .join(heavy, "user_id", "left")
+        .withColumn("_heavy", F.coalesce("_heavy", F.lit(False)))
+    )
+    sets = tagged.groupingSets([[], ["_heavy"]], "_heavy").agg(
+        F.grouping("_heavy").alias("_all"), *activity.week_statistics()
+    )
+    told = sets.filter((F.col("_all") == 1) | ~F.col("_heavy")).select(
+        F.when(F.col("_all") == 1, F.lit("kept")).otherwise(F.lit("removed")).alias("heavy_users"), *activity.STATISTICS
+    )
+    labels = cleaned.sparkSession.createDataFrame([("kept",), ("removed",)], "heavy_users string")
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in activity.STATISTICS]
+    return labels.join(told, "heavy_users", "left").select("heavy_users", *numbers)
+
+
 def band_report(cleaned: DataFrame, edges: activity.Edges = activity.BANDS) -> DataFrame:
     """User-weeks, messages, users and counties per band, from one aggregation over the messages."""
     weeks = activity.with_week_totals(activity.staged_counts(cleaned, (KEY, "user_id", "fips")))

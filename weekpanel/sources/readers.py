@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekpanel import schemas
+from weekpanel.session import stage
 
 _BLANKS = " \t\r\n"
 Paths = "str | list[str]"
@@ -19,6 +20,26 @@ def read_messages(spark: SparkSession, path: Paths, keyed: bool = True) -> DataF
     return spark.read.schema(schema).option("header", False).option("quote", '"').option("escape", '"').csv(path)
 
 
+#: Columns of :func:`read_checked` beside those of the messages: the record as it stands if it did not parse, and its file.
+RECORD, FILE = "broken_record", "source_file"
+
+
+def read_checked(spark: SparkSession, path: Paths, keyed: bool = True, multi_line: bool = False) -> DataFrame:
+    """Messages as :func:`read_messages` reads them, with the records that do not parse told apart.
+
+    A record with too few or too many fields, or with a value of the wrong type, keeps its text in ``broken_record``,
+    where :func:`read_messages` would leave nulls; it is null for the others. ``source_file`` names the file. Texts with
+    line ends inside quotes need ``multi_line``, which reads a file in one task; without it each of their lines is a
+    broken record, so they are counted and not lost. What is read is staged: the parser judges only the columns that a
+    query asks for, and here all of them count, once.
+    """
+    kept = schemas.MESSAGES_KEYED if keyed else schemas.MESSAGES_RAW
+    schema = T.StructType([*kept.fields, T.StructField(RECORD, T.StringType(), True)])
+    reader = spark.read.schema(schema).option("header", False).option("quote", '"').option("escape", '"')
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RECORD).option("multiLine", multi_line)
+    return stage(reader.csv(path).select(*kept.fieldNames(), RECORD, F.col("_metadata.file_name").alias(FILE)), "checked")
+
+
 def read_user_county(spark: SparkSession, path: Paths) -> DataFrame:
     """CSV with a header: user and county. Codes stay text and lose surrounding blanks and line ends."""
     return _headed_csv(spark, path, schemas.USER_COUNTY)

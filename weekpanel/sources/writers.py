@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weekpanel import schemas
 from weekpanel.session import use_corrected_timestamps
+from weekpanel.sources.readers import FILE, RECORD
 
 
 def write_batches(members: DataFrame, path: str, mode: str = "append") -> None:
@@ -30,6 +31,22 @@ def write_csv(df: DataFrame, path: str, header: bool = True, files: int | None =
     rows.write.option("header", header).option("quote", '"').option("escape", '"').mode(mode).csv(path)
 
 
+def write_quarantine(checked: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Set aside the records of :func:`readers.read_checked` that did not parse, and return the messages that did.
+
+    The records are written as Parquet with the file they come from.
+    """
+    broken = checked.filter(F.col(RECORD).isNotNull()).select(FILE, RECORD)
+    broken.write.mode(mode).parquet(path)
+    return checked.filter(F.col(RECORD).isNull()).drop(RECORD, FILE)
+
+
+def quarantine_report(checked: DataFrame) -> DataFrame:
+    """Messages and broken records per file."""
+    broken = F.col(RECORD).isNotNull()
+    return checked.groupBy(FILE).agg(F.count_if(~broken).alias("messages"), F.count_if(broken).alias("broken"))
+
+
 def write_superusers(users: DataFrame, path: str, mode: str = "append") -> None:
     """Distinct heavy users as Parquet."""
     users.select("user_id").distinct().write.mode(mode).parquet(path)
