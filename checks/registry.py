@@ -1065,6 +1065,17 @@ def _(t: Inputs) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+@query("attach_county_split", "SELECT message_id, m.user_id, cnty AS fips FROM messages m JOIN user_counties c ON m.user_id = c.user_id")
+def _(t: Inputs) -> DataFrame:
+    rows = t.messages.select("message_id", "user_id")
+    return clean.attach_county(rows, t.user_counties, split_hot=True).select("message_id", "user_id", "fips")
+
+
+@query("attach_weights_split", "SELECT user_year_week, user_id, weight FROM scores LEFT JOIN user_weights USING (user_id)")
+def _(t: Inputs) -> DataFrame:
+    return rollup.attach_weights(scores_of(t), t.user_weights, split_hot=True).select(KEY, "user_id", "weight")
+
+
 @query(
     "before_after_report",
     """SELECT 'kept' AS heavy_users, count(*) AS messages, count(DISTINCT user_year_week) AS user_weeks,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekpanel.functions import text
+from weekpanel.operators.hot_join import salted_join
 from weekpanel.session import stage
 
 MESSAGE_KEYS = ("user_id", "message_id", "created_at")
@@ -53,13 +54,18 @@ def parse_created_at(df: DataFrame, col: str = "created_at") -> DataFrame:
     return df.withColumn(col, F.col(col).try_cast("timestamp"))
 
 
-def attach_county(messages: DataFrame, user_county: DataFrame, county_col: str = "fips") -> DataFrame:
+def attach_county(
+    messages: DataFrame, user_county: DataFrame, county_col: str = "fips", split_hot: bool = False
+) -> DataFrame:
     """Inner join on the user. Unmapped users drop out; a user with several counties fans out.
 
     No broadcast is forced: the planner broadcasts the map while its size is below the session's threshold
-    and otherwise shuffles by user, where adaptive execution splits the partition of a hot user.
+    and otherwise shuffles by user, where adaptive execution splits the partition of a hot user. ``split_hot``
+    splits hot users in the plan, for one more pass over the users of the messages.
     """
     counties = user_county.select("user_id", F.col("cnty").alias(county_col))
+    if split_hot:
+        return salted_join(messages, counties, "user_id")
     return messages.join(counties, "user_id", "inner")
 
 

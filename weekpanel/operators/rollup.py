@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.fixed_values import DEFAULT_USER_WEIGHT, SCORE_FEATURES
+from weekpanel.operators.hot_join import salted_join
 from weekpanel.operators.ranking import sample_rows
 from weekpanel.session import stage
 
 GROUP = "year_week_county"
 
 
-def attach_weights(scores: DataFrame, weights: DataFrame, unique: bool = False) -> DataFrame:
+def attach_weights(
+    scores: DataFrame, weights: DataFrame, unique: bool = False, split_hot: bool = False
+) -> DataFrame:
     """Left join on the user. Several weight rows of a user fan out; with ``unique`` they raise instead.
 
-    The checked weights are staged so that a hot user can be split in the join.
+    The checked weights are staged so that adaptive execution can split a hot user in the join; ``split_hot`` splits
+    hot users in the plan.
     """
     if unique:
         rest = [c for c in weights.columns if c != "user_id"]
@@ -29,7 +33,7 @@ def attach_weights(scores: DataFrame, weights: DataFrame, unique: bool = False)
             .withColumn("_row", F.when(F.col("_rows") == 1, F.col("_row")).otherwise(repeated))
         )
         weights = stage(checked.select("user_id", *[F.col("_row")[c].alias(c) for c in rest]), "weights")
-    return scores.join(weights, "user_id", "left")
+    return salted_join(scores, weights, "user_id", "left") if split_hot else scores.join(weights, "user_id", "left")
 
 
 def default_weight(df: DataFrame, value: float = DEFAULT_USER_WEIGHT, col: str = "weight") -> DataFrame:
