@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -49,9 +49,36 @@ def test_shards_of_whole_documents_agree_with_the_slim_rows(spark):
     frame = docs(spark, ROWS)
     slim = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in sharding.contiguous_shards(frame).collect()}
     whole = sharding.with_shards(frame)
-    assert whole.columns == frame.columns
+    assert whole.columns == [*frame.columns, "shard_"]
     for r in whole.collect():
-        assert r["shard"] == slim[r["doc_id"], zlib.crc32((r["text"] or "").encode())]
+        assert r["shard"] == 99
+        assert r["shard_"] == slim[r["doc_id"], zlib.crc32((r["text"] or "").encode())]
+
+
+def test_equal_rows_are_cut_like_any_others(spark):
+    """1,000 rows that are equal in everything, others beside them, and three that share a cut key but not their columns."""
+    rows = [(5, "same text")] * 1_000 + [(k, "a") for k in range(5)] + [(9, "b" * 40)] * 40
+    frame = docs(spark, rows).repartition(6)
+    got = sharding.contiguous_shards(frame).collect()
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and sorted(sizes) == list(range(8))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(abs(s - sum(sizes.values()) / 8) <= 41 for s in sizes.values())
+    whole = sharding.with_shards(frame.drop("shard")).collect()
+    counted = Counter((r["doc_id"], r["text"], r["shard"]) for r in whole)
+    slim = Counter((r["doc_id"], r["size"], r["shard"]) for r in got)
+    assert {(d, len(t) + 1, s): n for (d, t, s), n in counted.items()} == dict(slim)
+
+
+def test_rows_of_a_cut_key_keep_their_columns(spark):
+    rows = [(1, "x", str(k)) for k in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(5)
+    whole = sharding.with_shards(frame).collect()
+    assert sorted(r["tag"] for r in whole) == sorted(t for _, _, t in rows)
+    assert set(Counter(r["shard"] for r in whole).values()) <= {112, 113}
 
 
 @pytest.mark.parametrize("counters", [1, 3, 1000])
