@@ -51,6 +51,14 @@ UNION ALL SELECT 2000000000 + page_id, page_id % 50, 'see ' || url FROM {pages}
 UNION ALL SELECT 3000000000 + page_id, page_id % 50, 'RT @' || split_part(url, '/', 3) || ': ' || html FROM {pages}
 """
 
+# Documents as cleaned messages of 400 user-weeks of 100 users; ids in a run, and far apart for every third document.
+DELIVERED = """
+SELECT CAST(2024 AS STRING) || '_' || lpad(CAST(1 + doc_id % 4 AS STRING), 2, '0') || ':' || CAST(doc_id % 100 AS STRING) AS user_year_week,
+ doc_id % 100 AS user_id, CASE WHEN doc_id % 3 = 0 THEN 1000000007 * doc_id ELSE doc_id END AS message_id, text AS message,
+ CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created_at, lang AS location, source AS coordinates,
+ lpad(CAST(1001 + doc_id % 70 AS STRING), 5, '0') AS fips FROM {documents}
+"""
+
 # Valid, four-digit and non-numeric codes; every tenth row names no user, so some users are not mapped.
 USER_COUNTY = """
 SELECT CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE c_custkey END AS user_id, CASE WHEN c_custkey % 13 = 0 THEN CAST(1001 + c_nationkey AS STRING)
@@ -139,6 +147,7 @@ SQL_INPUTS = {
     "messages_text": MESSAGES_TEXT,
     "messages_keyed": MESSAGES_KEYED,
     "long_messages": LONG_MESSAGES,
+    "documents_sent": DELIVERED,
     "user_county": USER_COUNTY,
     "user_counties": USER_COUNTIES,
     "county_codes": COUNTY_CODES,
@@ -184,6 +193,10 @@ class Inputs:
     def long_messages(self) -> DataFrame:
         return self.sql(LONG_MESSAGES)
 
+    @cached_property
+    def documents_sent(self) -> DataFrame:
+        return self.sql(DELIVERED)
+
     @cached_property
     def user_county(self) -> DataFrame:
         return self.sql(USER_COUNTY)

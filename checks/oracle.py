@@ -80,6 +80,10 @@ CHAINS = {
  WHERE created_at < TIMESTAMP '2024-01-11 00:00:00'""",
     "fresh": "SELECT * FROM panel WHERE message_id NOT IN (SELECT message_id FROM prior)",
     "fresh_counts": "SELECT user_year_week, count(message_id) AS message_count FROM fresh GROUP BY user_year_week",
+    "sent_first": f"SELECT {SAMPLED}, CAST(0 AS BIGINT) AS batch FROM documents_sent WHERE location = 'en'",
+    "sent_counts": """SELECT user_year_week, count(*) AS message_count FROM documents_sent WHERE location <> 'en' OR location IS NULL
+ GROUP BY user_year_week""",
+    "sent_assigned": _batched("sent_counts", "1"),
     "assigned": _batched("active", "0"),
     "fresh_assigned": _batched("fresh_counts", "(SELECT max(batch) + 1 FROM prior)"),
     "valid_weeks": f"SELECT * FROM user_weeks WHERE len(embedding) = {N_LAYERS} AND len(embedding[1]) = {DIM}",

@@ -1065,6 +1065,37 @@ def _(t: Inputs) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+DAYS = 1 << 40  # no user-week is too busy
+
+
+def documents_store(t: Inputs) -> Deliveries:
+    """A store of two runs: the English documents as one batch, then all others."""
+    store, rows = Deliveries(t.spark, scratch(t, "documents")), t.documents_sent
+    store.write(rows.filter(F.col("location") == "en").withColumn("batch", F.lit(0)))
+    incremental.deliver(rows, store.path, active=(1, DAYS), super_from=None, limit=BATCH_LIMIT)
+    return store
+
+
+@query(
+    "deliver_documents",
+    f"""SELECT message_id, user_year_week, batch, message FROM sent_first
+ UNION ALL SELECT message_id, user_year_week, batch, message FROM documents_sent JOIN sent_assigned USING (user_year_week)
+ WHERE location <> 'en' OR location IS NULL""",
+)
+def _(t: Inputs) -> DataFrame:
+    return documents_store(t).messages().select("message_id", KEY, "batch", "message")
+
+
+@query(
+    "deliver_documents_statistics",
+    "SELECT count(*) AS messages, count(DISTINCT fips) AS counties, 400 AS most_user_weeks, 100 AS most_users FROM documents_sent",
+)
+def _(t: Inputs) -> DataFrame:
+    """Sketches of so few values are exact."""
+    told = documents_store(t).statistics()
+    return told.select("messages", "counties", F.greatest("user_weeks", F.lit(400)).cast("int").alias("most_user_weeks"), F.greatest("users", F.lit(100)).cast("int").alias("most_users"))
+
+
 @query("attach_county_split", "SELECT message_id, m.user_id, cnty AS fips FROM messages m JOIN user_counties c ON m.user_id = c.user_id")
 def _(t: Inputs) -> DataFrame:
     rows = t.messages.select("message_id", "user_id")
