@@ -73,7 +73,7 @@ def corpus():
 
 
 def test_groups_and_the_one_that_stays(spark, monkeypatch):
-    for name, value in (("MEMBERS", 8), ("LEAF", 4), ("CHECKS", 4), ("OFTEN", 3)):
+    for name, value in (("MEMBERS", 8), ("CHECKS", 4), ("OFTEN", 3)):
         monkeypatch.setattr(near_join, name, value)
     rows = corpus()
     frame = docs(spark, rows).repartition(5)

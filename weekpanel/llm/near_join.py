@@ -6,6 +6,7 @@ equal sets are one class, told by a hash of the set, and classes are what is joi
 1. One pass finds shingles that are frequent in some stretch of the input, a second one the shingles a class may be
    found by: two sets that link share one of the first ``size - ceil(3/4 size) + 1`` in any order common to all, here
    the frequent ones last. These are the roots of the trees: a block holds all classes with a shingle among those.
+   Blocks of the same members are one, with a weight.
 2. In a few of its blocks, leaves of signature trees (:mod:`weekpanel.llm.signature_tree`) give every class the one
    whose bitmap is most like its own. These links are checked on whole sets, and their components found.
 3. Blocks that still hold several components are cut into chunks of bounded size, nodes with a range of sizes and
@@ -42,11 +43,12 @@ OFTEN = 4
 FREQUENT = 2**18
 #: Members of a chunk of a block, checks for one copy of a hub's set, and rows up to which ids are broadcast.
 MEMBERS = 512
-LEAF = 16
 CHECKS = 128
 BROADCAST_ROWS = 1_000_000
 SEEDS = 3
 TURNS = 1
+#: What a member of a block carries besides its bitmap.
+MEMBER = ("class", "n", "component", "weight")
 
 
 # -- sets and the shingles by which they are found --------------------------------------------------------------------
@@ -204,40 +206,42 @@ def _blocks(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[dict
         yield block()
 
 
-def _counted(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    both, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0, return_counts=True)
+def _counted(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, weight = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else [()] * 3))
+    ordered = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+    both, which = np.unique(ordered, axis=0, return_inverse=True)
+    n = np.bincount(which.ravel(), weights=weight, minlength=len(both)).astype(np.int64)
     columns = (np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), n)
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "blocks"])
 
 
-def _gathered(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _gathered(found: Iterable[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
     """(a, b, blocks): pairs and in how many blocks they were found."""
-    left, right, rows = [], [], 0
-    for a, b in found:
-        left.append(a), right.append(b)
+    held, rows = [], 0
+    for a, b, weight in found:
+        held.append((a, b, np.full(len(a), weight)))
         rows += len(a)
         if rows > 100_000:
-            yield _counted(left, right)
-            left, right, rows = [], [], 0
-    yield _counted(left, right)
+            yield _counted(held)
+            held, rows = [], 0
+    yield _counted(held)
 
 
 def _nearest_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         for block in _blocks(batches, ["shingle", "chunk"]):
             if len(block["class"]) == 1:
                 continue
             classes, once = np.unique(block["class"], return_index=True)
             nodes = trees.members(block["bits"][once], block["n"][once], block["component"][once])
             pairs = trees.nearest(nodes)
-            yield classes[pairs[:, 0]], classes[pairs[:, 1]]
+            yield classes[pairs[:, 0]], classes[pairs[:, 1]], 1
 
     return _gathered(found())
 
 
 def _cross_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         for block in _blocks(batches, ["shingle", "one", "two"]):
             sides = []
             for chunk in dict.fromkeys((block["one"][0], block["two"][0])):
@@ -246,7 +250,7 @@ def _cross_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes = trees.members(block["bits"][here], block["n"][here], block["component"][here])
                 sides.append((block["class"][here], nodes))
             pairs = trees.dual_traversal(sides[0][1], sides[1][1] if len(sides) > 1 else None)
-            yield sides[0][0][pairs[:, 0]], sides[-1][0][pairs[:, 1]]
+            yield sides[0][0][pairs[:, 0]], sides[-1][0][pairs[:, 1]], int(block["weight"][0])
 
     return _gathered(found())
 
@@ -263,35 +267,46 @@ def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _shared_shingles(sets: DataFrame, staging: Staging) -> DataFrame:
-    """Staged (shingle, class, n, often): the shingles that find classes, where they may find more than one.
+    """Staged (shingle, class, n, weight): the blocks of finding shingles that hold more than one class.
 
-    A block of a shingle that is not frequent is small enough for a window. Frequent ones need none.
+    Shingles of one passage find the same classes. Of blocks with the same members, told by their number, the least and two
+    sums of hashes of the classes (some 150 bits), one is kept, with the number of such blocks as its weight. The block of a shingle that
+    is not frequent is read through a window, which is one shuffle; frequent ones are summed up on the map side.
     """
     rows = sets.filter("rare IS NOT NULL")
     rare = rows.select(F.explode("rare").alias("shingle"), "class", "n")
     block = Window.partitionBy("shingle")
-    several = F.min("class").over(block) != F.max("class").over(block)
-    rare = rare.withColumn("_several", several).filter("_several").drop("_several")
-    often = rows.select(F.explode("often").alias("shingle"), "class", "n")
-    rare, often = rare.distinct().withColumn("often", F.lit(False)), often.distinct().withColumn("often", F.lit(True))
-    return staging.write(rare.unionByName(often), "shared")
+    least = F.min("class")
+    rare = rare.withColumn("_several", least.over(block) != F.max("class").over(block)).filter("_several")
+    rare = rare.drop("_several").distinct()
+    print_ = {
+        "_k": F.count("*"),
+        "_sum": F.sum(F.xxhash64("class").bitwiseAND(F.lit(2**31 - 1))),
+        "_xor": F.bit_xor(F.xxhash64("class", F.lit(1))),
+        "_least": least,
+    }
+    rare = rare.withColumns({name: value.over(block) for name, value in print_.items()})
+    often = staging.write(rows.select(F.explode("often").alias("shingle"), "class", "n").distinct(), "often")
+    blocks = often.groupBy("shingle").agg(*(value.alias(name) for name, value in print_.items())).filter("_k > 1")
+    often = often.join(_small(staging.write(blocks, "often-blocks")), "shingle")  # at most FREQUENT blocks
+    every = staging.write(rare.unionByName(often), "every")
+    alike = every.filter("class = _least").groupBy("_k", "_sum", "_xor", "_least")
+    kept = staging.write(alike.agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")), "kept-blocks")
+    kept = _small(kept.select("shingle", "weight"))
+    shared = staging.write(every.join(kept, "shingle").select("shingle", "class", "n", "weight"), "shared")
+    staging.drop("often", "often-blocks", "every", "kept-blocks")
+    return shared
 
 
 def _mixed(rows: DataFrame, roots: DataFrame, staging: Staging, name: str) -> DataFrame:
-    """Staged (shingle, class, n, component, k): the blocks that hold several components, with their sizes."""
+    """Staged (shingle, class, n, weight, component, k): the blocks that hold several components, with their sizes."""
     roots = _small(roots.withColumnRenamed("node", "class"))
     component = F.coalesce("root", "class").alias("component")
-    known = rows.join(roots, "class", "left").select("shingle", "class", "n", "often", component)
-    low, high, k = F.min("component"), F.max("component"), F.count("*")
-    # The block of a shingle that is not frequent fits a window, and is shuffled once.
-    block = Window.partitionBy("shingle")
-    rare = known.filter("NOT often").withColumns({"_low": low.over(block), "_high": high.over(block), "k": k.over(block)})
-    # There are at most FREQUENT blocks of the others.
-    blocks = known.filter("often").groupBy("shingle").agg(low.alias("_low"), high.alias("_high"), k.alias("k"))
-    often = known.filter("often").join(_small(staging.write(blocks, f"{name}-blocks")), "shingle")
-    columns = ["shingle", "class", "n", "often", "component", "k", "_low", "_high"]
-    mixed = rare.select(*columns).unionByName(often.select(*columns)).filter("_low <> _high").drop("_low", "_high")
-    mixed = staging.write(mixed, name)
+    known = rows.join(roots, "class", "left").select("shingle", "class", "n", "weight", component)
+    low, high, k = F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")
+    blocks = known.groupBy("shingle").agg(low, high, k).filter("low <> high").select("shingle", "k")
+    blocks = staging.write(blocks, f"{name}-blocks")
+    mixed = staging.write(known.join(_small(blocks), "shingle"), name)
     staging.drop(f"{name}-blocks")
     return mixed
 
@@ -325,15 +340,12 @@ def _cross_candidates(mixed: DataFrame, maps: DataFrame, staging: Staging) -> Da
     those of the other, too. So they share no more than the number of their blocks and what is left of that set, and
     a pair that meets in too few blocks is no link.
     """
-    # A block of no more members than a leaf is one: its pairs are told apart by size, component and what follows.
-    leaves = mixed.filter(F.col("k") <= LEAF).drop("k")
-    one, two = leaves.alias("one"), leaves.alias("two")
-    near = "4 * one.n >= 3 * two.n AND 4 * two.n >= 3 * one.n AND one.component <> two.component"
-    inside = one.join(two, F.col("one.shingle") == F.col("two.shingle")).filter("one.class < two.class AND " + near)
-    inside = inside.groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b")).agg(F.count("*").alias("blocks"))
-
-    pairs = staging.write(inside.unionByName(_from_large_blocks(mixed, maps, staging)), "cross-pairs")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("blocks").alias("blocks"))
+    small = mixed.filter(F.col("k") <= MEMBERS)  # one chunk, which meets itself
+    small = small.select("shingle", *(F.lit(0).cast("long").alias(c) for c in ("one", "two", "chunk")), *MEMBER)
+    members = small.unionByName(_meetings(mixed.filter(F.col("k") > MEMBERS), staging))
+    members = members.join(maps.select("class", "bits"), "class")
+    pairs = staging.write(_in_sorted_blocks(members, ["shingle", "one", "two"], _cross_pairs), "cross-pairs")
+    staging.drop("large-shares", "pools", "chunked", "chunks", "meetings")
     sizes = staging.write(maps.select("class", "n"), "sizes")
     pairs = pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("n_a")), "a")
     pairs = pairs.join(sizes.select(F.col("class").alias("b"), F.col("n").alias("n_b")), "b")
@@ -344,13 +356,13 @@ def _cross_candidates(mixed: DataFrame, maps: DataFrame, staging: Staging) -> Da
     return pairs
 
 
-def _from_large_blocks(mixed: DataFrame, maps: DataFrame, staging: Staging) -> DataFrame:
-    """Pairs from blocks of more members than a leaf, by dual traversal of their trees."""
+def _meetings(large: DataFrame, staging: Staging) -> DataFrame:
+    """(shingle, one, two, chunk and members): pairs of chunks of large blocks that may hold a link between components."""
     low, high = F.min("component").alias("low"), F.max("component").alias("high")
     # Chunks of bounded size. A component with many members in a block has chunks of its own, small ones share.
     # Sizes that differ by more than a third are in different chunks.
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band")
-    large = mixed.filter(F.col("k") > LEAF).select("shingle", "class", "n", "component", band)
+    large = large.select("shingle", *MEMBER, band)
     own = large.groupBy("shingle", "band", "component").agg(F.count("*").alias("k"))
     own = own.filter(F.col("k") > MEMBERS / 4).withColumn("parts", F.ceil(F.col("k") / MEMBERS)).drop("k")
     own = staging.write(own, "large-shares")
@@ -361,7 +373,7 @@ def _from_large_blocks(mixed: DataFrame, maps: DataFrame, staging: Staging) -> D
         F.col("parts").isNotNull(),
         F.xxhash64("band", F.lit("own"), "component", F.pmod(F.xxhash64("class"), F.col("parts"))),
     ).otherwise(F.xxhash64("band", F.lit("pool"), F.pmod(F.xxhash64("component"), F.col("pools"))))
-    rows = staging.write(rows.select("shingle", chunk.alias("chunk"), "class", "n", "component"), "chunked")
+    rows = staging.write(rows.select("shingle", chunk.alias("chunk"), *MEMBER), "chunked")
 
     # The upper nodes of the trees: one row per chunk, joined with those of the same shingle that may hold a link.
     nodes = rows.groupBy("shingle", "chunk").agg(F.min("n").alias("small"), F.max("n").alias("large"), low, high)
@@ -374,11 +386,7 @@ def _from_large_blocks(mixed: DataFrame, maps: DataFrame, staging: Staging) -> D
     meet = meet.selectExpr("one.shingle AS shingle", "one.chunk AS one", "two.chunk AS two")
     dealt = meet.withColumn("chunk", F.explode(F.array_distinct(F.array("one", "two"))))
     members = rows.join(staging.write(dealt, "meetings"), ["shingle", "chunk"])
-    members = members.join(maps.drop("n"), "class")
-    members = members.select("shingle", "one", "two", "chunk", "class", "n", "component", "bits")
-    pairs = staging.write(_in_sorted_blocks(members, ["shingle", "one", "two"], _cross_pairs), "walked")
-    staging.drop("large-shares", "pools", "chunked", "chunks", "meetings")
-    return pairs
+    return members.select("shingle", "one", "two", "chunk", *MEMBER)
 
 
 # -- checks on whole sets ---------------------------------------------------------------------------------------------
@@ -472,11 +480,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
         staging.drop(f"whole-{turn}")
         links, tried = (found, first) if tried is None else (links.unionByName(found), tried.unionByName(first))
         roots = components(links, staging, f"components-{turn}")
-        blocks = _mixed(blocks.select("shingle", "class", "n", "often"), roots, staging, f"mixed-{turn}")
+        blocks = _mixed(blocks.select("shingle", "class", "n", "weight"), roots, staging, f"mixed-{turn}")
 
     crossing = _cross_candidates(blocks, maps, staging).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     crossing = staging.write(crossing, "untried")
-    staging.drop("shared", "cross", "walked", "maps", *(f"mixed-{turn}" for turn in range(TURNS)))
+    staging.drop("shared", "cross", "maps", *(f"mixed-{turn}" for turn in range(TURNS)))
     more = _links(crossing, _whole_sets(docs, sets, crossing, salt, staging, "whole"), staging, "links")
     staging.drop("whole")
     roots = staging.write(components(links.unionByName(more), staging, "components"), "roots")
