@@ -446,11 +446,12 @@ def _links(pairs: DataFrame, whole: DataFrame, staging: Staging, name: str) -> D
     dealt = pairs.join(counts, "a").select(F.col("a").alias("hub"), parts.alias("part"), F.col("b").alias("class"))
     dealt = staging.write(dealt, f"{name}-dealt")
     hubs = dealt.select("hub", "part", F.col("hub").alias("class")).distinct()
-    asked = dealt.unionByName(hubs).join(whole, "class")
+    # Numbers go to the sets where they are few enough, so that a set travels only once, to its hubs.
+    asked = whole.join(_small(staging.write(dealt.unionByName(hubs), f"{name}-asked")), "class")
     own = (F.col("hub") == F.col("class")).desc()
     sorted_ = asked.repartition("hub", "part").sortWithinPartitions("hub", "part", own)
     links = staging.write(sorted_.select("hub", "part", "class", "set").mapInArrow(_check, "a long, b long"), name)
-    staging.drop(f"{name}-counts", f"{name}-dealt")
+    staging.drop(f"{name}-counts", f"{name}-dealt", f"{name}-asked")
     return links
 
 
