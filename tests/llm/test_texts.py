@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import warnings
 import zlib
 
 import numpy as np
@@ -217,7 +218,9 @@ def test_rates_meet_their_targets(spark):
     told = [(max(mixing.DOMAINS, key=lambda d: r[f"p_{d}"]), r["doc_id"] % 10) for r in got if r["doc_id"] is not None and r["doc_id"] < 400]
     wanted = {0: "low", 1: "low", 2: "toxic", 3: "toxic"}
     assert sum(domain == wanted.get(kind, "clean") for domain, kind in told) >= 0.97 * len(told)
-    clean = mixing.mixed_documents(frame, labels, {"clean": 1.0})
+    repeated = mixing.mixed_documents(frame, labels, {"clean": 1.0}).select("doc_id").collect()  # at rates around one
+    assert sum(r["doc_id"] is not None and r["doc_id"] < 400 and r["doc_id"] % 10 > 3 for r in repeated) == pytest.approx(240, rel=0.1)
+    clean = mixing.mixed_documents(frame, labels, repeat=False, keep={"clean": 1.0})
     assert clean.columns == frame.columns
     ids = [r["doc_id"] for r in clean.collect() if r["doc_id"] is not None and r["doc_id"] < 400]
     assert len(ids) == len(set(ids)) and sum(d % 10 > 3 for d in ids) >= 0.97 * len(ids) and len(ids) >= 0.97 * 240
@@ -261,6 +264,52 @@ def test_rates_of_a_rare_domain_meet_their_target(spark, rare):
         assert t / total.sum() == pytest.approx(targets[domain], rel=3e-3)
 
 
+@pytest.mark.parametrize("targets, keep, most", [
+    ({"clean": 0.97, "low": 0.02, "toxic": 0.01}, None, np.inf),
+    ({"clean": 0.3, "low": 0.3, "toxic": 0.4}, None, np.inf),
+    (None, {"clean": 1.0}, 1.0),
+    (None, {"clean": 0.5, "low": 0.9, "toxic": 0.1}, 1.0),
+])
+def test_rates_are_as_good_as_those_of_a_plain_solver(targets, keep, most):
+    """Single rates by many short steps of the projected gradient, against few searched ones."""
+    rnd = np.random.default_rng(3)
+    p = np.concatenate([rnd.dirichlet(a, k) for a, k in (((20, 1, 1), 200), ((1, 9, 1), 40), ((1, 1, 9), 20))])
+    n = rnd.integers(1, 100, len(p)).astype(float)
+    jobs = []
+
+    def summed(taken, tried):
+        jobs.append(len(tried))
+        return mixing.totals(p, n, taken, tried, most)
+
+    rate = mixing.replay(p, mixing.descend(summed, targets, keep, most), most)
+    own = p.T @ n
+    if keep is None:
+        share = np.array([targets[d] for d in mixing.DOMAINS])
+        wanted = share / share[0] * own[0]
+        weight = 1 / np.maximum(np.maximum(wanted, own), 1) ** 2
+    else:
+        wanted = np.array([keep.get(d, 0.0) for d in mixing.DOMAINS]) * own
+        weight = np.full(3, 1 / own.sum() ** 2)
+    plain, step = np.ones(len(p)), 1 / np.linalg.eigvalsh((p * n[:, None]).T @ p * np.sqrt(np.outer(weight, weight)))[-1]
+    for _ in range(30_000):
+        plain = np.clip(plain + step * p @ (weight * (wanted - p.T @ (n * plain))), 0, most)
+
+    def misses(r):
+        return float(weight @ (wanted - p.T @ (n * r)) ** 2)
+
+    assert len(jobs) <= 50 and rate.min() >= 0 and rate.max() <= most
+    assert misses(rate) <= 1.02 * misses(plain) + 1e-6
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_targets_are_met_on_the_given_tables(spark, size):
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", mixing.TargetsMissed)
+        got = QUERIES["op2_mixing"](spark, f"/root/testdata/{size}").collect()
+    total = np.array([sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in got) for d in mixing.DOMAINS])
+    assert total / total.sum() == pytest.approx([mixing.TARGETS[d] for d in mixing.DOMAINS], rel=3e-3)
+
+
 def test_targets_out_of_reach_are_reported(spark):
     rows = staged_posteriors(spark, "far", [(0.9, 0.05, 0.05), (0.8, 0.1, 0.1)], [50, 50])
     with pytest.warns(mixing.TargetsMissed, match="toxic"):

@@ -6,17 +6,21 @@ beginnings of its words, are known from one domain. Which words those are is cou
 ``SAMPLE`` labelled documents (the first by a hash of doc_id, a parameter), of which at most ``WORDS`` per domain are
 kept; on the same sample the softmax is fitted.
 
-The rates minimise over r >= 0 a quadratic form of the domains' misses (sum of rate * tokens * posterior - target), from
-r = 1, by projected gradient. Rates are measured by tokens, so that a document's change depends on its posterior and not
-on its length. The form is the inverse of the posteriors' products, damped by a part of each domain's own, so that a
-step closes most of a domain's miss however rare the domain is; where such a step would raise the relative misses, the
-form is the sum of their squares from there on. Each step is one Spark job: tasks replay the steps so
-far for their documents (a document's rate is a function of its posterior and of the steps), sum expected tokens per
-domain, and the driver gets one row per domain. Posteriors are staged once, without texts; nothing is shuffled but sums.
-
-Steps are taken until each domain is within ``CLOSE`` of its own target (of its own tokens where the target is zero).
-Targets that cannot be met, or are not after ``STEPS``, are reported by a :class:`TargetsMissed` warning that names the
-domains and their misses.
+The rates minimise over r >= 0 the squared misses of the domains (sum of rate * tokens * posterior - target), relative to
+the targets, from r = 1, by projected gradient. Rates are measured by tokens, so that a document's change depends on its
+posterior and not on its length. A step is searched for over some thirty candidates: the gradient in three metrics, two
+of which close a domain's miss at once however rare it is, at several lengths; the one that leaves the least misses is
+taken. Each step is one Spark job: tasks replay the steps so far for their documents (a document's rate is a function of
+its posterior and of the steps), try all candidates, and sum expected tokens per domain; the driver gets some hundred
+sums. Posteriors are staged once, without texts; nothing is shuffled but sums.
+
+Steps are taken until each domain is within ``CLOSE`` of its own target (of its own tokens where the target is zero), or
+the squared misses fall no more. Targets that cannot be met are reported by a :class:`TargetsMissed` warning that names
+the domains and their misses.
+
+Where documents may not be repeated, rates are at most one as well. With shares to keep in place of targets (all clean
+tokens and none of the others, say) misses are measured in tokens; such targets cannot be met exactly, and the best rates
+within 0 and 1 are 0 or 1 but for documents at the boundary.
 
 Targets are shares; the total is such that the ``anchor`` domain keeps its expected tokens (rate 1) when the others
 are given their shares.
@@ -30,7 +34,7 @@ treated alike; an empty table gives no rows; further columns are left alone.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,13 +54,11 @@ SAMPLE = 20_000
 WORDS = 4096
 BEGINNING = 5  # bytes
 SIGNIFICANT = 4.0
-STEPS = 200
+STEPS = 100
 CLOSE = 1e-3
 DAMPING = 0.05
-#: Rates this close to one leave a document as it is.
-NEAR = 0.2
-#: Targets count as out of reach when the largest miss falls by less than a tenth over so many steps.
-STALLED = 20
+#: The least squares count as solved when they fall by less than a thousandth over so many steps.
+SETTLED = 5
 
 
 class TargetsMissed(UserWarning):
@@ -71,8 +73,8 @@ class Classifier:
     scale: np.ndarray
     weights: np.ndarray  # (features + 1) x domains
 
-    def posteriors(self, texts: list[bytes]) -> np.ndarray:
-        x = (features(texts, self.words) - self.mean) / self.scale
+    def posteriors(self, texts: list[bytes], words: Words | None = None) -> np.ndarray:
+        x = (features(texts, self.words, words) - self.mean) / self.scale
         return softmax(np.concatenate([x, np.ones((len(x), 1))], axis=1) @ self.weights)
 
 
@@ -86,21 +88,24 @@ def keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes, mixed(words.beginnings(BEGINNING) + np.uint64(1))
 
 
-def features(texts: list[bytes], known: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Style, and for each domain with known words: how many there are, how telling the best is, and their share."""
+def features(
+    texts: list[bytes], known: list[tuple[np.ndarray, np.ndarray]], unplain: Words | None = None
+) -> np.ndarray:
+    """Style (of the words as they stand, if these are known already), and for each domain with known words: how many there are, how telling the best is, and their share."""
     words = plain_words(texts)
     n = np.maximum(np.diff(words.first), 1)
     of = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    out = [style(texts)]
+    out = [style(texts, unplain)]
     for hashes, weight in known:
         value = np.zeros(len(of))
         if len(hashes):
             for key in keys(words):
                 at = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
                 value = np.maximum(value, np.where(hashes[at] == key, weight[at], 0))
-        met = np.bincount(of[value > 0], minlength=len(texts))
+        hits = np.flatnonzero(value > 0)
+        met = np.bincount(of[hits], minlength=len(texts))
         best = np.zeros(len(texts))
-        np.maximum.at(best, of, value)
+        np.maximum.at(best, of[hits], value[hits])
         out.append(np.stack([np.log1p(met), (met > 0).astype(float), best, np.sqrt(met / n)], axis=1))
     return np.concatenate(out, axis=1)
 
@@ -200,25 +205,27 @@ def _softmax_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps
 POSTERIORS = "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
 
 
-def _posterior(texts: list[bytes], model: Classifier | None) -> np.ndarray:
+def _posterior(texts: list[bytes], model: Classifier | None) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors and numbers of tokens."""
+    words = Words(texts)
+    n = np.diff(words.first)
     if model is not None:
-        return model.posteriors(texts)
-    return np.tile(np.array([float(d == ANCHOR) for d in DOMAINS]), (len(texts), 1))
+        return model.posteriors(texts, words), n
+    return np.tile(np.array([float(d == ANCHOR) for d in DOMAINS]), (len(texts), 1)), n
 
 
 def _posteriors(batches: Iterable[pa.RecordBatch], model: Classifier | None) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
-        p = _posterior(texts, model)
-        n = np.diff(Words(texts).first)
+        p, n = _posterior(texts, model)
         columns = [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in p.T)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
 
-def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps so far: each moves a rate by the posterior's product with the step, not below zero."""
+def replay(p: np.ndarray, steps: list[np.ndarray], most: float = np.inf) -> np.ndarray:
+    """Rates after the steps so far: each moves a rate by the posterior's product with the step, within 0 and ``most``."""
     rate = np.ones(len(p))
     for step in steps:
-        rate = np.maximum(rate + p @ step, 0)
+        rate = np.clip(rate + p @ step, 0, most)
     return rate
 
 
@@ -227,77 +234,123 @@ def _batch_posteriors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return p, batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-def _totals(batches: Iterable[pa.RecordBatch], steps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Expected tokens per domain at the rates, and the products of posteriors, summed over a task's documents."""
+def totals(p: np.ndarray, n: np.ndarray, steps: list[np.ndarray], tried: np.ndarray, most: float) -> np.ndarray:
+    """For each step that is tried after those so far: expected tokens per domain, the products of posteriors, and the
+    products over the documents whose rates are not at a bound."""
     d = len(DOMAINS)
-    total = np.zeros((d, d + 1))
+    rate = replay(p, steps, most)
+    pairs = (p[:, :, None] * p[:, None, :]).reshape(len(p), d * d) * n[:, None]
+    out = np.zeros((len(tried), d, 2 * d + 1))
+    for k, step in enumerate(tried):
+        after = np.clip(rate + p @ step, 0, most)
+        out[k, :, 0] = p.T @ (n * after)
+        out[k, :, 1 : d + 1] = pairs.sum(axis=0).reshape(d, d)
+        out[k, :, d + 1 :] = pairs[(after > 0) & (after < most)].sum(axis=0).reshape(d, d)
+    return out
+
+
+def _totals(batches: Iterable[pa.RecordBatch], steps, tried: np.ndarray, most: float) -> Iterator[pa.RecordBatch]:
+    """A task's sums, each with its place."""
+    total = np.zeros((len(tried), len(DOMAINS), 2 * len(DOMAINS) + 1))
     for batch in batches:
         if batch.num_rows:
-            p, n = _batch_posteriors(batch)
-            total[:, 0] += p.T @ (n * replay(p, steps))
-            total[:, 1:] += (p * n[:, None]).T @ p
-    i, j = np.divmod(np.arange(total.size), d + 1)
-    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "v"])
-
-
-def _summed(rows: DataFrame, steps: list[np.ndarray]) -> np.ndarray:
-    sums = rows.mapInArrow(lambda it: _totals(it, steps), "i long, j long, v double")
-    out = np.zeros((len(DOMAINS), len(DOMAINS) + 1))
-    for row in sums.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # domains x (domains + 1) rows
-        out[row["i"], row["j"]] = row["v"]
+            total += totals(*_batch_posteriors(batch), steps, tried, most)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "v"])
+
+
+def _summed(rows: DataFrame, steps: list[np.ndarray], tried: np.ndarray, most: float) -> np.ndarray:
+    sums = rows.mapInArrow(lambda it: _totals(it, steps, tried, most), "i long, v double")
+    out = np.zeros((len(tried), len(DOMAINS), 2 * len(DOMAINS) + 1))
+    for row in sums.groupBy("i").agg(F.sum("v").alias("v")).collect():  # tried steps x domains x (2 domains + 1) rows
+        out.flat[row["i"]] = row["v"]
     return out
 
 
-def fit_rates(
-    rows: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, repeat: bool = True
-) -> list[np.ndarray]:
-    """The steps of the projected gradient over staged posteriors.
+def _tried(miss: np.ndarray, weight: np.ndarray, products: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Gradient steps in three metrics and of several lengths: by the products of all documents and by those of the
+    documents that can still move, either of which closes the miss of such documents at once, and as it is."""
+    root = np.sqrt(weight)
+    plain = weight / max(np.linalg.eigvalsh(root @ products @ root)[-1], np.finfo(float).tiny)
+    metrics = [(plain, 2.0 ** np.arange(0, 20, 2))]
+    for products_ in (products, free):
+        for damping in (1e-6, 1e-3, DAMPING):
+            damped = products_ + damping * np.diag(np.diag(products_))
+            metrics.append((np.linalg.pinv(damped, rcond=1e-13, hermitian=True), 2.0 ** np.arange(-6, 3, 2)))
+    return np.stack([length * (metric @ miss) for metric, lengths in metrics for length in lengths])
 
-    Without ``repeat`` no domain is asked for more tokens than it has.
-    """
-    targets = TARGETS if targets is None else targets
-    share = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    if share.min() < 0 or targets.get(ANCHOR, 0.0) <= 0:
-        raise ValueError(f"targets must not be negative, and {ANCHOR} needs one")
-    first = _summed(rows, [])
-    tokens, products = first[:, 0], first[:, 1:]
-    everything = tokens.sum()
-    if not everything or not tokens[DOMAINS.index(ANCHOR)]:
+
+def descend(
+    summed: Callable[[list[np.ndarray], np.ndarray], np.ndarray],
+    targets: dict[str, float] | None = None,
+    keep: dict[str, float] | None = None,
+    most: float = np.inf,
+    steps: int = STEPS,
+) -> list[np.ndarray]:
+    """The steps of the projected gradient, for a function that gives :func:`totals` over all documents."""
+    tokens, products, free = _parts(summed([], np.zeros((1, len(DOMAINS))))[0])
+    anchor = DOMAINS.index(ANCHOR)
+    if not tokens.sum() or not tokens[anchor]:
         return []
-    wanted = np.where(tokens > 0, share / share[DOMAINS.index(ANCHOR)] * tokens[DOMAINS.index(ANCHOR)], 0)
-    if not repeat:
-        wanted = np.minimum(wanted, tokens)
-    scale = np.maximum(np.where(wanted > 0, wanted, tokens), 1)
-    # Damped by each domain's own products, which does not shrink the steps of rare ones; at most a whole step. Where that
-    # does not lower the relative misses (a domain that cannot be told), the gradient of their squares takes over.
-    metric = np.linalg.pinv(products + DAMPING * np.diag(np.diag(products)), hermitian=True)
-    weight = np.diag(1 / np.maximum(scale, tokens) ** 2)
-    gradient = weight / np.linalg.eigvalsh(np.sqrt(weight) @ products @ np.sqrt(weight))[-1]
+    if keep is None:
+        targets = TARGETS if targets is None else targets
+        share = np.array([targets.get(d, 0.0) for d in DOMAINS])
+        if share.min() < 0 or share[anchor] <= 0:
+            raise ValueError(f"targets must not be negative, and {ANCHOR} needs one")
+        wanted = np.where(tokens > 0, share / share[anchor] * tokens[anchor], 0)
+        if most < np.inf:
+            wanted = np.minimum(wanted, most * tokens)
+        scale = np.maximum(np.where(wanted > 0, wanted, tokens), 1)
+        weight = np.diag(1 / np.maximum(scale, tokens) ** 2)
+    else:
+        wanted = np.array([keep.get(d, 0.0) for d in DOMAINS]) * tokens
+        if wanted.min() < 0:
+            raise ValueError("shares to keep must not be negative")
+        scale = np.full(len(DOMAINS), tokens.sum())
+        weight = np.diag(1 / scale**2)
     taken: list[np.ndarray] = []
-    misses: list[float] = []
-
-    def merit(missed: np.ndarray) -> float:
-        return float(missed @ weight @ missed)
-
+    merits: list[float] = []
     while True:
         miss = wanted - tokens
-        misses.append(float((np.abs(miss) / scale).max()))
-        stalled = len(misses) > STALLED and misses[-1] > 0.9 * misses[-1 - STALLED]
-        if misses[-1] <= CLOSE or len(taken) == steps or stalled:
+        merits.append(float(miss @ weight @ miss))
+        settled = len(merits) > SETTLED and merits[-1] > (1 - 1e-3) * merits[-1 - SETTLED]
+        if np.abs(miss / scale).max() <= CLOSE or len(taken) == steps or settled:
+            break
+        tried = _tried(miss, weight, products, free)
+        after = summed(taken, tried)
+        left = wanted - after[:, :, 0]
+        best = int(np.argmin(((left @ weight) * left).sum(axis=1)))
+        if left[best] @ weight @ left[best] >= merits[-1]:
             break
-        after = _summed(rows, [*taken, metric @ miss])[:, 0]
-        if metric is not gradient and merit(wanted - after) > merit(miss):
-            metric = gradient
-            after = _summed(rows, [*taken, metric @ miss])[:, 0]
-        taken.append(metric @ miss)
-        tokens = after
-    if misses[-1] > CLOSE:
-        open_ = {d: float(m) for d, m in zip(DOMAINS, miss / scale, strict=True) if abs(m) > CLOSE}
+        taken.append(tried[best])
+        tokens, _, free = _parts(after[best])
+    open_ = {d: float(m) for d, m in zip(DOMAINS, miss / scale, strict=True) if abs(m) > CLOSE}
+    if keep is None and open_:
         told = ", ".join(f"{d} by {-m:+.2%}" for d, m in open_.items())
-        warnings.warn(f"after {len(taken)} steps expected tokens miss their targets: {told}", TargetsMissed, stacklevel=2)
+        warnings.warn(f"after {len(taken)} steps expected tokens miss their targets: {told}", TargetsMissed, stacklevel=3)
     return taken
 
 
+def _parts(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    d = len(DOMAINS)
+    return sums[:, 0], sums[:, 1 : d + 1], sums[:, d + 1 :]
+
+
+def fit_rates(
+    rows: DataFrame,
+    targets: dict[str, float] | None = None,
+    steps: int = STEPS,
+    repeat: bool = True,
+    keep: dict[str, float] | None = None,
+) -> list[np.ndarray]:
+    """The steps of the projected gradient over staged posteriors.
+
+    Without ``repeat`` rates are at most one, and no domain is asked for more tokens than it has. ``keep`` names shares of
+    the domains' own tokens in place of ``targets``; the misses are then measured in tokens, alike for all domains.
+    """
+    most = np.inf if repeat else 1.0
+    return descend(lambda taken, tried: _summed(rows, taken, tried, most), targets, keep, most, steps)
+
+
 def _rated(batches: Iterable[pa.RecordBatch], steps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         p, _ = _batch_posteriors(batch)
@@ -321,18 +374,17 @@ def _with_posteriors(docs: DataFrame, model: Classifier | None) -> DataFrame:
 
 
 def realised(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Whole copies at the rates, the fraction by a draw from [0, 1); rates within ``NEAR`` of one leave a document whole."""
+    """Whole copies at the rates, the fraction by a draw from [0, 1)."""
     whole = np.floor(rate)
-    return np.where(np.abs(rate - 1) <= NEAR, 1, whole + (draw < rate - whole)).astype(np.int64)
+    return (whole + (draw < rate - whole)).astype(np.int64)
 
 
-def _repeated(batches: Iterable[pa.RecordBatch], model, steps: list, repeat: bool) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterable[pa.RecordBatch], model, steps: list, most: float) -> Iterator[pa.RecordBatch]:
     """The last column is the hash that the draw is taken from."""
     for batch, texts in slices(batches):
         last = batch.num_columns - 1
         draw = (batch.column(last).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(11)) / 2.0**53
-        copies = realised(replay(_posterior(texts, model), steps), draw)
-        copies = copies if repeat else np.minimum(copies, 1)
+        copies = realised(replay(_posterior(texts, model)[0], steps, most), draw)
         yield batch.select(list(range(last))).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
 
 
@@ -342,25 +394,21 @@ def mixed_documents(
     targets: dict[str, float] | None = None,
     sample: int = SAMPLE,
     repeat: bool = True,
-    worth: dict[str, float] | None = None,
+    keep: dict[str, float] | None = None,
 ) -> DataFrame:
-    """The documents with all their columns, each as often as its rate says; fractions are realised by a hash of doc_id
-    and text, the same for repeated rows.
+    """The documents with all their columns, each as often as its fitted rate says; fractions are realised by a hash of
+    doc_id and text, the same for repeated rows.
 
-    Without ``repeat`` no domain is asked for more tokens than it has, which leaves no document twice. With ``worth``, of
-    a token of each domain, a rate is the expected worth of a token of the document, not below zero. No step is fitted
-    then, and a document's rate depends on its posterior alone and not on what else the table holds. Posteriors and rates
-    are told again where the documents are read, so that no text is shuffled.
+    ``repeat`` and ``keep`` as in :func:`fit_rates`. Posteriors and rates are told again where the documents are read, so
+    that no text is shuffled.
     """
+    if keep is not None and targets is not None:
+        raise ValueError("either targets or shares to keep")
     model = fit(docs, labels, sample)
-    if worth is not None:
-        if targets is not None:
-            raise ValueError("either targets or worth")
-        steps = [np.array([worth.get(d, 0.0) for d in DOMAINS]) - 1]  # from rate 1
-    else:
-        staging = Staging(docs.sparkSession, "mixing")
-        steps = fit_rates(staging.write(_with_posteriors(docs, model), "posteriors"), targets, repeat=repeat)
-        staging.close()
+    staging = Staging(docs.sparkSession, "mixing")
+    steps = fit_rates(staging.write(_with_posteriors(docs, model), "posteriors"), targets, repeat=repeat, keep=keep)
+    staging.close()
     (draw,) = fresh(docs.columns, "draw")
     drawn = docs.withColumn(draw, F.xxhash64(F.lit("mixing"), "doc_id", "text"))
-    return drawn.mapInArrow(lambda it: _repeated(it, model, steps, repeat), docs.schema)
+    most = np.inf if repeat else 1.0
+    return drawn.mapInArrow(lambda it: _repeated(it, model, steps, most), docs.schema)

@@ -27,12 +27,12 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return upto[first[1:]] - upto[first[:-1]]
 
 
-def style(texts: list[bytes]) -> np.ndarray:
-    """One row per text, one column per name in ``NAMES``; zeros for a text without words."""
+def style(texts: list[bytes], words: Words | None = None) -> np.ndarray:
+    """One row per text, one column per name in ``NAMES``; zeros for a text without words. ``words``: those of the texts."""
     out = np.zeros((len(texts), len(NAMES)))
     if not texts:
         return out
-    words = Words(texts)
+    words = Words(texts) if words is None else words
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     kind = _CLASS[buffer]
     # Capital Latin letters beyond ASCII: the second byte of a pair that begins with 0xC3.
