@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from weekpanel.llm import decontaminate, mixing, near_join, quality, sharding
 from weekpanel.llm.shared import Staging, read_table
 
-#: What a token is worth: a document's rate is the margin of its clean posterior over the others. What is certainly toxic
-#: or low goes, clean documents stay, and the uncertain between, whatever the domains' shares of the table.
-WORTH = {"clean": 1.0, "low": -1.0, "toxic": -1.0}
+#: Shares of the domains' own tokens that the mixing stage fits its rates to.
+KEEP = {"clean": 1.0, "low": 0.0, "toxic": 0.0}
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +31,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay at the rate that their posterior is worth, realised by a hash of the row."""
-    return mixing.mixed_documents(docs, read_table(spark, sf_dir, "labels"), repeat=False, worth=WORTH)
+    """Documents stay at rates within 0 and 1 that are fitted to keep clean tokens and lose the others; fractions are
+    realised by a hash of the row."""
+    return mixing.mixed_documents(docs, read_table(spark, sf_dir, "labels"), repeat=False, keep=KEEP)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, with their columns and the shard.
+
+    Each stage defines nulls, empty texts, ties, repeated rows and empty tables as its operator's module says; further
+    columns pass through, and a column called ``shard`` stays beside the new one.
+    """
     staging = Staging(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
