@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import warnings
 import zlib
 
@@ -375,6 +376,45 @@ def test_the_cut_is_the_least_of_all(seed):
     assert cost(main_text.minimum_cut(gain, edges)) == pytest.approx(least, abs=1e-6)
 
 
+def test_the_cut_of_a_page_of_50000_blocks():
+    """Halves that are content and boilerplate by turns, with doubtful blocks within either."""
+    rnd = random.Random(5)
+    n = 50_000
+    gain = [(1 if k // 500 % 2 else -1) * rnd.choice([3.0, 2.0, 0.5, -0.4]) for k in range(n)]
+    edges = [(k - 1, k, 0.5 ** rnd.randint(0, 4)) for k in range(1, n)] + [(k - 3, k, 0.5) for k in range(3, n)]
+    begun = time.monotonic()
+    side = main_text.minimum_cut(gain, edges)
+    assert time.monotonic() - begun < 60
+    # The least cost of such a band of edges, by the sides of the last three blocks.
+    near, far = {b: c for a, b, c in edges if b - a == 1}, {b: c for a, b, c in edges if b - a == 3}
+    least = {(): 0.0}
+    for k in range(n):
+        after: dict[tuple, float] = {}
+        for last, cost in least.items():
+            for own in (False, True):
+                c = cost + (max(-gain[k], 0) if own else max(gain[k], 0))
+                c += near[k] if k and last[-1] != own else 0
+                c += far[k] if k >= 3 and last[-3] != own else 0
+                key = (*last, own)[-3:]
+                after[key] = min(after.get(key, np.inf), c)
+        least = after
+    cost = sum(max(-g, 0) if s else max(g, 0) for g, s in zip(gain, side, strict=True))
+    cost += sum(c for a, b, c in edges if side[a] != side[b])
+    assert cost == pytest.approx(min(least.values()), rel=1e-6)
+
+
+def test_many_notices_do_not_overlap():
+    """Ten thousand notices of one text, as the plain rule (best first, nothing that overlaps) gives them."""
+    templates = licences.templates_of({"a": "released under the same terms", "b": "under the same terms as before"}, 0.6)
+    text = " ".join(["released under the same terms as before", "filler words here"] * 10_000).encode()
+    bigrams, first = licences.plain_words([text]).shingles(2, short=False)
+    begun = time.monotonic()
+    got = licences.notices(bigrams[first[0] : first[1]], templates)
+    assert time.monotonic() - begun < 30
+    assert len(got) >= 10_000
+    assert all(a[3] <= b[2] for a, b in zip(got, got[1:]))
+
+
 # -- the token file ---------------------------------------------------------------------------------------------------
 
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -273,6 +272,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 # -- the cut ----------------------------------------------------------------------------------------------------------
 
 NEXT, SIBLING, LIMIT = 1.0, 0.5, 8.0
+#: Flow below this is none.
+LEAST = 1e-9
 
 
 def edges_of(blocks: list[Block], elements: list[Element]) -> list[tuple[int, int, float]]:
@@ -300,43 +301,77 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
     """Which nodes are on the source's side of the minimum cut.
 
     ``gain`` is a node's capacity from the source less that to the sink (what both have in common flows through at
-    once); edges carry their capacity either way. Flow is sent along shortest paths until none is left.
+    once); edges carry their capacity either way. Nodes are levelled by their distance from a source with something left,
+    and flow is sent from level to level, no edge being looked at twice in vain, until no sink can be reached.
     """
     n = len(gain)
-    capacity: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, c in edges:
-        capacity[a][b] = capacity[a].get(b, 0.0) + c
-        capacity[b][a] = capacity[b].get(a, 0.0) + c
+    arcs: list[list[int]] = [[] for _ in range(n)]
+    head: list[int] = []
+    room: list[float] = []
+    for a, b, c in edges:  # an arc and the one back are numbered 2k and 2k + 1
+        arcs[a].append(len(head))
+        arcs[b].append(len(head) + 1)
+        head += [b, a]
+        room += [c, c]
     left = list(gain)
     while True:
-        came = [-2] * n
-        queue = deque(k for k in range(n) if left[k] > 1e-9)
-        for k in queue:
-            came[k] = -1
-        end = -1
-        while queue and end < 0:
-            a = queue.popleft()
-            for b, c in capacity[a].items():
-                if c > 1e-9 and came[b] == -2:
-                    came[b] = a
-                    if left[b] < -1e-9:
-                        end = b
-                        break
-                    queue.append(b)
-        if end < 0:
-            return [x != -2 for x in came]
-        flow, path, b = -left[end], [], end
-        while came[b] >= 0:
-            a = came[b]
-            flow = min(flow, capacity[a][b])
-            path.append((a, b))
-            b = a
-        flow = min(flow, left[b])
-        left[b] -= flow
-        left[end] += flow
-        for a, b in path:
-            capacity[a][b] -= flow
-            capacity[b][a] += flow
+        sources = [k for k in range(n) if left[k] > LEAST]
+        level, reached = _levels(sources, left, arcs, head, room)
+        if not reached:
+            return [k >= 0 for k in level]
+        tried = [0] * n
+        for source in sources:
+            while left[source] > LEAST:
+                path = _path(source, level, tried, left, arcs, head, room)
+                if path is None:
+                    break
+                sink = head[path[-1]]
+                flow = min(left[source], -left[sink], min(room[e] for e in path))
+                left[source] -= flow
+                left[sink] += flow
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+
+
+def _levels(sources: list[int], left, arcs, head, room) -> tuple[list[int], bool]:
+    """Distances from the sources, up to that of the first sink, and whether there is one; -1 for what is beyond."""
+    level = [-1] * len(left)
+    for k in sources:
+        level[k] = 0
+    layer, depth, reached = sources, 0, False
+    while layer and not reached:
+        depth, after = depth + 1, []
+        for a in layer:
+            for e in arcs[a]:
+                b = head[e]
+                if level[b] < 0 and room[e] > LEAST:
+                    level[b] = depth
+                    after.append(b)
+                    reached = reached or left[b] < -LEAST
+        layer = after
+    return level, reached
+
+
+def _path(source: int, level, tried, left, arcs, head, room) -> list[int] | None:
+    """Arcs from the source to a sink, each to the next level; ``tried`` counts the arcs of a node that lead nowhere."""
+    path: list[int] = []
+    a = source
+    while left[a] >= -LEAST:
+        for k in range(tried[a], len(arcs[a])):
+            e = arcs[a][k]
+            if room[e] > LEAST and level[head[e]] == level[a] + 1:
+                tried[a] = k
+                path.append(e)
+                a = head[e]
+                break
+        else:
+            tried[a] = len(arcs[a])
+            if not path:
+                return None
+            a = head[path.pop() ^ 1]
+            tried[a] += 1
+    return path
 
 
 def main_text(page: str, weights: np.ndarray) -> str:
