@@ -17,6 +17,7 @@ rows; further columns are left alone.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -213,11 +214,12 @@ def notices(bigrams: np.ndarray, templates: list[Template]) -> list[tuple[str, f
         for score, begin, end in passages(bigrams, t):
             sizes = t.size + len(np.unique(bigrams[begin:end]))
             found.append((sizes - round(1.5 * score * sizes), -score, -t.size, begin, end, t.name))
-    kept: list[tuple[str, float, int, int]] = []
+    kept: list[tuple[int, int, str, float]] = []  # apart from each other, by their first words
     for _, score, _, begin, end, name in sorted(found):
-        if all(end + 1 <= a or b <= begin for _, _, a, b in kept):
-            kept.append((name, -score, begin, end + 1))
-    return sorted(kept, key=lambda x: x[2])
+        at = bisect.bisect_left(kept, (begin,))
+        if (at == 0 or kept[at - 1][1] <= begin) and (at == len(kept) or end + 1 <= kept[at][0]):
+            kept.insert(at, (begin, end + 1, name, -score))
+    return [(name, score, begin, end) for begin, end, name, score in kept]
 
 
 FOUND = "doc_id long, licence string, dice double, first_word long, end_word long"
