@@ -4,8 +4,8 @@ Documents are reduced to (row, doc_id, digest of the normalised text) and staged
 block of rows and merged in a tree of ordinary aggregations, give at most ``counters`` digests that may be frequent;
 every digest on more than 1 / (counters + 1) of the rows is among them. Their exact sizes and winners are counted over
 all rows with map-side aggregation, and, being at most ``counters`` rows, broadcast: copies of frequent texts are
-settled where they lie and never shuffled. The other digests, each on a bounded share of the rows, are grouped by an
-ordinary shuffle.
+settled where they lie and never shuffled. The winners and sizes of the other digests, each on a bounded share of the
+rows, are aggregated as well, staged, and joined back by an ordinary shuffle, which adaptive execution can split.
 
 Defined results: null counts as the empty text; the row with the largest doc_id stays, a null doc_id being the
 smallest; of repeated rows with the same doc_id and text exactly one stays; an empty table gives no rows; further
@@ -49,16 +49,13 @@ def frequent_candidates(rows: DataFrame, staging: Staging, counters: int = COUNT
     counts = rows.groupBy(F.xxhash64(block).alias("block"), "digest").agg(F.count("*").alias("n"))
     level = 0
     summary = staging.write(_summary(counts, counters), f"summary{level}")
-    # Number the blocks, so that a merge takes MERGE of them; every round divides their number by that.
+    # Blocks are hashes, so their remainders deal them evenly; every merge divides their number by MERGE.
     blocks = summary.select("block").distinct().count()
-    order = Window.orderBy("block")
-    names = summary.select("block").distinct().withColumn("no", F.row_number().over(order) - 1)
-    summary = summary.join(names, "block").select(F.col("no").cast("bigint").alias("block"), "digest", "n")
     while blocks > 1:
         level += 1
-        merged = summary.groupBy(F.expr(f"block div {MERGE}").alias("block"), "digest").agg(F.sum("n").alias("n"))
-        summary = staging.write(_summary(merged, counters), f"summary{level}")
         blocks = -(-blocks // MERGE)
+        merged = summary.groupBy(F.expr(f"pmod(block, {blocks}L)").alias("block"), "digest").agg(F.sum("n").alias("n"))
+        summary = staging.write(_summary(merged, counters), f"summary{level}")
     return summary.select("digest").distinct()
 
 
@@ -73,19 +70,19 @@ def mark_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
         "winners",
     )
     frequent = F.broadcast(winners)  # verified, at most `counters` rows
-    settled = rows.join(frequent, "digest").select(
+    settled = _decided(rows.join(frequent, "digest"))
+    rare = rows.join(frequent.select("digest"), "digest", "left_anti")
+    sizes = staging.write(rare.groupBy("digest").agg(best, F.count("*").alias("group_size")), "sizes")
+    others = _decided(rare.join(sizes, "digest"))
+    return settled.unionByName(others).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+def _decided(rows: DataFrame) -> DataFrame:
+    """Each row beside the best one and the size of its group."""
+    return rows.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"),
         "digest",
     )
-    group = Window.partitionBy("digest")
-    others = rows.join(frequent.select("digest"), "digest", "left_anti").select(
-        "doc_id",
-        F.max("doc_id").over(group).alias("keep_id"),
-        F.count("*").over(group).alias("group_size"),
-        (F.col("row") == F.max(F.struct("doc_id", "row")).over(group)["row"]).alias("kept"),
-        "digest",
-    )
-    return settled.unionByName(others).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
