@@ -192,6 +192,42 @@ def test_identifiers_in_groups_and_after_numbers_are_found_whole(spark):
     assert got[103]["spans"] == ""
 
 
+def test_secrets_are_seeds_and_lead_to_those_that_look_like_none(spark):
+    values = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(8)]
+    rows = [(k, f"é{k} 😀 token = \"{v}\" w{k}") for k, v in enumerate(values)]
+    short = (100, 'u token = "hun7er2"### 12 x')
+    joined = (101, "set API_KEY='" + values[0][:30] + "', then")
+    prefixed = (102, "use AKIA" + "Q7" * 8 + " here")
+    clean = [(200, f"commit {values[1][::-1]} is merged"), (201, "token = abc"), (202, "see https://a.b/token=1 or id=5"), (203, None)]
+    got = {r["doc_id"]: r for r in personal_data.personal_data(docs(spark, [*rows, short, joined, prefixed, *clean])).collect()}
+
+    def span(text, value):
+        return f"secret:{text.index(value)}:{text.index(value) + len(value)}"
+
+    for (d, text), value in zip(rows, values, strict=True):
+        assert (got[d]["spans"], got[d]["n_found"], got[d]["n_spans"]) == (span(text, value), 1, 1)
+        assert got[d]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[100]["spans"] == span(short[1], "hun7er2")
+    assert got[101]["spans"] == span(joined[1], values[0][:30])
+    assert got[102]["spans"] == span(prefixed[1], "AKIA" + "Q7" * 8)
+    assert [got[d]["spans"] for d, _ in clean] == [""] * 4
+
+
+def test_secrets_of_the_given_documents_are_found_and_others_left_alone(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in personal_data.personal_data(given).collect()}
+    planted = {}
+    for row in given.select("doc_id", "text").collect():
+        planted[row["doc_id"]] = [m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', row["text"] or "")]
+    assert sum(map(len, planted.values())) > 0
+    caught = 0
+    for d, spans in planted.items():
+        listed = got[d]["spans"].split(",")
+        caught += sum(f"secret:{a}:{b}" in listed for a, b in spans)
+        assert spans or "secret" not in got[d]["spans"]
+    assert caught >= 0.9 * sum(map(len, planted.values()))
+
+
 def test_words_around_a_match_are_those_of_the_text(spark):
     texts = ["a 1 b@c.de 22 4111 1111 1111 1111, 3 +1 (234) 567-8901 x", "7 " * 60, "DE89 3704 0044 05 is 2021-01-02 x", "x1y 2 3"]
     found = personal_data._located(docs(spark, list(enumerate(texts))), Staging(spark, "around")).collect()

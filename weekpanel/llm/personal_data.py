@@ -1,14 +1,17 @@
 """Operator 8: personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the spans that the fixed patterns find: e-mail and IP addresses, card and phone numbers. Every seed, and every
-other identifier-like token (one with a digit or an ``@``), is an instance with lexical patterns: the two words before
-it, the word before it with its shape, and the words on both sides, other identifiers included. Digit tokens with one
+Seeds are the spans that the fixed patterns find: e-mail and IP addresses, card and phone numbers. A fifth kind has
+seeds among the tokens: secrets, which are long values of letters and digits that a name such as ``token`` or
+``password`` is given, and credentials with a published prefix. Every seed, and every other identifier-like token (one
+with a digit or an ``@``, without a name and a ``=`` or ``:`` before it), is an instance with lexical patterns: the two
+words before it, the word before it with its shape, and the words on both sides, other identifiers included. Digit tokens with one
 blank between them are such a token together too, beside each of them alone; where both are found, the longer span is
 taken. Patterns and instances form a graph. In each round a
 pattern's confidence in a kind is the score of its instances over their number and one, and an instance that is no
 seed scores 1 - the product of (1 - confidence) over its patterns, as long as a pattern is supported by ``SUPPORT``
 instances and sure to ``USEFUL``. In the end an occurrence is personal data when its instance scores ``ACCEPT`` and a
-pattern of this occurrence is sure to ``SURE``. Base spans always stay; what overlaps one is no candidate.
+pattern of this occurrence is sure to ``SURE``. Base spans always stay; what overlaps one is no candidate. Seeds of
+secrets are spans that the method adds, as are the secrets found beside them, such as short ones after the same words.
 
 The patterns run over whole texts once, and only matches and the few words around them are kept. Counts over patterns
 and instances are aggregated on the map side; joins have staged tables on both sides, so that a hot pattern can be split.
@@ -38,6 +41,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+SECRET = "secret"
 TOKEN = "token"
 #: A token with a digit or an @, from its first to its last character.
 TOKEN_PATTERN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
@@ -48,6 +52,15 @@ _GROUP_END = r"""(?=[\])>"'.,;:!?]*+(?:[\x20\x09-\x0D]|\z))"""
 RUN_PATTERN = (
     r"""(?<![^\x20\x09-\x0D])["'(<\[+]*+(?:[A-Za-z]{2})?+""" + _GROUP + rf"(?:\x20[+(]*+{_GROUP}{_GROUP_END})++"
 )
+#: What stands before a token's value: quotes and brackets, and a name that is given the value.
+_OPEN = r"""["'(<\[]*+"""
+NAME_PATTERN = rf"""^{_OPEN}([A-Za-z_][A-Za-z_.-]*+["']?[:=](?!/){_OPEN})"""
+LEAD_PATTERN = rf"""^{_OPEN}(?:[A-Za-z_][A-Za-z_.-]*+["']?[:=](?!/){_OPEN})?+"""
+#: Fixed values. Names that are given secrets, what a secret looks like where it is given one, and published prefixes.
+SECRET_NAMES = r"(?:token|secret|password|passwd|passphrase|credentials?|(?:api|access|private|auth)[_-]?key)"
+SECRET_BEFORE = rf"""(?i){SECRET_NAMES}["']?\s*[:=]\s*{_OPEN}$"""
+SECRET_FORM = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}$"
+SECRET_PREFIXES = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})$"
 #: Characters on each side of a match that are kept to take the neighbouring words from.
 AROUND = 64
 #: So many matches on each side make up those characters: a match and what parts it from the next are two at least.
@@ -149,12 +162,17 @@ def _located(docs: DataFrame, staging: Staging) -> DataFrame:
 
 
 def _occurrences(located: DataFrame, base: DataFrame, staging: Staging) -> DataFrame:
-    """Staged: base spans and other tokens with their instance and patterns; kind is null for the others."""
-    trimmed = F.regexp_extract("value", r"""^["'(<\[]*+(.*?)[\])>"'.,;:!?]*$""", 1)
-    lead = F.char_length(F.regexp_extract("value", r"""^["'(<\[]*+""", 0))
+    """Staged: base spans and other tokens with their instance and patterns; kind is null for those that are no seeds."""
+    opening = F.regexp_extract("value", LEAD_PATTERN, 0)
+    lead, quote = F.char_length(opening), F.regexp_extract(opening, "[\"']$", 0)
+    trimmed = F.regexp_extract("value", rf"""{LEAD_PATTERN}(.*?)[\])>"'.,;:!?]*$""", 1)
+    # A value that begins with a quote ends with it.
+    trimmed = F.when(quote != "", F.split_part(trimmed, quote, F.lit(1))).otherwise(trimmed)
+    name = F.regexp_extract("value", NAME_PATTERN, 1)
     tokens = located.filter(F.col("kind").isin(TOKEN, RUN)).select(
-        "row", (F.col("start") + lead).alias("start"), trimmed.alias("value"), "before", "after"
-    )
+        "row", (F.col("start") + lead).alias("start"), trimmed.alias("value"),
+        F.concat("before", name).alias("before"), "after",
+    )
     tokens = tokens.withColumn("end", F.col("start") + F.char_length("value")).filter("value RLIKE '[0-9@]'")
     tokens = staging.write(tokens, "tokens")
     spans = base.select("row", F.col("start").alias("_start"), F.col("end").alias("_end"))
@@ -162,7 +180,9 @@ def _occurrences(located: DataFrame, base: DataFrame, staging: Staging) -> DataF
         spans, (tokens["row"] == spans["row"]) & (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end")),
         "left_anti",
     )
-    both = apart.withColumn("kind", F.lit(None).cast("string")).unionByName(
+    named = F.col("before").rlike(SECRET_BEFORE) & F.col("value").rlike(SECRET_FORM)
+    secret = F.when(named | F.col("value").rlike(SECRET_PREFIXES), F.lit(SECRET))
+    both = apart.withColumn("kind", secret).unionByName(
         base.select("row", "start", "value", "before", "after", "end", "kind")
     )
     before = F.split(F.lower(F.trim(F.translate("before", "\t\n\r\x0b\x0c", "     "))), " +")
@@ -207,7 +227,7 @@ def _confidences(occurrences: DataFrame, staging: Staging, rounds: int) -> tuple
 
 
 def _discovered(occurrences: DataFrame, staging: Staging, rounds: int) -> DataFrame:
-    """row, start, end, kind of occurrences that high-confidence patterns take for personal data."""
+    """row, start, end, kind of seeds of secrets and of occurrences that high-confidence patterns take for personal data."""
     patterns, scores = _confidences(occurrences, staging, rounds)
     sure = staging.write(patterns.filter(F.col("confidence") >= SURE), "sure")
     accepted = staging.write(scores.filter(F.col("score") >= ACCEPT), "accepted")
@@ -215,6 +235,7 @@ def _discovered(occurrences: DataFrame, staging: Staging, rounds: int) -> DataFr
     told = open_.join(sure, "pattern").join(accepted, ["instance", "kind"])
     best = F.max(F.struct("confidence", "score", "kind"))["kind"]
     found = told.groupBy("row", "start", "end").agg(best.alias("kind"))
+    found = found.unionByName(occurrences.filter(F.col("kind") == SECRET).select("row", "start", "end", "kind"))
     # A run and its tokens lie within each other or apart.
     earlier = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     within = F.coalesce(F.max("end").over(earlier) >= F.col("end"), F.lit(False))
@@ -225,7 +246,8 @@ def _discovered(occurrences: DataFrame, staging: Staging, rounds: int) -> DataFr
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and n_found (spans beyond the base) per document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found (spans beyond the base) and n_spans (all of them) per
+    document."""
     staging = Staging(docs.sparkSession, "personal-data")
     located = _located(docs, staging)
     base = located.filter(F.col("kind").isin(*KINDS)).filter(_valid(F.col("kind"), F.col("value")))
@@ -233,7 +255,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     occurrences = _occurrences(located, base, staging)
     found = _discovered(occurrences, staging, rounds)
 
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    order = F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), F.col("kind"))
 
     def span(is_base: bool) -> Column:
         return F.struct(order.alias("order"), "start", "end", "kind", F.lit(is_base).alias("base"))
@@ -259,6 +281,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.sha2(text(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_found"),
+        F.size("spans").cast("bigint").alias("n_spans"),
     )
 
 
