@@ -201,6 +201,32 @@ def test_quality_is_learnt_and_decides(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in got if r["kept"])
 
 
+def test_words_tell_documents_that_are_written_alike(spark):
+    rnd = random.Random(7)
+    ours = ["".join(rnd.choices("bcdfgaeiou", k=6)) for _ in range(30)]
+    rows, labels = [], []
+    for k in range(400):
+        text = " ".join(w if k % 2 else w[::-1] for w in rnd.choices(ours, k=40))
+        rows.append((k, text))
+        if k % 4 < 2:
+            labels.append((k, k % 2, 0))
+    frame = docs(spark, rows)
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [r for r in quality.quality_scores(frame, marked).collect() if r["doc_id"] % 4 > 1]
+    assert sum((r["text_score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got) >= 0.95 * len(got)
+    assert sum(r["kept"] == (r["doc_id"] % 2 == 1) for r in got) >= 0.95 * len(got)
+
+
+def test_frequent_sources_have_a_place_of_their_own(spark):
+    many = [(f"s{k:02d}",) for k in range(quality.PLACES + 4)] + [("s35",), (None,), (None,)]
+    frame = spark.createDataFrame(many, "source string").selectExpr("source", "'en' AS lang", "1L AS n_chars")
+    frequent = quality.frequent_sources(frame)
+    assert frequent[:3] == ["\0", "s35", "s00"] and len(frequent) == quality.PLACES
+    places = {r["source"]: r["s"] for r in frame.select("source", *quality.meta_columns(frequent)).collect()}
+    assert [places[None], places["s35"], places["s00"]] == [0, 1, 2]
+    assert all(p >= quality.PLACES for source, p in places.items() if (source or "\0") not in frequent)
+
+
 def test_without_labels_of_both_kinds_every_document_is_kept(spark):
     frame, labels = labelled_corpus(spark)
     got = quality.quality_scores(frame, labels.filter("quality = 1")).collect()

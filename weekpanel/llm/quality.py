@@ -1,7 +1,9 @@
 """Operator 3: quality by co-training two classifiers, one on text content and one on page metadata.
 
-The text view describes how a document is written (:mod:`weekpanel.llm.style`), the metadata view its source,
-language and declared length. Both are logistic regressions. They begin with the labelled documents; in each round a
+The text view describes how a document is written (:mod:`weekpanel.llm.style`) and which words it holds (their shares, by
+a hash, in ``CONTENT`` places), the metadata view its source, language and declared length. The ``PLACES`` most frequent
+sources of all documents (ties: the smaller name) have a place of their own, the others share ``SOURCES`` places by a hash.
+Both are logistic regressions. They begin with the labelled documents; in each round a
 view takes over the unlabelled documents of which the other one, calibrated, is sure, as pseudo-labels with at most
 the weight of the real ones of that class. At the end the calibrated views are combined, and all documents scored.
 
@@ -29,22 +31,34 @@ from pyspark.sql import functions as F
 
 from weekpanel.llm.shared import Staging, fresh
 from weekpanel.llm.style import NAMES, style
-from weekpanel.llm.tokens import slices
+from weekpanel.llm.tokens import Words, slices
 
 ROUNDS = 3
 STEPS = 4
 SURE = 0.98
 THRESHOLD = 0.5
-SOURCES, LANGS, LENGTHS = 32, 8, 8
+CONTENT = 64
+PLACES, SOURCES, LANGS, LENGTHS = 32, 32, 8, 8
 TEXT, META = "text", "meta"
-WIDTH = {TEXT: len(NAMES) + 1, META: SOURCES + LANGS + LENGTHS + 2}
+NUMBERS = len(NAMES) + CONTENT
+WIDTH = {TEXT: NUMBERS + 1, META: PLACES + SOURCES + LANGS + LENGTHS + 2}
 BINS, SPAN = 64, 8.0
 
 
-def meta_columns() -> list:
-    """Metadata as three numbers: a bucket of the source, one of the language, and the logarithm of the length."""
+def frequent_sources(docs: DataFrame) -> list[str]:
+    """The ``PLACES`` most frequent sources; null is one of its own."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source")
+    counts = docs.select(source).groupBy("source").agg(F.count("*").alias("n"))
+    return [r["source"] for r in counts.orderBy(F.desc("n"), "source").limit(PLACES).collect()]
+
+
+def meta_columns(frequent: list[str]) -> list:
+    """Metadata as three numbers: a place of the source, one of the language, and the logarithm of the length."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
+    own = F.array_position(F.array(*map(F.lit, frequent)).cast("array<string>"), source)
+    shared = F.lit(PLACES) + F.pmod(F.xxhash64(source), F.lit(SOURCES))
     return [
-        F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0"))), F.lit(SOURCES)).cast("int").alias("s"),
+        F.when(own > 0, own - 1).otherwise(shared).cast("int").alias("s"),
         F.pmod(F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit("\0"))), F.lit(LANGS)).cast("int").alias("l"),
         F.coalesce(F.log1p(F.greatest(F.col("n_chars").cast("double"), F.lit(0.0))), F.lit(0.0)).alias("c"),
     ]
@@ -54,12 +68,27 @@ def meta_view(s: np.ndarray, l: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.zeros((len(s), WIDTH[META]))
     rows = np.arange(len(s))
     out[rows, s] = 1
-    out[rows, SOURCES + l] = 1
-    out[rows, SOURCES + LANGS + np.minimum(c.astype(np.int64) // 2, LENGTHS - 1)] = 1
+    out[rows, PLACES + SOURCES + l] = 1
+    out[rows, PLACES + SOURCES + LANGS + np.minimum(c.astype(np.int64) // 2, LENGTHS - 1)] = 1
     out[:, -2], out[:, -1] = c / 10, 1
     return out
 
 
+def content(words: Words) -> np.ndarray:
+    """The words of each text by a hash: square roots of their shares in ``CONTENT`` places; zeros without words."""
+    n = np.diff(words.first)
+    of = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(of * CONTENT + (words.hashes % np.uint64(CONTENT)).astype(np.int64), minlength=len(n) * CONTENT)
+    return np.sqrt(counts.reshape(len(n), CONTENT) / np.maximum(n, 1)[:, None])
+
+
+def text_numbers(texts: list[bytes]) -> np.ndarray:
+    if not texts:
+        return np.zeros((0, NUMBERS), np.float32)
+    words = Words(texts)
+    return np.concatenate([style(texts, words), content(words)], axis=1).astype(np.float32)
+
+
 def text_view(described: np.ndarray) -> np.ndarray:
     return np.concatenate([described, np.ones((len(described), 1))], axis=1)
 
@@ -100,20 +129,20 @@ DESCRIBED = "doc_id long, s int, l int, c double, x binary"
 
 def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
-        x = style(texts).astype(np.float32)
+        x = text_numbers(texts)
         columns = [batch.column(c) for c in ("doc_id", "s", "l", "c")]
         columns.append(pa.array([row.tobytes() for row in x], pa.binary()))
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s", "l", "c", "x"])
 
 
-def described(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *meta_columns(), "text").mapInArrow(
+def described(docs: DataFrame, frequent: list[str]) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *meta_columns(frequent), "text").mapInArrow(
         _describe, DESCRIBED
     )
 
 
 def _views(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, len(NAMES))
+    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, NUMBERS)
     s, l, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in "slc")
     return {TEXT: text_view(x.astype(np.float64)), META: meta_view(s, l, c)}
 
@@ -265,9 +294,9 @@ def _calibrated(rows: DataFrame, weights: dict) -> tuple[Model, dict[int, int]]:
     return model, labelled
 
 
-def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> Model:
     staging = Staging(docs.sparkSession, "quality")
-    model = fit_described(staging.write(described(docs), "described"), labels, staging, rounds)
+    model = fit_described(staging.write(described(docs, frequent), "described"), labels, staging, rounds)
     staging.close()
     return model
 
@@ -310,7 +339,7 @@ def _scores(batches: Iterable[pa.RecordBatch], model: Model, threshold: float) -
 def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_score, meta_score (the calibrated views), quality_score and kept of every document."""
     staging = Staging(docs.sparkSession, "quality")
-    rows = staging.write(described(docs), "described")
+    rows = staging.write(described(docs, frequent_sources(docs)), "described")
     model = fit_described(rows, labels, staging, rounds)
     staging.drop("labels", "fit")
     kinds = "doc_id long, text_score double, meta_score double, quality_score double, kept boolean"
@@ -320,13 +349,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, thr
 def _good(batches: Iterable[pa.RecordBatch], model: Model, threshold: float, meta: list[str]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
         s, l, c = (batch.column(name).to_numpy(zero_copy_only=False) for name in meta)
-        score = model.score({TEXT: text_view(style(texts).astype(np.float32).astype(np.float64)), META: meta_view(s, l, c)})
+        score = model.score({TEXT: text_view(text_numbers(texts).astype(np.float64)), META: meta_view(s, l, c)})
         yield batch.filter(pa.array(score >= threshold)).drop_columns(meta)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, with all their columns: scored where they are read, not shuffled."""
-    model = fit(docs, labels, rounds)
+    frequent = frequent_sources(docs)
+    model = fit(docs, labels, frequent, rounds)
     names = fresh(docs.columns, "_source", "_lang", "_length")
-    meta = [c.alias(name) for c, name in zip(meta_columns(), names, strict=True)]
+    meta = [c.alias(name) for c, name in zip(meta_columns(frequent), names, strict=True)]
     return docs.select("*", *meta).mapInArrow(lambda it: _good(it, model, threshold, names), docs.schema)
