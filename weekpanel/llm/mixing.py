@@ -96,10 +96,11 @@ def features(
     n = np.maximum(np.diff(words.first), 1)
     of = np.repeat(np.arange(len(texts)), np.diff(words.first))
     out = [style(texts, unplain)]
+    both = keys(words)
     for hashes, weight in known:
         value = np.zeros(len(of))
         if len(hashes):
-            for key in keys(words):
+            for key in both:
                 at = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
                 value = np.maximum(value, np.where(hashes[at] == key, weight[at], 0))
         hits = np.flatnonzero(value > 0)
