@@ -23,6 +23,8 @@ for _mark, _kind in ((b"#$%&*@^~<>={}[]\\_+", _SYMBOL), (b"!", _EXCLAIM), (b"|",
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of the values from first[i] to first[i + 1]."""
+    if values.dtype == bool:
+        return np.diff(np.searchsorted(np.flatnonzero(values), first)).astype(np.float64)
     upto = np.concatenate(([0], np.cumsum(values, dtype=np.float64)))
     return upto[first[1:]] - upto[first[:-1]]
 
