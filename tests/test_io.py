@@ -144,6 +144,25 @@ def test_staged_tables_lie_in_the_shared_folder(spark):
     assert all(shared in f for f in staged.inputFiles())
 
 
+def test_a_file_folder_that_a_cluster_shares_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://head:7077")
+    staged = session.stage(spark.range(5), "probe")
+    assert staged.count() == 5
+    assert all(spark.conf.get("spark.checkpoint.dir") in f for f in staged.inputFiles())
+
+
+def test_a_folder_that_loses_rows_is_refused(spark, monkeypatch, tmp_path):
+    session.require_shared(spark, f"file://{tmp_path}/shared")
+    (tmp_path / "own").write_text("no folder", encoding="utf-8")
+    with pytest.raises(ValueError, match="own"):
+        session.require_shared(spark, f"file://{tmp_path}/own")
+    frame = type(spark.range(1))
+    count = frame.count
+    monkeypatch.setattr(frame, "count", lambda df: count(df.limit(1)))  # what most tasks wrote is not seen
+    with pytest.raises(ValueError, match="own"):
+        session.require_shared(spark, f"file://{tmp_path}/shared")
+
+
 def test_shuffle_sizing():
     assert session.shuffle_partitions(0) == 8
     assert session.shuffle_partitions(10 * 2**40) == 10_240

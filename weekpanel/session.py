@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 MOST_REDUCERS = 20_000
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SHARED: set[tuple[str, str]] = set()
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -80,8 +81,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 
     A session on one machine may go without: it gets a temporary folder of its own. On a cluster the setting is
-    required, and a folder of the machines' own file systems is refused: every executor would write to its own disk,
-    and readers would see a part without an error.
+    required. There a folder with a ``file:`` path may be a mount that all machines share, or one of each machine's own,
+    in which every executor would write to its own disk and readers would see a part without an error. The path does not
+    tell, so a small table is written there once per application, and the folder is refused if rows are missing.
     """
     context = spark.sparkContext
     one_machine = context.master.startswith("local")  # local-cluster, for tests, is one machine as well
@@ -90,9 +92,26 @@ def shared_folder(spark: SparkSession) -> str:
         if not one_machine:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="weekpanel-"))
-    if not one_machine and file_system(spark, folder) == "file":
-        raise ValueError(f"spark.checkpoint.dir is {folder}, a folder of each machine's own")
-    return folder.rstrip("/")
+    folder = folder.rstrip("/")
+    if not one_machine and (context.applicationId, folder) not in _SHARED and file_system(spark, folder) == "file":
+        require_shared(spark, folder)
+        _SHARED.add((context.applicationId, folder))
+    return folder
+
+
+def require_shared(spark: SparkSession, folder: str) -> None:
+    """Raise an error unless all rows that tasks write to ``folder`` are there for the driver and for other tasks."""
+    context = spark.sparkContext
+    tasks = 2 * context.defaultParallelism
+    path = f"{folder}/weekpanel-{context.applicationId}/shared-{uuid.uuid4().hex}"
+    own = f"spark.checkpoint.dir is {folder}, a folder of each machine's own"
+    try:
+        spark.range(0, tasks, 1, tasks).write.parquet(path)
+        rows = spark.read.schema("id long").parquet(path).count()
+    except Exception as error:
+        raise ValueError(own) from error
+    if rows != tasks:
+        raise ValueError(own)
 
 
 def file_system(spark: SparkSession, path: str) -> str:
