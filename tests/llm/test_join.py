@@ -140,3 +140,29 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 199)]
     got = dict(components(spark.createDataFrame(links, "a long, b long"), Staging(spark, "t"), "c").collect())
     assert got == {**{k: 1 for k in range(1, 41)}, **{k: 100 for k in range(100, 130)}, 199: 199, 200: 199}
+
+
+def test_a_pair_that_shares_many_blocks_is_given_few_times(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(5000)]
+    base = rnd.choices(words, k=400)
+    rows = []
+    for k in range(24):  # pairs share some two thirds of their shingles: many blocks, and mostly no link
+        copy = list(base)
+        for place in rnd.sample(range(400), 8):
+            copy[place] = rnd.choice(words)
+        rows.append((k, " ".join(copy)))
+    given, run = [], near_join._in_sorted_blocks
+
+    def spread(members, keys, pairs):
+        if pairs is near_join._cross_pairs:
+            given.append(members.repartition(64, *keys).sortWithinPartitions(*keys, "class").mapInArrow(pairs, "a long, b long"))
+            given.append(given[0].distinct().count())
+            given[0] = given[0].count()
+        return run(members, keys, pairs)
+
+    monkeypatch.setattr(near_join, "_in_sorted_blocks", spread)
+    got = near_join.near_groups(docs(spark, rows)).select("n_shingles", "component_id").collect()
+    want = groups(rows)
+    assert Counter(Counter(r[1] for r in got).values()) == Counter(Counter(c for _, c in want).values())
+    assert given[1] > 100 and given[0] <= 3 * given[1], given

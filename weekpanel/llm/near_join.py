@@ -28,6 +28,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +48,10 @@ CHECKS = 128
 BROADCAST_ROWS = 1_000_000
 SEEDS = 3
 TURNS = 1
+#: Of the mixed blocks of a class, in the order of their shingles, a member of one knows so many that come before it.
+BEHIND = 32
 #: What a member of a block carries besides its bitmap.
-MEMBER = ("class", "n", "component", "weight")
+MEMBER = ("class", "n", "component", "ahead", "before")
 
 
 # -- sets and the shingles by which they are found --------------------------------------------------------------------
@@ -174,6 +177,11 @@ def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
             width = trees.BITS // 8
             data = np.frombuffer(column.buffers()[2], np.uint8, count=width * batch.num_rows, offset=column.offset * width)
             out[name] = data.reshape(batch.num_rows, width)
+        elif name == "before":  # at most BEHIND in a row; the others are filled with the block itself
+            lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            shingles = batch.column("shingle").to_numpy(zero_copy_only=False)
+            out[name] = np.repeat(shingles[:, None], BEHIND, axis=1)
+            out[name][np.arange(BEHIND) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
         else:
             out[name] = column.to_numpy(zero_copy_only=False)
     return out
@@ -206,59 +214,104 @@ def _blocks(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[dict
         yield block()
 
 
-def _counted(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b, weight = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else [()] * 3))
-    ordered = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-    both, which = np.unique(ordered, axis=0, return_inverse=True)
-    n = np.bincount(which.ravel(), weights=weight, minlength=len(both)).astype(np.int64)
-    columns = (np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), n)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "blocks"])
+def _unique(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else [()] * 2))
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["a", "b"])
 
 
-def _gathered(found: Iterable[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-    """(a, b, blocks): pairs and in how many blocks they were found."""
+def _gathered(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(a, b): the pairs, once for some 100,000 of them."""
     held, rows = [], 0
-    for a, b, weight in found:
-        held.append((a, b, np.full(len(a), weight)))
+    for a, b in found:
+        held.append((a, b))
         rows += len(a)
         if rows > 100_000:
-            yield _counted(held)
+            yield _unique(held)
             held, rows = [], 0
-    yield _counted(held)
+    yield _unique(held)
 
 
 def _nearest_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for block in _blocks(batches, ["shingle", "chunk"]):
             if len(block["class"]) == 1:
                 continue
             classes, once = np.unique(block["class"], return_index=True)
             nodes = trees.members(block["bits"][once], block["n"][once], block["component"][once])
             pairs = trees.nearest(nodes)
-            yield classes[pairs[:, 0]], classes[pairs[:, 1]], 1
+            yield classes[pairs[:, 0]], classes[pairs[:, 1]]
 
     return _gathered(found())
 
 
+def _enough(n_a: np.ndarray, n_b: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Can sets of these sizes be a link if they meet in so many blocks?
+
+    The common elements of a pair's sets that are among the finders of the one whose finders end first are among
+    those of the other, too. So they share no more than the number of their blocks and what is left of that set.
+    """
+    rest = np.maximum(n_a - (n_a // 4 + 1), n_b - (n_b // 4 + 1))
+    return trees.OF * (blocks + rest) >= trees.PART * (n_a + n_b)
+
+
+def _met(before: np.ndarray, shingle: int, i: np.ndarray, j: np.ndarray, at_once: int = 2**25) -> np.ndarray:
+    """For pairs of members of a block: do both know one and the same block that comes before it?"""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    known, which = np.unique(before[used], return_inverse=True)
+    table = np.zeros((len(used), len(known)), dtype=bool)
+    table[np.arange(len(used))[:, None], which.reshape(len(used), -1)] = True
+    table = np.packbits(table[:, (known != shingle) & (table.sum(axis=0) > 1)], axis=1)
+    out, step = np.zeros(len(i), dtype=bool), max(1, at_once // max(1, table.shape[1]))
+    for k in range(0, len(i), step):
+        pairs = slice(k, k + step)
+        out[pairs] = (table[at[: len(i)][pairs]] & table[at[len(i) :][pairs]]).any(axis=1)
+    return out
+
+
 def _cross_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Pairs of a block that may be links, unless they are known to meet in an earlier one.
+
+    The first block in which a pair meets gives it. There, all the blocks that they share lie ahead.
+    """
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for block in _blocks(batches, ["shingle", "one", "two"]):
             sides = []
             for chunk in dict.fromkeys((block["one"][0], block["two"][0])):
                 here = np.flatnonzero(block["chunk"] == chunk)
                 here = here[np.lexsort((block["n"][here], block["component"][here]))]
-                nodes = trees.members(block["bits"][here], block["n"][here], block["component"][here])
-                sides.append((block["class"][here], nodes))
+                sides.append((here, trees.members(block["bits"][here], block["n"][here], block["component"][here])))
             pairs = trees.dual_traversal(sides[0][1], sides[1][1] if len(sides) > 1 else None)
-            yield sides[0][0][pairs[:, 0]], sides[-1][0][pairs[:, 1]], int(block["weight"][0])
+            i, j = sides[0][0][pairs[:, 0]], sides[-1][0][pairs[:, 1]]
+            n, ahead = block["n"], block["ahead"]
+            may = _enough(n[i], n[j], np.minimum(ahead[i], ahead[j]))
+            i, j = i[may], j[may]
+            if len(i):
+                new = ~_met(block["before"], block["shingle"][0], i, j)
+                yield block["class"][i[new]], block["class"][j[new]]
 
     return _gathered(found())
 
 
+def _meet_enough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their classes' sizes and lists of blocks: those that meet in enough blocks to be a link."""
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+        names = ("shingles_a", "shingles_b", "weights_a")
+        lists = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in names]
+        blocks = np.zeros(batch.num_rows, np.int64)
+        for k in range(batch.num_rows):
+            x, y, weights = (values[offsets[k] : offsets[k + 1]] for offsets, values in lists)
+            _, common, _ = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            blocks[k] = weights[common].sum()
+        yield batch.select(["a", "b"]).filter(pa.array(_enough(n_a, n_b, blocks)))
+
+
 def _in_sorted_blocks(rows: DataFrame, keys: list[str], run) -> DataFrame:
-    """(a, b, blocks): the pairs that a function over blocks gives, and in how many blocks."""
-    pairs = rows.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(run, "a long, b long, blocks long")
-    return pairs.groupBy("a", "b").agg(F.sum("blocks").alias("blocks"))
+    """(a, b): the pairs that a function over blocks gives."""
+    pairs = rows.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(run, "a long, b long")
+    return pairs.distinct()
 
 
 def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -336,23 +389,30 @@ def _first_candidates(rows: DataFrame, maps: DataFrame, staging: Staging, turn:
 def _cross_candidates(mixed: DataFrame, maps: DataFrame, staging: Staging) -> DataFrame:
     """Staged (a, b): pairs of classes in different components that may be links, from all blocks that have any.
 
-    The common elements of a pair's sets that are among the finders of the one whose finders end first are among
-    those of the other, too. So they share no more than the number of their blocks and what is left of that set, and
-    a pair that meets in too few blocks is no link.
+    A pair that meets in too few blocks is no link. Where it is first met, its blocks are bounded by what lies ahead of
+    both members (``ahead``, weights of blocks from this one on); then they are counted, once for each pair. Blocks are
+    in the order of their shingles. A member knows the ``BEHIND`` blocks of its class before this one, so a pair that
+    shares many blocks is not found in all of them.
     """
+    # The largest shingle first, so that what lies ahead is a running sum.
+    blocks = Window.partitionBy("class").orderBy(F.desc("shingle"))
+    ahead = F.sum("weight").over(blocks.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.collect_list("shingle").over(blocks.rowsBetween(1, BEHIND))
+    mixed = staging.write(mixed.withColumns({"ahead": ahead, "before": before}), "placed")
     small = mixed.filter(F.col("k") <= MEMBERS)  # one chunk, which meets itself
     small = small.select("shingle", *(F.lit(0).cast("long").alias(c) for c in ("one", "two", "chunk")), *MEMBER)
     members = small.unionByName(_meetings(mixed.filter(F.col("k") > MEMBERS), staging))
     members = members.join(maps.select("class", "bits"), "class")
     pairs = staging.write(_in_sorted_blocks(members, ["shingle", "one", "two"], _cross_pairs), "cross-pairs")
     staging.drop("large-shares", "pools", "chunked", "chunks", "meetings")
-    sizes = staging.write(maps.select("class", "n"), "sizes")
-    pairs = pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("n_a")), "a")
-    pairs = pairs.join(sizes.select(F.col("class").alias("b"), F.col("n").alias("n_b")), "b")
-    rest = "greatest(n_a - (n_a div 4 + 1), n_b - (n_b div 4 + 1))"
-    pairs = pairs.filter(f"7 * (blocks + {rest}) >= 3 * (n_a + n_b)").select("a", "b")
-    pairs = staging.write(pairs, "cross")
-    staging.drop("cross-pairs", "sizes")
+    asked = staging.write(pairs.selectExpr("explode(array(a, b)) AS class").distinct(), "asked")
+    met = F.sort_array(F.collect_list(F.struct("shingle", "weight"))).alias("met")
+    lists = mixed.join(_small(asked), "class", "left_semi").groupBy("class", "n").agg(met)
+    lists = staging.write(lists.select("class", "n", "met.shingle", "met.weight"), "block-lists")
+    of_a = lists.toDF("a", "n_a", "shingles_a", "weights_a")
+    of_b = lists.drop("weight").toDF("b", "n_b", "shingles_b")
+    pairs = staging.write(pairs.join(of_a, "a").join(of_b, "b").mapInArrow(_meet_enough, "a long, b long"), "cross")
+    staging.drop("cross-pairs", "placed", "asked", "block-lists")
     return pairs
 
 
