@@ -10,8 +10,8 @@ equal sets are one class, told by a hash of the set, and classes are what is joi
 2. In a few of its blocks, leaves of signature trees (:mod:`weekpanel.llm.signature_tree`) give every class the one
    whose bitmap is most like its own. These links are checked on whole sets, and their components found.
 3. Blocks that still hold several components are cut into chunks of bounded size, nodes with a range of sizes and
-   components; pairs of chunks that may hold a link between components are walked by dual traversal. What survives is
-   checked on whole sets. So no link between different components is lost, and copies are never paired off.
+   components; pairs of chunks that may hold a link between components are walked by dual traversal. A pair is given at
+   the first block in which it meets, its blocks are counted, and what survives is checked on whole sets. So no link between different components is lost, and copies are never paired off.
 
 The order of shingles and the links tried first only steer the work; the result does not depend on them. No bucket, partner or
 candidate is capped.
