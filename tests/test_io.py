@@ -1,5 +1,6 @@
 import datetime as dt
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,45 @@ def test_a_folder_that_loses_rows_is_refused(spark, monkeypatch, tmp_path):
         session.require_shared(spark, f"file://{tmp_path}/shared")
 
 
+def _settings(monkeypatch, spark, **given):
+    """``spark.conf.get`` answers as given, None for what is not set; the master is that of a cluster."""
+    conf = type(spark.conf)
+    get = conf.get
+
+    def answer(self, key, *default):
+        return given[key] if key in given else get(self, key, *default)
+
+    monkeypatch.setattr(conf, "get", answer)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://head:7077")
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+
+
+def test_a_cluster_without_a_checkpoint_folder_stages_in_the_warehouse(spark, monkeypatch, tmp_path):
+    _settings(monkeypatch, spark, **{"spark.checkpoint.dir": None, "spark.sql.warehouse.dir": f"file://{tmp_path}/tables"})
+    staged = session.stage(spark.range(5), "probe")
+    assert staged.count() == 5
+    assert all(f"{tmp_path}/tables" in f for f in staged.inputFiles())
+
+
+def test_the_warehouse_is_taken_for_a_checkpoint_folder_that_is_not_shared(spark, monkeypatch, tmp_path):
+    (tmp_path / "own").write_text("no folder", encoding="utf-8")
+    own, tables = f"file://{tmp_path}/own", f"file://{tmp_path}/tables"
+    _settings(monkeypatch, spark, **{"spark.checkpoint.dir": own, "spark.sql.warehouse.dir": tables})
+    assert session.shared_folder(spark) == tables
+    _settings(monkeypatch, spark, **{"spark.checkpoint.dir": f"{own}/x", "spark.sql.warehouse.dir": f"{own}/y"})
+    with pytest.raises(ValueError, match="share"):
+        session.shared_folder(spark)
+
+
+def test_the_temporary_folder_of_one_machine_is_the_same_for_every_process(spark, monkeypatch, tmp_path):
+    _settings(monkeypatch, spark, **{"spark.checkpoint.dir": None})
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,3000]")
+    monkeypatch.setattr(session, "_LOCAL_FOLDERS", {})
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(session.tempfile, "tempdir", "/proc/self/cwd")  # each process has another working directory
+    assert session.shared_folder(spark).startswith(f"{os.path.realpath(tmp_path)}/")
+
+
 def test_shuffle_sizing():
     assert session.shuffle_partitions(0) == 8
     assert session.shuffle_partitions(10 * 2**40) == 10_240

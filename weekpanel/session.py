@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 MOST_REDUCERS = 20_000
 _LOCAL_FOLDERS: dict[str, str] = {}
-_SHARED: set[tuple[str, str]] = set()
+_SHARED_FOLDERS: dict[tuple[str, str | None], str] = {}
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -78,25 +79,40 @@ def use_corrected_timestamps(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
-
-    A session on one machine may go without: it gets a temporary folder of its own. On a cluster the setting is
-    required. There a folder with a ``file:`` path may be a mount that all machines share, or one of each machine's own,
-    in which every executor would write to its own disk and readers would see a part without an error. The path does not
-    tell, so a small table is written there once per application, and the folder is refused if rows are missing.
+    """The folder every executor can reach: the one that the session names in ``spark.checkpoint.dir``, else the warehouse.
+
+    A session on one machine that names none gets a temporary folder, under its real path: executors may have a
+    temporary folder of their own, and a name such as ``/proc/self/cwd`` leads each process elsewhere. On a cluster a
+    folder with a ``file:`` path may be a mount that all machines share, or one of each machine's own, in which every
+    executor would write to its own disk and readers would see a part without an error. The path does not tell, so a
+    small table is written there once per application. If rows are missing the warehouse is tried in the same way, and
+    only if that loses rows too there is an error.
     """
     context = spark.sparkContext
     one_machine = context.master.startswith("local")  # local-cluster, for tests, is one machine as well
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not one_machine:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="weekpanel-"))
-    folder = folder.rstrip("/")
-    if not one_machine and (context.applicationId, folder) not in _SHARED and file_system(spark, folder) == "file":
-        require_shared(spark, folder)
-        _SHARED.add((context.applicationId, folder))
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if one_machine:
+        if named:
+            return named.rstrip("/")
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = os.path.realpath(tempfile.mkdtemp(prefix="weekpanel-"))
+        return _LOCAL_FOLDERS[context.applicationId]
+    key = (context.applicationId, named)
+    if key not in _SHARED_FOLDERS:
+        _SHARED_FOLDERS[key] = _first_shared(spark, [f for f in (named, spark.conf.get("spark.sql.warehouse.dir")) if f])
+    return _SHARED_FOLDERS[key]
+
+
+def _first_shared(spark: SparkSession, folders: list[str]) -> str:
+    refused = []
+    for folder in (f.rstrip("/") for f in folders):
+        try:
+            if file_system(spark, folder) == "file":
+                require_shared(spark, folder)
+            return folder
+        except ValueError as error:
+            refused.append(error)
+    raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {'; '.join(map(str, refused))}") from refused[0]
 
 
 def require_shared(spark: SparkSession, folder: str) -> None:
@@ -104,7 +120,7 @@ def require_shared(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
     tasks = 2 * context.defaultParallelism
     path = f"{folder}/weekpanel-{context.applicationId}/shared-{uuid.uuid4().hex}"
-    own = f"spark.checkpoint.dir is {folder}, a folder of each machine's own"
+    own = f"{folder} is a folder of each machine's own"
     try:
         spark.range(0, tasks, 1, tasks).write.parquet(path)
         rows = spark.read.schema("id long").parquet(path).count()
