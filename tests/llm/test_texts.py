@@ -498,6 +498,73 @@ def test_a_damaged_block_is_noticed(spark):
         token_file.read_token_file(spark, staging.path("damaged")).collect()
 
 
+def test_pieces_have_the_ids_of_whole_texts():
+    import public_tokenizers
+
+    encoder = token_file.TextEncoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rnd = random.Random(5)
+    odd = [*"abZ  \n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u3000éßà×÷中٣1.,'s-<|>\x00\x7f\u0301😀", "'re", " the", "\r\n", "<|endoftext|>"]
+    texts = ["".join(rnd.choices(odd, k=rnd.randint(0, 14))) for _ in range(20_000)]
+    got = encoder.encode([t.encode() for t in texts])
+    for text, ids, want in zip(texts, got, encoder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == want.ids, text
+
+
+def test_blocks_are_decoded_once(spark):
+    import public_tokenizers
+
+    path = Staging(spark, "test-token-file").path("ids")
+    token_file.write_token_file(docs(spark, [(1, "some words")]), path, str(public_tokenizers.path("byte_bpe_50k.json")))
+    plan = token_file.read_token_file(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_a_word_is_given_to_the_tokenizer_once():
+    import public_tokenizers
+
+    encoder = token_file.TextEncoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    given, whole = [], encoder.whole
+    encoder.whole = lambda texts: given.extend(texts) or whole(texts)
+    want = encoder.tokenizer.encode("many words, many words. " * 50, add_special_tokens=False).ids
+    for _ in range(3):
+        assert [x.tolist() for x in encoder.encode([b"many words, many words. " * 50] * 20)] == [want] * 20
+    assert sum(map(len, given)) < 100
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a b": 1, "c": 2, "?": 3}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    other.save(str(tmp_path / "other.json"))
+    encoder = token_file.TextEncoder(str(tmp_path / "other.json"))
+    assert [x.tolist() for x in encoder.encode([b"a b,c", b"", b"a,b"])] == [[1, 2], [], [3, 3]]
+
+
+def test_kept_pieces_are_forgotten_without_loss(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_file, "PIECES", 40)
+    encoder = token_file.TextEncoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for k in range(30):
+        texts = [f"word{k} and {k * 7} others {'x' * k}", "the same words", ""]
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == want
+
+
+def test_streams_of_many_blocks_come_back_in_seconds():
+    """Blocks of one and of many streams, of one id, of all ids; a coding step per id of a few hundred nanoseconds."""
+    rnd = np.random.default_rng(8)
+    blocks = [np.minimum(rnd.zipf(1.3, 65_536 - 997 * k), 50_256) for k in range(40)]
+    blocks += [rnd.permutation(1 << 16), np.zeros(65_536, dtype=np.int64), np.tile(rnd.integers(0, 1 << 16, 300), 100), np.array([65_535])]
+    begun = time.process_time()
+    coded = token_file.encode_blocks(blocks)
+    back = token_file.decode_blocks(coded, [len(b) for b in blocks])
+    assert time.process_time() - begun < 12
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+    assert len(coded[41]) < 1_000 and len(coded[40]) < 2.6 * 65_536
+
+
 def test_an_empty_table_gives_an_empty_file(spark):
     import public_tokenizers
 

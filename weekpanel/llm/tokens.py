@@ -109,7 +109,9 @@ class Words:
         return out, first
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches with some megabytes of text each (one text at least), and their texts as bytes."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
@@ -117,7 +119,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         begin = 0
         while begin < batch.num_rows:
             total = np.cumsum(sizes[begin:])
-            end = begin + max(1, int(np.searchsorted(total, SLICE_BYTES, side="right")))
+            end = begin + max(1, int(np.searchsorted(total, size, side="right")))
             yield batch.slice(begin, end - begin), [x or b"" for x in texts.slice(begin, end - begin).to_pylist()]
             begin = end
 
