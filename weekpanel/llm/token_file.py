@@ -100,7 +100,8 @@ class Contexts:
     def learn(self, ids: np.ndarray) -> None:
         """``ids``: int32."""
         n, found = len(ids), self.found
-        votes = np.multiply((found & 0xFFFF) == ids, _TWO_VOTES)
+        votes = ((found & 0xFFFF) == ids).astype(np.int32)
+        votes <<= 17
         votes += found  # in the place that follows, a vote less
         kept = votes >= _TWO_VOTES
         votes -= _VOTE
@@ -386,21 +387,26 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 PIECES = 1_400_000  # pieces whose ids are kept at once
 WORDS = 24  # words in a text that is given to the tokenizer
 
-_LETTER, _SIGN, _BLANK = 1, 2, 4
+_LETTER, _SIGN, _SPACE, _BREAK = 1, 2, 4, 8
 _KIND = np.zeros(256, dtype=np.uint8)  # of ASCII characters; 0: other bytes, beside which nothing is parted
 _KIND[0x21:0x7F] = _SIGN
 _KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = _LETTER
-_KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KIND[32] = _SPACE
+_KIND[9:14] = _BREAK
 #: Neither blanks but a space before it nor characters of the lead bytes that blanks beyond ASCII have.
 _WORD = re.compile(rb" ?[!-~\x80-\xc1\xc3-\xe0\xe4-\xff]+").fullmatch
+#: Of letters alone, which no byte-level tokenizer parts.
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: How byte-level tokenizers write the bytes of such pieces; 1 stands for the line end, which they write as a character.
+_WRITTEN = {1: "\u010a", 32: "\u0120", 0xAD: "\u0143"} | {b: chr(0x122 + b - 0x80) for b in range(0x80, 0xA1)}
 SLICE_BYTES = 16_000_000
 
 
 def parted(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """Pieces of the texts, and the number of the first one of each text (and of all).
 
-    A byte-level tokenizer parts a text before the last blank of a run that a letter or sign follows, and between a
-    letter and a sign or blank, whatever surrounds them; what lies between is encoded by itself.
+    A byte-level tokenizer parts a text before the last blank of a run that a letter or sign follows, after it unless it
+    is a space, and between a letter and a sign or blank, whatever surrounds them; what lies between is encoded by itself.
     """
     joined = b"".join(texts)
     ends = np.cumsum([len(t) for t in texts], dtype=_I)
@@ -411,9 +417,10 @@ def parted(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     latin = latin[(data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)]
     kind[latin] = kind[latin + 1] = _LETTER
     cut = np.zeros(len(kind) + 1, dtype=bool)
-    cut[:-2] = (kind[:-1] == _BLANK) & ((kind[1:] == _LETTER) | (kind[1:] == _SIGN))
+    begun = (kind[1:] == _LETTER) | (kind[1:] == _SIGN)
+    cut[:-2] = (kind[:-1] >= _SPACE) & begun
     cut[ends[ends > begins] - 1] = False  # what follows is another text
-    cut[1:-1] |= (kind[:-1] == _LETTER) & (kind[1:] > _LETTER)
+    cut[1:-1] |= ((kind[:-1] == _LETTER) & (kind[1:] > _LETTER)) | ((kind[:-1] == _BREAK) & begun)
     cut[begins] = True
     cut[-1] = False
     starts = np.flatnonzero(cut)
@@ -447,34 +454,43 @@ class TextEncoder:
         self.added = [t["content"].encode() for t in made["added_tokens"]]
         line = self.whole(["\n"])[0]
         self.line = line[0] if len(line) == 1 else None
+        made |= {"added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}}
+        self.of_letters = Tokenizer.from_str(json.dumps(made)) if self.by_piece else None
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.sizes, self.ids = [np.empty(0, _I)], [np.empty(0, np.uint16)]
+        self.sizes, self.ids = [np.empty(0, np.int32)], [np.empty(0, np.uint16)]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, dtype=_I) for one in found]
 
     def _keep(self, pieces: list[bytes]) -> None:
-        """Encode new pieces. Words, with a space before them or not, are parted by line ends, some to a text."""
-        words, rest = [], []
+        """Encode new pieces. Words are parted by line ends, some to a text; those of letters are not parted further."""
+        letters, words, rest = [], [], []
         for p in pieces:
-            (words if _WORD(p) and self.line is not None else rest).append(p)
+            (rest if self.line is None else letters if _LETTERS(p) else words if _WORD(p) else rest).append(p)
+        some = [letters[k : k + WORDS] for k in range(0, len(letters), WORDS)]
+        lines = [(b"\n\x01\n".join(w) + b"\n\x01").decode("latin-1").translate(_WRITTEN) for w in some]
+        found = self.of_letters.encode_batch_fast(lines, add_special_tokens=False)
+        self._keep_lines([np.array(one.ids, dtype=_I) for one in found], len(letters))
         lines = [b"\n".join([*words[k : k + WORDS], b""]).decode() for k in range(0, len(words), WORDS)]
-        ids = _checked(np.concatenate([np.empty(0, _I), *self.whole(lines)]))
-        ends = np.flatnonzero(ids == self.line)
-        if len(ends) != len(words):
-            raise ValueError("the tokenizer does not part words at line ends")
-        self.ids.append(ids[ids != self.line].astype(np.uint16))
-        self.sizes.append(np.diff(ends, prepend=-1) - 1)
+        self._keep_lines(self.whole(lines), len(words))
         others = self.whole([p.decode() for p in rest])
         self.ids.append(_checked(np.concatenate([np.empty(0, _I), *others])).astype(np.uint16))
-        self.sizes.append(np.array([len(x) for x in others], dtype=_I))
-        for p in words + rest:
+        self.sizes.append(np.array([len(x) for x in others], dtype=np.int32))
+        for p in letters + words + rest:
             self.number[p] = len(self.number)
 
+    def _keep_lines(self, found: list[np.ndarray], n: int) -> None:
+        ids = _checked(np.concatenate([np.empty(0, _I), *found]))
+        ends = np.flatnonzero(ids == self.line)
+        if len(ends) != n:
+            raise ValueError("the tokenizer does not part words at line ends")
+        self.ids.append(ids[ids != self.line].astype(np.uint16))
+        self.sizes.append((np.diff(ends, prepend=-1) - 1).astype(np.int32))
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_piece:
             return [_checked(x) for x in self.whole([t.decode() for t in texts])]
@@ -493,12 +509,14 @@ class TextEncoder:
         for k in new:
             at[k] = self.number[distinct[k]]
         self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
-        begins = (np.cumsum(self.sizes[0]) - self.sizes[0])[at]
+        begins = (np.cumsum(self.sizes[0], dtype=np.int32) - self.sizes[0])[at]
         sizes = self.sizes[0][at]
         piece = coded.indices.to_numpy()
         n = sizes[piece]
-        ends = np.cumsum(n)
-        ids = self.ids[0][np.repeat(begins[piece] - (ends - n), n) + np.arange(n.sum())].astype(_I)
+        ends = np.cumsum(n, dtype=np.int32)
+        place = np.repeat(begins[piece] - (ends - n), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.ids[0].take(place)
         out = np.split(ids, np.append(0, ends)[first[1:-1]])
         for k, one in zip(apart, self.whole([texts[k].decode() for k in apart]), strict=True):
             out[k] = _checked(one)
@@ -565,7 +583,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], tokenizer: str) -> Iterator[tupl
     for batch, texts in slices(batches, size=SLICE_BYTES):
         found = encoder.encode(texts)
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-            yield doc_id, np.append(ids, END_ID)
+            yield doc_id, np.append(ids, ids.dtype.type(END_ID))
 
 
 def _coded(batches: Iterable[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
