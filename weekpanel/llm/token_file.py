@@ -384,7 +384,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 # -- the tokenizer ----------------------------------------------------------------------------------------------------
 
-PIECES = 1_400_000  # pieces whose ids are kept at once
+PIECES = 1_000_000  # pieces whose ids are kept at once
 WORDS = 24  # words in a text that is given to the tokenizer
 
 _LETTER, _SIGN, _SPACE, _BREAK = 1, 2, 4, 8
@@ -399,7 +399,7 @@ _WORD = re.compile(rb" ?[!-~\x80-\xc1\xc3-\xe0\xe4-\xff]+").fullmatch
 _LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 #: How byte-level tokenizers write the bytes of such pieces; 1 stands for the line end, which they write as a character.
 _WRITTEN = {1: "\u010a", 32: "\u0120", 0xAD: "\u0143"} | {b: chr(0x122 + b - 0x80) for b in range(0x80, 0xA1)}
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 
 
 def parted(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
